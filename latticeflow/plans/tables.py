@@ -172,7 +172,7 @@ def _to_archive(doc_id: pd.Series, text: pd.Series, lang: pd.Series, n: pd.Serie
     return pd.Series([one(*x) for x in zip(doc_id, text, lang, n, strict=True)])
 
 
-@query("select doc_id, cast(doc_id as varchar) as uuid, md5(coalesce(text, '')) as text_md5, lang, lang as again, cast(n_chars as double) as chars, doc_id as number, 7 as containers, true as same, cast(null as varchar) as error from documents")
+@query("select doc_id, cast(doc_id as varchar) as uuid, md5(coalesce(text, '')) as text_md5, lang, lang as again, cast(n_chars as double) as chars, doc_id as number, 6 as containers, true as same, cast(null as varchar) as error from documents")
 def archive_roundtrip(spark, sf):
     """Rows to archives, and the archives' nodes back to rows."""
     d = table(spark, sf, "documents").select("doc_id", F.pandas_udf(_to_archive, "binary")("doc_id", "text", "lang", "n_chars").alias("data"))

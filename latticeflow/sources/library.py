@@ -35,6 +35,7 @@ class LibraryReader(DataSourceReader):
         self.path, self.where = path, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        self.where = []
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute in (("collection",), ("key",)) and isinstance(f.value, str):
                 self.where.append((f.attribute[0], (f.value,)))
@@ -78,6 +79,11 @@ def read_library(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("cue_library").option("path", path).load()
 
 
+def collection(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One collection, as a scan of its own: scans of one loaded DataFrame share what was pushed into the last."""
+    return read_library(spark, path).filter(F.col("collection") == name)
+
+
 def get_raw(library: DataFrame, collection: str, key: str) -> bytes | None:
     rows = library.filter((F.col("collection") == collection) & (F.col("key") == key)).limit(1).collect()
     return bytes(rows[0]["data"]) if rows and rows[0]["data"] is not None else None
