@@ -18,8 +18,8 @@ Lines are identified by two 64-bit hashes with independent seeds; texts travel o
 and to be put together again.
 
 Defined cases: a null text is the empty text, and is returned as null if it was null; lines are split
-at line feeds; rows that repeat a doc_id are one document for what is earlier, and all of them lose
-the same lines; rows with a null doc_id count after all others and as one document; an empty table
+at line feeds; rows that repeat a doc_id are one document for what is earlier, equal rows lose the same
+lines; rows with a null doc_id count after all others and as one document; an empty table
 gives an empty result; other columns pass through unread.
 """
 
@@ -28,9 +28,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import BROADCAST_ROWS, drop_table, materialize, maybe_broadcast, release_shuffles, table
+from ._spark import drop_table, materialize, maybe_broadcast, release_shuffles, table
 
 TAU, MIN_CHARS = 2, 40
+#: Lines that file one segment from which they are sketched before they meet.
+HOT = 6
+#: Rows of lost lines by document, with lists, that may be broadcast.
+LOST_ROWS = 500_000
 _LAST = (1 << 63) - 1
 
 
@@ -53,26 +57,56 @@ def probes(tau: int) -> list[tuple[int, int, int]]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, at, line) of each line long enough; doc is doc_id, the largest number for null."""
+    """(doc, version, at, line) of each line long enough; doc is doc_id, the largest number for null; version tells texts of one doc_id apart."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return d.select("doc", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.length("line") >= MIN_CHARS)
+    return d.select("doc", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.length("line") >= MIN_CHARS)
 
 
 def _names(line: str) -> list[F.Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), F.col(line)).alias("h2")]
 
 
-def candidates(distinct: DataFrame, tau: int = TAU) -> DataFrame:
-    """Pairs (a, b) of ids of ``distinct`` (id, line) that share a segment; each pair once or twice."""
+def sketched(spark: SparkSession, distinct: DataFrame, tau: int = TAU) -> DataFrame:
+    """``distinct`` (id, line) with s1 and s2 for lines of which ``HOT`` or more file one segment, else null.
+
+    Copies of a text with a few words changed file the same segments, and all their pairs would meet though
+    few are near.  s1 has a bit for each character (by its code modulo 64) that occurs an odd number of
+    times, s2 for each pair of neighbours.  An edit changes two characters and four pairs at most, so of
+    lines ``tau`` edits apart, s1 differ in 2 ``tau`` bits at most and s2 in 4 ``tau``: pairs beyond are
+    left out where they meet, and no near pair is.
+    """
     d = distinct.select("id", "line", F.length("line").alias("n"))
-    filed = ", ".join("xxhash64(n, {0}, substring(line, {1}, {2}))".format(i, *segment_sql("n", i, tau)) for i in range(tau + 1))
+    filed = d.select("id", F.explode(F.expr(f"array({_filed(tau)})")).alias("key"))
+    hot = materialize(spark, filed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") >= HOT).select("key"), "hot-keys")
+    n_hot = hot.count()
+    if not n_hot:
+        return distinct.select("id", "line", F.lit(None).cast("long").alias("s1"), F.lit(None).cast("long").alias("s2"))
+    ids = materialize(spark, filed.join(maybe_broadcast(hot, n_hot), "key", "left_semi").select("id").distinct(), "hot-ids")
+    n_ids = ids.count()
+    odd = "aggregate(z.c, 0L, (a, c) -> a ^ shiftleft(1L, ascii(c) & 63))"
+    pairs = "aggregate(transform(z.c, (c, i) -> (ascii(c) * 31 + ascii(coalesce(get(z.c, i + 1), ''))) & 63), 0L, (a, k) -> a ^ shiftleft(1L, k))"
+    both = F.expr(f"transform(array(named_struct('c', split(line, ''))), z -> named_struct('s1', {odd}, 's2', {pairs}))[0]")
+    held = distinct.join(maybe_broadcast(ids, n_ids), "id", "left_semi").select("id", both.alias("s"))
+    held = materialize(spark, held.select("id", "s.s1", "s.s2"), "sketches")
+    return distinct.select("id", "line").join(maybe_broadcast(held, n_ids), "id", "left")
+
+
+def _filed(tau: int) -> str:
+    return ", ".join("xxhash64(n, {0}, substring(line, {1}, {2}))".format(i, *segment_sql("n", i, tau)) for i in range(tau + 1))
+
+
+def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """Pairs (a, b) of ids of ``lines`` (id, line, s1, s2) that share a segment and whose sketches, if any, are near; each pair once or twice."""
+    d = lines.select("id", "line", F.length("line").alias("n"), "s1", "s2")
     looked = []
     for diff, i, o in probes(tau):
         start, size = segment_sql(f"(n - {diff})", i, tau)
         looked.append(f"xxhash64(n - {diff}, {i}, substring(line, {start} + {o}, {size}))")
-    left = d.select(F.col("id").alias("a"), F.explode(F.expr(f"array({filed})")).alias("key"))
-    right = d.select(F.col("id").alias("b"), F.explode(F.expr(f"array({', '.join(looked)})")).alias("key"))
-    met = left.join(right, "key").filter("a <> b")
+    left = d.select(F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.explode(F.expr(f"array({_filed(tau)})")).alias("key"))
+    right = d.select(F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.explode(F.expr(f"array({', '.join(looked)})")).alias("key"))
+    near = F.expr(f"a1 is null or b1 is null or (bit_count(a1 ^ b1) <= {2 * tau} and bit_count(a2 ^ b2) <= {4 * tau})")
+    right = right.withColumnRenamed("key", "__key")
+    met = left.join(right, (F.col("key") == F.col("__key")) & (F.col("a") != F.col("b")) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -83,27 +117,42 @@ def within_sql(a: str, b: str, tau: int) -> str:
     bits = " | ".join(f"if(coalesce(get({a}, j - {tau} + {k}) = c, false), {1 << k}L, 0L)" for k in range(width))
     words = f"transform({b}, (c, j) -> ({bits}))"
     m = f"size({a})"
-    d0 = f"((((x & s.vp) + s.vp) ^ s.vp) | x | s.vn) & {mask}L"
+    d0 = f"((((w & st.vp) + st.vp) ^ st.vp) | w | st.vn) & {mask}L"
     step = (
-        f"transform(array({d0}), d0 -> named_struct('d0', d0, 'hp', (s.vn | ~(d0 | s.vp)) & {mask}L, 'hn', d0 & s.vp))[0]"
+        f"transform(array({d0}), d0 -> named_struct('d0', d0, 'hp', (st.vn | ~(d0 | st.vp)) & {mask}L, 'hn', d0 & st.vp))[0]"
     )
     after = (
         "transform(array(" + step + "), t -> named_struct("
         f"'vp', (t.hn | ~(shiftright(t.d0, 1) | t.hp)) & {mask}L, "
         "'vn', shiftright(t.d0, 1) & t.hp, "
-        "'j', s.j + 1, "
-        f"'d', s.d + if(s.j + 1 + {tau} <= {m}, if((t.d0 & {1 << (2 * tau)}L) = 0, 1, 0), "
-        f"cast((shiftright(t.hp, {m} - (s.j + 1) + {tau}) & 1L) - (shiftright(t.hn, {m} - (s.j + 1) + {tau}) & 1L) as int))))[0]"
+        "'j', st.j + 1, "
+        f"'d', st.d + if(st.j + 1 + {tau} <= {m}, if((t.d0 & {1 << (2 * tau)}L) = 0, 1, 0), "
+        f"cast((shiftright(t.hp, {m} - (st.j + 1) + {tau}) & 1L) - (shiftright(t.hn, {m} - (st.j + 1) + {tau}) & 1L) as int))))[0]"
     )
     first = mask & ~((1 << tau) - 1)  # rows 1 .. tau + 1 in the coordinates of column 1
-    return f"aggregate({words}, named_struct('vp', {first}L, 'vn', 0L, 'j', 0, 'd', {tau}), (s, x) -> {after}, s -> s.d <= {tau})"
+    return f"aggregate({words}, named_struct('vp', {first}L, 'vn', 0L, 'j', 0, 'd', {tau}), (st, w) -> {after}, st -> st.d <= {tau})"
 
 
 def verified(pairs: DataFrame, tau: int = TAU) -> DataFrame:
-    """Pairs (a, b, la, lb) whose lines are at most ``tau`` edits apart."""
-    # the characters are a lambda's variable: as columns, the optimiser would split the lines again at each use
-    held = "named_struct('ca', split(la, ''), 'cb', split(lb, ''))"
-    return pairs.filter((F.abs(F.length("la") - F.length("lb")) <= tau) & F.expr(f"transform(array({held}), z -> {within_sql('z.ca', 'z.cb', tau)})[0]")).select("a", "b")
+    """Pairs (a, b, la, lb) whose lines are at most ``tau`` edits apart.
+
+    Equal beginnings and ends are cut first (their lengths by bisection), but for ``tau`` + 1 characters, which
+    the band needs; this changes no distance.  Each step is a lambda's variable: as columns, the optimiser
+    would write them out at each use.
+    """
+    powers = ", ".join(str(1 << k) for k in range(16, -1, -1))
+
+    def equal(side: str, x: str) -> str:
+        most = f"least(length({x}.la), length({x}.lb))"
+        return f"greatest(0, aggregate(array({powers}), 0, (m, k) -> if(m + k <= {most} and {side}({x}.la, m + k) = {side}({x}.lb, m + k), m + k, m)) - {tau + 1})"
+
+    def let(value: str, name: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    chars = let("named_struct('ca', split(left(y.la, length(y.la) - s), ''), 'cb', split(left(y.lb, length(y.lb) - s), ''))", "z", within_sql("z.ca", "z.cb", tau))
+    body = let("named_struct('la', substring(x.la, p + 1), 'lb', substring(x.lb, p + 1))", "y", let(equal("right", "y"), "s", chars))
+    near = let("named_struct('la', la, 'lb', lb)", "x", let(equal("left", "x"), "p", body))
+    return pairs.filter((F.abs(F.length("la") - F.length("lb")) <= tau) & F.expr(near)).select("a", "b")
 
 
 def marks(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +165,7 @@ def marks(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> tuple[DataFra
     ids = grouped.select("h1", "h2", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", "line", F.monotonically_increasing_id().alias("id"))
     distinct = materialize(spark, ids, "lines")
     release_shuffles(spark)
-    met = materialize(spark, candidates(distinct.select("id", "line"), tau).distinct(), "candidates")
+    met = materialize(spark, candidates(sketched(spark, distinct.select("id", "line"), tau), tau).distinct(), "candidates")
     release_shuffles(spark)
     n_met = met.count()
     wanted = materialize(spark, met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
@@ -140,27 +189,27 @@ def marks(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> tuple[DataFra
 
 
 def dropped(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """(doc, gone, n_near, n_links): the places of the lines that each document loses, those lost to a near line, its links."""
+    """(doc, version, gone, n_near, n_links): the places of the lines that each document loses, those lost to a near line, its links."""
     found, _ = marks(spark, docs, tau)
-    own = lines_of(docs).select(F.col("doc").alias("own"), F.col("at").alias("place"), *_names("line"))
+    own = lines_of(docs).select(F.col("doc").alias("own"), "version", F.col("at").alias("place"), *_names("line"))
     # a line that a third of all documents hold is one key; both sides are plain, so adaptive execution splits it
     hit = own.join(found.hint("merge"), ["h1", "h2"])
     goes = F.col("near") | (F.col("own") != F.col("doc")) | (F.col("place") != F.col("at"))
-    per = hit.groupBy("own", "place").agg(F.max(goes).alias("goes"), F.max("near").alias("near"), F.max("links").alias("links"))
-    return per.groupBy(F.col("own").alias("doc")).agg(F.collect_set(F.when(F.col("goes"), F.col("place"))).alias("gone"), F.count_if(F.col("near")).alias("n_near"), F.sum("links").alias("n_links"))
+    per = hit.groupBy("own", "version", "place").agg(F.max(goes).alias("goes"), F.max("near").alias("near"), F.max("links").alias("links"))
+    return per.groupBy(F.col("own").alias("doc"), "version").agg(F.collect_set(F.when(F.col("goes"), F.col("place"))).alias("gone"), F.count_if(F.col("near")).alias("n_near"), F.sum("links").alias("n_links"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> DataFrame:
     """``docs`` with its texts' repeated lines left out, and columns __n_lines, __n_gone, __n_near, __n_links."""
-    gone = materialize(spark, dropped(spark, docs, tau).filter("size(gone) > 0 or n_links > 0").select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"), F.col("n_links").alias("__links")), "gone")
+    gone = materialize(spark, dropped(spark, docs, tau).filter("size(gone) > 0 or n_links > 0").select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"), F.col("n_links").alias("__links")), "gone")
     release_shuffles(spark)
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    n = gone.count()
-    joined = keyed.join(maybe_broadcast(gone, n, BROADCAST_ROWS // 20), F.col("__key") == F.col("__doc"), "left")
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    n, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
+    joined = keyed.join(maybe_broadcast(gone, max(n, places // 8), LOST_ROWS), (F.col("__key") == F.col("__doc")) & (F.col("__text") == F.col("__version")), "left")
     kept = F.expr("case when __gone is null or size(__gone) = 0 then text else array_join(filter(split(text, '\n'), (x, i) -> not array_contains(__gone, i)), '\n') end")
     out = joined.withColumn("__n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
     out = out.withColumn("text", kept)
-    return out.withColumn("__n_gone", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn("__n_near", F.coalesce("__near", F.lit(0)).cast("long")).withColumn("__n_links", F.coalesce("__links", F.lit(0)).cast("long")).drop("__key", "__doc", "__gone", "__near", "__links")
+    return out.withColumn("__n_gone", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn("__n_near", F.coalesce("__near", F.lit(0)).cast("long")).withColumn("__n_links", F.coalesce("__links", F.lit(0)).cast("long")).drop("__key", "__text", "__doc", "__version", "__gone", "__near", "__links")
 
 
 def strip_lines(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> DataFrame:
