@@ -251,7 +251,7 @@ def blocks(node: Node, fixed: frozenset = frozenset()) -> list[tuple[str, str]]:
                 flush(where)
         else:
             block = x.name in BLOCK or x is node
-            here = f"{path}/{x.name}" if block else path
+            here = f"{path}/{x.name}" if block and x.name != "#root" else path
             if block:
                 flush(where)
                 where = here
@@ -459,21 +459,42 @@ def main_text(page: str | None, fixed: frozenset = frozenset(), slots: frozenset
     held = regions(root)
     if held:
         return "\n\n".join(t for r in held for _, t in blocks(r))
-    found = [(p, t) for p, t in blocks(root) if str(_digest(p, t)) not in fixed]
-    if slots:
-        in_slots = [(p, t) for p, t in found if p.replace("/#root", "") in slots]
-        found = in_slots or found
-    if not found:
-        return ""
-    # the subtree with most slot text: the deepest path that holds 3/5 of it
-    weight: Counter = Counter()
-    for p, t in found:
-        parts = p.split("/")
-        for i in range(1, len(parts) + 1):
-            weight["/".join(parts[:i])] += len(t)
-    total = sum(len(t) for _, t in found)
-    best = max((p for p, w in weight.items() if 5 * w >= 3 * total), key=lambda p: (p.count("/"), p))
-    return "\n\n".join(t for p, t in found if p == best or p.startswith(best + "/") or best.startswith(p + "/") and p)
+    start = densest(root, fixed)
+    found = [(p, t) for p, t in blocks(start) if str(_digest(p, t)) not in fixed or start is root and not fixed]
+    if slots and start is root:
+        found = [(p, t) for p, t in found if p in slots] or found
+    return "\n\n".join(t for _, t in found)
+
+
+_LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre td th tr caption figcaption summary".split())
+
+
+def densest(root: Node, fixed: frozenset) -> Node:
+    """The deepest container that holds three quarters of the page's text that is not template."""
+    weight: dict[int, int] = {}
+
+    def weigh(node: Node) -> int:
+        n = 0
+        for c in node.children:
+            n += len(c.strip()) if isinstance(c, str) else 0 if outside(c) else weigh(c)
+        weight[id(node)] = n
+        return n
+
+    import sys
+
+    was = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(was, 20_000))
+    try:
+        total = weigh(root)
+    finally:
+        sys.setrecursionlimit(was)
+    total -= sum(len(t) for p, t in blocks(root) if str(_digest(p, t)) in fixed) if fixed else 0
+    at = root
+    while True:
+        inner = [c for c in at.children if isinstance(c, Node) and c.name in BLOCK and c.name not in _LEAF and 4 * weight.get(id(c), 0) >= 3 * max(1, total) and not outside(c)]
+        if not inner:
+            return at
+        at = inner[0]
 
 
 def _extract(fixed, slots):

@@ -86,7 +86,8 @@ def _cut(held: Vocabulary, starts, n: int, key: int, length: int, shards: int):
         from pyspark import TaskContext
 
         vocabulary = held.open()
-        at = int(starts.value[TaskContext.get().partitionId()])
+        part = TaskContext.get().partitionId()
+        at = int(starts.value[part])
         for batch in batches:
             number, doc, seq, size, ids = [], [], [], [], []
             for d, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -105,6 +106,8 @@ def _cut(held: Vocabulary, starts, n: int, key: int, length: int, shards: int):
                 [pa.array(shard), pa.array(slots.astype(np.int64)), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary())],
                 names=["shard", "v", "doc_id", "seq", "n_tokens", "ids"],
             )
+        if at != starts.value[part + 1]:
+            raise RuntimeError("a task's rows are not those that were counted")
 
     return run
 
@@ -180,10 +183,12 @@ def write_shards(spark: SparkSession, docs: DataFrame, path: str, vocabulary: Vo
     # numbers: how many sequences the rows of each input task can have, and so where each task starts
     most = rows.select(F.spark_partition_id().alias("part"), bound_of(F.octet_length(F.coalesce("text", F.lit(""))), length).alias("n"), F.octet_length(F.coalesce("text", F.lit(""))).alias("b"))
     parts = {r[0]: (r[1], r[2]) for r in most.groupBy("part").agg(F.sum("n"), F.sum("b")).collect()}  # one row an input task
-    starts, n = np.zeros(max(parts, default=0) + 1, dtype=np.int64), 0
-    for p in range(len(starts)):
+    width = rows.rdd.getNumPartitions()
+    starts, n = np.zeros(width + 1, dtype=np.int64), 0
+    for p in range(width):
         starts[p] = n
         n += parts.get(p, (0, 0))[0]
+    starts[width] = n
     if not n:
         return spark.createDataFrame([], "shard long, start long, n long")
     likely = sum(b for _, b in parts.values()) // (2 * length) + len(starts)  # to size shards only: about two bytes a token
