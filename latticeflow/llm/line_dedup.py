@@ -8,7 +8,7 @@ first occurrence of a line that nothing earlier is near.  Shorter lines always s
 Distinct lines are cut into ``TAU`` + 1 even segments: after at most ``TAU`` edits one of them is still
 there, moved by at most ``TAU``.  So each line files its segments under (length, which, text) and looks
 up its own substrings at the places that the multi-match-aware selection allows for each length from
-its own down to ``TAU`` less (12 substrings for two edits); keys are hashed to 64 bits, and what meets is
+its own down to ``TAU`` less; keys are hashed to 64 bits, and what meets is
 verified.  Keys are dealt by a plain equi-join, whose hot keys adaptive execution splits.
 
 Verification is a banded bit-parallel edit distance: the vertical differences of a column, cut to the
@@ -47,12 +47,18 @@ def segment_sql(length: str, i: int, tau: int) -> tuple[str, str]:
 
 
 def probes(tau: int) -> list[tuple[int, int, int]]:
-    """(length difference, segment from 0, offset from the segment's start) of the substrings to look up."""
+    """(length difference, segment from 0, offset from the segment's start) of the substrings to look up.
+
+    The multi-match-aware selection, without places that lines of one length have in common (those are what
+    is filed).  Lines of one length look each other up, so for two edits the middle segment need not be
+    sought a place earlier: if it is there, then from the other line it is a place later, or the edit after
+    it is in that line's middle segment and its last segment is where it was.
+    """
     out = []
     for d in range(tau + 1):
         for i in range(tau + 1):
             low, high = max(-i, d - (tau - i)), min(i, d + (tau - i))
-            out += [(d, i, o) for o in range(low, high + 1)]
+            out += [(d, i, o) for o in range(low, high + 1) if d or o > 0 or (o < 0 and tau != 2)]
     return out
 
 
@@ -79,6 +85,7 @@ def sketched(spark: SparkSession, distinct: DataFrame, tau: int = TAU) -> DataFr
     filed = d.select("id", F.explode(F.expr(f"array({_filed(tau)})")).alias("key"))
     hot = materialize(spark, filed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") >= HOT).select("key"), "hot-keys")
     n_hot = hot.count()
+    release_shuffles(spark)
     if not n_hot:
         return distinct.select("id", "line", F.lit(None).cast("long").alias("s1"), F.lit(None).cast("long").alias("s2"))
     ids = materialize(spark, filed.join(maybe_broadcast(hot, n_hot), "key", "left_semi").select("id").distinct(), "hot-ids")
@@ -102,12 +109,17 @@ def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
     for diff, i, o in probes(tau):
         start, size = segment_sql(f"(n - {diff})", i, tau)
         looked.append(f"xxhash64(n - {diff}, {i}, substring(line, {start} + {o}, {size}))")
-    left = d.select(F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.explode(F.expr(f"array({_filed(tau)})")).alias("key"))
-    right = d.select(F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.explode(F.expr(f"array({', '.join(looked)})")).alias("key"))
+
+    def keyed(keys: str, x: str) -> DataFrame:
+        return d.select(F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.explode(F.expr(f"array({keys})")).alias(f"k{x}"))
+
     near = F.expr(f"a1 is null or b1 is null or (bit_count(a1 ^ b1) <= {2 * tau} and bit_count(a2 ^ b2) <= {4 * tau})")
-    right = right.withColumnRenamed("key", "__key")
-    met = left.join(right, (F.col("key") == F.col("__key")) & (F.col("a") != F.col("b")) & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = keyed(_filed(tau), "a")
+    # lines of one length with a segment at one place: what is filed meets itself, by the same exchange
+    same = left.join(keyed(_filed(tau), "b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & near)
+    moved = left.join(keyed(", ".join(looked), "b"), (F.col("ka") == F.col("kb")) & (F.col("a") != F.col("b")) & near)
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    return same.select(*pair).unionByName(moved.select(*pair))
 
 
 def within_sql(a: str, b: str, tau: int) -> str:
