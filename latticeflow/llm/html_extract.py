@@ -6,11 +6,11 @@ slots (#), optional groups (...)? and repeated groups (...)+.  A page's token st
 skeletons; per host these are aligned one after the other, mismatches becoming optional groups, and
 differing texts becoming slots.  The result is the host's wrapper.
 
-The wrapper marks which text positions are the template's own words (equal on all pages) and which
-are slots.  Text is taken from the article's region: what a page marks as article or main, else the
-subtree that holds most slot text, always without the regions that are no article (menus, headers,
-footers, sidebars, notices, adverts, forms, comments).  A fixed text outside a marked article is
-template; inside it, it stays.
+The wrapper tells text slots from the template's own words (equal on all pages).  Text is taken from the
+article's region: what a page marks as article or main, else the wrapper's container that holds three
+quarters of the text of the host's pages that is not template, always without the regions that are no
+article (menus, headers, footers, sidebars, notices, adverts, forms, comments).  A fixed text outside a
+marked article is template; inside it, it stays.
 
 All pages take part in the inference: a page contributes a skeleton and hashed fixed texts, combined
 before the shuffle.  Of skeletons a host may have without end, the ``MAX_SKELETONS`` most frequent are
@@ -251,7 +251,7 @@ def blocks(node: Node, fixed: frozenset = frozenset()) -> list[tuple[str, str]]:
                 flush(where)
         else:
             block = x.name in BLOCK or x is node
-            here = f"{path}/{x.name}" if block and x.name != "#root" else path
+            here = f"{path}/{signature(x)}" if block and x.name != "#root" else path
             if block:
                 flush(where)
                 where = here
@@ -283,7 +283,7 @@ def skeleton(root: Node) -> list:
             if isinstance(c, str):
                 if c.strip() and (not items or items[-1] != "#"):
                     items.append("#")
-            elif c.name in BLOCK or c.name == "a":
+            elif c.name in BLOCK:
                 if depth < 200:
                     items.append(("e", signature(c), *build(c, depth + 1)))
             elif c.name not in VOID and c.name not in RAW:
@@ -378,7 +378,7 @@ def paths(wrapper: list, at: str = "") -> set[str]:
         if x == "#":
             out.add(at)
         elif isinstance(x, tuple):
-            out |= paths(list(x[2:]), f"{at}/{x[1].split('.')[0]}")
+            out |= paths(list(x[2:]), f"{at}/{x[1]}")
     return out
 
 
@@ -411,8 +411,20 @@ def _digest(path: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def containers(path: str) -> list[str]:
+    """The path of a block's innermost container, and of all around it; '' is the page."""
+    parts = path.split("/")
+    if parts[-1].split(".")[0] in _LEAF:
+        parts.pop()
+    return ["/".join(parts[:i]) for i in range(1, len(parts) + 1)]
+
+
 def _evidence(batches):
-    """(host, kind, value, weight, pages): skeletons of all pages, and the digests of texts outside marked articles, summed per batch."""
+    """(host, kind, value, n), summed per batch.
+
+    s: pages of a skeleton; n: pages without a marked article; and of those, t: pages that have a text, as
+    digest, length and path; w: characters of text in a container.
+    """
     import json
 
     for batch in batches:
@@ -421,10 +433,14 @@ def _evidence(batches):
             host = host_of(url.as_py())
             root = parse(page.as_py() or "")
             count[host, "s", json.dumps(to_json(skeleton(root)), ensure_ascii=False, separators=(",", ":"))] += 1
-            count[host, "n", ""] += 1
             if not regions(root):
-                for key in {str(_digest(p, t)) for p, t in blocks(root)}:
-                    count[host, "t", key] += 1
+                count[host, "n", ""] += 1
+                held = blocks(root)
+                for p, t in held:
+                    for c in containers(p):
+                        count[host, "w", c] += len(t)
+                for p, t in set(held):
+                    count[host, "t", f"{_digest(p, t)} {len(t)} {p}"] += 1
         keys = list(count)
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([count[k] for k in keys], pa.int64())], names=["host", "kind", "value", "n"])
 
@@ -439,8 +455,9 @@ def _infer_group(key, pdf):
     return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(to_json(wrapper), ensure_ascii=False, separators=(",", ":"))]})
 
 
-def wrappers(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, wrapper) and (host, value): the inferred wrappers, and the fixed texts outside marked articles."""
+def wrappers(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(host, wrapper): the inferred wrappers; (host, value): digests of fixed texts; (host, path): the containers
+    that hold the most text that is not fixed, deepest last.  The last two are of pages without a marked article."""
     from pyspark.sql import Window
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -449,21 +466,34 @@ def wrappers(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFram
     top = seen.filter("kind = 's'").withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "value"))).filter(F.col("r") <= MAX_SKELETONS)
     made = top.select("host", "value", "n").groupBy("host").applyInPandas(_infer_group, "host string, wrapper string")
     size = seen.filter("kind = 'n'").select("host", F.col("n").alias("pages"))
-    fixed = seen.filter("kind = 't'").join(size, "host").filter((F.col("pages") >= MIN_PAGES) & (F.col("n") == F.col("pages"))).select("host", "value")
-    return made, fixed
-
-
-def main_text(page: str | None, fixed: frozenset = frozenset(), slots: frozenset | None = None) -> str:
-    """The page's main text; ``fixed``: digests of the host's template texts; ``slots``: paths of its wrapper's text slots."""
+    fixed = seen.filter("kind = 't'").join(size, "host").filter((F.col("pages") >= MIN_PAGES) & (F.col("n") == F.col("pages")))
+    fixed = fixed.select("host", "n", *[F.split("value", " ", 3)[i].alias(c) for i, c in enumerate(("digest", "length", "path"))])
+    around = F.udf(containers, "array<string>")
+    less = fixed.select("host", F.explode(around("path")).alias("path"), (-F.col("n") * F.col("length").cast("long")).alias("w"))
+    weight = seen.filter("kind = 'w'").select("host", F.col("value").alias("path"), F.col("n").alias("w")).unionByName(less).groupBy("host", "path").agg(F.sum("w").alias("w"))
+    total = weight.filter("path = ''").select("host", F.col("w").alias("total"))
+    held = weight.join(total, "host").filter((F.col("total") > 0) & (4 * F.col("w") >= 3 * F.col("total")))
+    region = held.groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), "path")).alias("path"))
+    return made, fixed.select("host", F.col("digest").alias("value")), region
+
+
+def main_text(page: str | None, fixed: frozenset = frozenset(), slots: frozenset | None = None, region: str = "") -> str:
+    """The page's main text.
+
+    ``fixed``: digests of the host's template texts; ``slots``: paths of its wrapper's text slots; ``region``:
+    the path of the container that holds the text of the host's pages.
+    """
     root = parse(page or "")
     held = regions(root)
     if held:
         return "\n\n".join(t for r in held for _, t in blocks(r))
-    start = densest(root, fixed)
-    found = [(p, t) for p, t in blocks(start) if str(_digest(p, t)) not in fixed or start is root and not fixed]
-    if slots and start is root:
-        found = [(p, t) for p, t in found if p in slots] or found
-    return "\n\n".join(t for _, t in found)
+    found = [(p, t) for p, t in blocks(root) if str(_digest(p, t)) not in fixed]
+    conforms = region and slots and all(p in slots for p, _ in found)
+    inside = [(p, t) for p, t in found if p == region or p.startswith(region + "/")] if conforms else []
+    if not inside:  # a page that the wrapper does not hold is taken by itself
+        start = densest(root, fixed)
+        inside = found if start is root else blocks(start)
+    return "\n\n".join(t for _, t in inside)
 
 
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre td th tr caption figcaption summary".split())
@@ -497,13 +527,13 @@ def densest(root: Node, fixed: frozenset) -> Node:
         at = inner[0]
 
 
-def _extract(fixed, slots):
+def _extract(fixed, slots, regions_of):
     def run(batches):
         for batch in batches:
             out = []
             for url, page in zip(batch.column(1), batch.column(2), strict=True):
                 host = host_of(url.as_py())
-                out.append(main_text(page.as_py(), fixed.value.get(host, frozenset()), slots.value.get(host)))
+                out.append(main_text(page.as_py(), fixed.value.get(host, frozenset()), slots.value.get(host), regions_of.value.get(host, "")))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     return run
@@ -517,8 +547,8 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text) per row of ``pages``."""
     import json
 
-    made, fixed = wrappers(spark, pages)
-    made, fixed = materialize(spark, made, "wrappers"), materialize(spark, fixed, "fixed")
+    made, fixed, region = wrappers(spark, pages)
+    made, fixed, region = materialize(spark, made, "wrappers"), materialize(spark, fixed, "fixed"), materialize(spark, region, "regions")
     n = made.count()
     parts = max(1, -(-n // HOSTS_AT_ONCE))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -530,7 +560,8 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
         for r in mine(fixed).toLocalIterator():
             texts_of.setdefault(r[0], set()).add(r[1])
         sc = spark.sparkContext
-        held = (sc.broadcast({k: frozenset(v) for k, v in texts_of.items()}), sc.broadcast(slots))
+        where = {r[0]: r[1] for r in mine(region).toLocalIterator()}
+        held = (sc.broadcast({k: frozenset(v) for k, v in texts_of.items()}), sc.broadcast(slots), sc.broadcast(where))
         block = rows
         if parts > 1:
             host = F.udf(host_of, "string")
