@@ -149,12 +149,12 @@ def phase_distance_pairs(spark, sf):
 
 @query(f"""with {EV}, en as (select track, max(t) as stop from ev group by track),
 ws as (select track, stop, unnest(list_distinct(list_append(list_transform(range(0, cast(floor((stop - 432000 + 1e-9) / 216000) as bigint) + 1), lambda k: k * 216000.0), greatest(0.0, stop - 432000)))) as start from en)
-select ws.track, round(start, 3) as start, count(*) as n, round(avg(value), 6) as mean from ws join ev on ev.track = ws.track and t >= start and t < least(start + 432000, stop) group by ws.track, start having count(*) >= 10""")
+select ws.track, round(start, 3) as start, count(*) as n, round(sum(value), 4) as total from ws join ev on ev.track = ws.track and t >= start and t < least(start + 432000, stop) group by ws.track, start having count(*) >= 10""")
 def splice_windows(spark, sf):
     e = base.events(spark, sf).select("track", "t", "value")
     w = Window.partitionBy("track")
     d = e.withColumn("stop", F.max("t").over(w)).withColumn("start", F.explode(F.filter(ordered.window_starts(F.col("stop"), 432000.0, 216000.0), lambda s: (F.col("t") >= s) & (F.col("t") < F.least(s + 432000.0, F.col("stop"))))))
-    return d.groupBy("track", "start").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).filter("n >= 10").withColumn("start", F.round("start", 3))
+    return d.groupBy("track", "start").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).filter("n >= 10").withColumn("start", F.round("start", 3))
 
 
 def _cluster_sql() -> str:
@@ -246,7 +246,7 @@ def nearest_asof_both(spark, sf):
 
 @query(f"""with {states_sql()}, {RUNS}, s as (select r.track, start, round(avg("full"), 4) as e from runs r join bars b on b.track = r.track and b.bar >= start and b.bar < start + length group by r.track, start),
 p as (select *, (rank() over (partition by track order by e) - 1 + (count(*) over (partition by track, e) - 1) / 2.0) / greatest(1, count(*) over (partition by track) - 1) as r, row_number() over (partition by track order by start) as i, count(*) over (partition by track) as n from s)
-select track, start, round(r, 6) as rank, case when i = 1 and r < 0.5 then 'intro' when i = n and r < 0.5 then 'outro' when r >= 0.75 then 'chorus' when r <= 0.25 then 'break' else 'verse' end as label from p""")
+select track, start, round(r + 1e-9, 6) as rank, case when i = 1 and r < 0.5 then 'intro' when i = n and r < 0.5 then 'outro' when r >= 0.75 then 'chorus' when r <= 0.25 then 'break' else 'verse' end as label from p""")
 def energy_percentile_rank(spark, sf):
     st = layout.states(base.bars(spark, sf), K)
     # a run's bars carry its start, so that energies need no range join
@@ -255,7 +255,7 @@ def energy_percentile_rank(spark, sf):
     r = s.withColumn("r", ordered.percentile_rank(K, "e"))
     i, n = F.row_number().over(ordered.by(K, "start")), F.count("*").over(Window.partitionBy("track"))
     label = F.when((i == 1) & (F.col("r") < 0.5), "intro").when((i == n) & (F.col("r") < 0.5), "outro").when(F.col("r") >= 0.75, "chorus").when(F.col("r") <= 0.25, "break").otherwise("verse")
-    return r.select("track", "start", F.round("r", 6).alias("rank"), label.alias("label"))
+    return r.select("track", "start", F.round(F.col("r") + 1e-9, 6).alias("rank"), label.alias("label"))
 
 
 def _monotonic_sql() -> str:
@@ -313,11 +313,11 @@ def peak_envelope(spark, sf):
     return p.join(n, ["track", "bucket"])
 
 
-@query(f"""with {EV}, n as (select track, user_id, count(*) as n, sum(value) as v from ev group by 1, 2) select track, case when n >= 3 and v > 100 then 'written' when n >= 2 then 'skipped' else 'failed' end as status, count(*) as n, round(sum(v), 4) as total, round(avg(v), 6) as mean from n group by 1, 2""")
+@query(f"""with {EV}, n as (select track, user_id, count(*) as n, sum(value) as v from ev group by 1, 2) select track, case when n >= 3 and v > 100 then 'written' when n >= 2 then 'skipped' else 'failed' end as status, count(*) as n, round(sum(v), 4) as total, round(avg(v) + 1e-9, 6) as mean from n group by 1, 2""")
 def run_summary(spark, sf):
     n = base.events(spark, sf).groupBy("track", "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
     s = F.when((F.col("n") >= 3) & (F.col("v") > 100), "written").when(F.col("n") >= 2, "skipped").otherwise("failed")
-    return n.groupBy("track", s.alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.avg("v"), 6).alias("mean"))
+    return n.groupBy("track", s.alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.avg("v") + 1e-9, 6).alias("mean"))
 
 
 @query()

@@ -97,13 +97,13 @@ _PRED = """p as (select doc_id, cast(n_chars as double) as v, case when doc_id %
 d as (select l.doc_id, lang, quality, v, t, 60.0 + doc_id % 60 as bpm, abs(t - v) as err from labels l join documents using (doc_id) join p using (doc_id))"""
 
 
-@query(f"""with {_PRED} select lang, quality, count(*) as n, count(*) filter (where err is null) as omitted, round(count(*) filter (where err <= 60.0 / bpm * 60) / count(*), 6) as beat_rate, round(count(*) filter (where err <= 240.0 / bpm * 60) / count(*), 6) as bar_rate, round(coalesce(avg(err), 0), 6) as mae from d group by 1, 2""")
+@query(f"""with {_PRED} select lang, quality, count(*) as n, count(*) filter (where err is null) as omitted, round(count(*) filter (where err <= 60.0 / bpm * 60) / count(*) + 1e-9, 6) as beat_rate, round(count(*) filter (where err <= 240.0 / bpm * 60) / count(*) + 1e-9, 6) as bar_rate, round(coalesce(avg(err), 0) + 1e-9, 6) as mae from d group by 1, 2""")
 def slot_metrics(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("v"))
     t = F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("v") + F.col("doc_id") % 7 * 40)
     d = table(spark, sf, "labels").select("doc_id", "quality").join(docs, "doc_id").withColumn("err", F.abs(t - F.col("v"))).withColumn("bpm", (60.0 + F.col("doc_id") % 60) / 60)
     m = scoring.metrics(d, ["lang", "quality"])
-    return m.select("lang", "quality", "n", "omitted", *[F.round(c, 6).alias(c) for c in ("beat_rate", "bar_rate", "mae")])
+    return m.select("lang", "quality", "n", "omitted", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("beat_rate", "bar_rate", "mae")])
 
 
 @query("""with o as (select o_custkey, max(o_totalprice) as given from orders group by 1)
