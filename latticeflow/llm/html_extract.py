@@ -271,11 +271,6 @@ def signature(node: Node) -> str:
 
 def skeleton(root: Node) -> list:
     """The folded token stream: strings (tags and '#'), or tuples ('+', items...) for repeated groups."""
-    out: list = []
-    stack: list[tuple[object, list, list | None]] = []
-
-    def close(items: list) -> list:
-        return fold(items)
 
     def build(node: Node, depth: int) -> list:
         items: list = []
@@ -287,15 +282,12 @@ def skeleton(root: Node) -> list:
                 if depth < 200:
                     items.append(("e", signature(c), *build(c, depth + 1)))
             elif c.name not in VOID and c.name not in RAW:
-                inner = build(c, depth + 1) if depth < 200 else []
-                for i in inner:
+                for i in build(c, depth + 1) if depth < 200 else []:
                     if i != "#" or not items or items[-1] != "#":
                         items.append(i)
-        return close(items)
+        return fold(items)
 
-    del stack
-    out.extend(build(root, 0))
-    return out
+    return build(root, 0)
 
 
 def fold(items: list) -> list:

@@ -24,7 +24,7 @@ import base64
 import hashlib
 import os
 import re
-from urllib.parse import quote, urlparse
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -258,10 +258,6 @@ def read_archive(spark: SparkSession, path: str, selected: DataFrame, gap: int =
     return ordered.mapInArrow(_read_selected(f"{path}/warc", gap, chunk, with_body), _READ)
 
 
-def host_of(url: str | None) -> str:
-    return (urlparse(url or "").hostname or "").lower()
-
-
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     index = write_archive(spark, table(spark, sf_dir, "pages"), path)
