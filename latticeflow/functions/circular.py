@@ -26,7 +26,7 @@ def circular_variance(t: Column, w: Column, period: Column) -> Column:
     return F.when(total > 0, 1 - F.sqrt(c * c + s * s) / total).otherwise(1.0)
 
 
-def circular_mean(t: Column, w: Column, period: Column, least: Column | None = None) -> Column:
+def circular_mean(t: Column, w: Column, period: Column) -> Column:
     """The mean phase in [0, p); 0 without positive weight.  ``period`` is constant in the group."""
     c, s, total = _sums(t, w, period)
     p = F.max(period)

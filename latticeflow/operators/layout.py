@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lattice import PHRASE, SNAP_MAX, last_phrase_after, last_phrase_between, last_phrase_upto, snap_phrase
+from ..functions.lattice import PHRASE, last_phrase_after, last_phrase_between, last_phrase_upto, snap_phrase
 from ..functions.text import event_note
 from .ordered import by, first_steady, hysteresis, run_history, runs
 
@@ -222,4 +222,4 @@ def snap_all(df: DataFrame, anchor: Column, period: Column) -> DataFrame:
     return df.select(*[snap_nonnegative(F.col(c), anchor, period).alias(c) if c in SLOTS else F.col(c) for c in df.columns])
 
 
-__all__ = ["RELAXED", "RULES", "SNAP_MAX", "Rules", "layout", "loop_starts", "monotonic", "raw_events", "snap_all", "states"]
+__all__ = ["RELAXED", "RULES", "Rules", "layout", "loop_starts", "monotonic", "raw_events", "snap_all", "states"]

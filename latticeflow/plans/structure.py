@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.circular import circular_distance, circular_mean, circular_variance
 from ..functions.lattice import last_phrase_after, last_phrase_between, last_phrase_upto, nearest_phrase, nudge, octave_ratio, phrase_offset, snap_nonnegative, snap_phrase, snap_to_bar
-from ..functions.text import event_note, minutes_seconds, pad_letter
+from ..functions.text import event_note, pad_letter
 from ..operators import grid, layout, legacy, ordered
 from . import base
 from .base import BARS, EV, K, LOOPS, RUNS, STEADY, events_sql, layout_sql, near_sql, note_sql, snap_sql, states_sql
@@ -332,10 +332,6 @@ def octave_tempo_ratio(spark, sf):
     return base.table(spark, sf, "part").select("p_partkey", F.round(octave_ratio(F.col("p_retailprice"), F.col("p_size").cast("double")), 6).alias("ratio"))
 
 
-def minutes_report(spark, sf):
-    return base.events(spark, sf).select("event_id", minutes_seconds(F.col("t")).alias("at"))
-
-
 @query(f"with {EV} select event_id, cast(floor(t / 60) as bigint) as minute, {near_sql('cast(floor(t / 60) as bigint)', '5')} as phrase from ev")
 def minute_phrase(spark, sf):
     m = F.floor(F.col("t") / 60).cast("long")

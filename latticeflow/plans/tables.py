@@ -12,7 +12,7 @@ from ..functions.text import file_name, file_stem, file_url_path, list_items, nf
 from ..operators import ordered, policy, scoring, segmentation, signal
 from ..sources import archive, files, library
 from . import base
-from .base import EV, K, table
+from .base import EV, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
