@@ -1,11 +1,11 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions alone.
 
-A line of ``MIN_CHARS`` code points or more goes if an earlier line is equal to it or at most ``TAU``
-edits away; earlier means an occurrence in a document with a smaller doc_id, or above it in the same
+A line goes if an earlier line is equal to it or, both of ``MIN_CHARS`` code points or more, at most
+``TAU`` edits away; earlier means an occurrence in a document with a smaller doc_id, or above it in the same
 document (an equal line counts by its first occurrence).  It goes wherever it occurs, but for the
-first occurrence of a line that nothing earlier is near.  Shorter lines always stay.
+first occurrence of a line that nothing earlier is near.  Blank lines (white space alone) always stay.
 
-Distinct lines are cut into ``TAU`` + 1 even segments: after at most ``TAU`` edits one of them is still
+Distinct lines of that length are cut into ``TAU`` + 1 even segments: after at most ``TAU`` edits one of them is still
 there, moved by at most ``TAU``.  So each line files its segments under (length, which, text) and looks
 up its own substrings at the places that the multi-match-aware selection allows for each length from
 its own down to ``TAU`` less; keys are hashed to 64 bits, and what meets is
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ._spark import drop_table, materialize, maybe_broadcast, release_shuffles, table
 
+#: Edits between near lines, and the least length of both; equal lines meet whatever their length.
 TAU, MIN_CHARS = 2, 40
 #: Lines that file one segment from which they are sketched before they meet.
 HOT = 6
@@ -63,9 +64,9 @@ def probes(tau: int) -> list[tuple[int, int, int]]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, version, at, line) of each line long enough; doc is doc_id, the largest number for null; version tells texts of one doc_id apart."""
+    """(doc, version, at, line) of each line that is not blank; doc is doc_id, the largest number for null; version tells texts of one doc_id apart."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return d.select("doc", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.length("line") >= MIN_CHARS)
+    return d.select("doc", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.col("line").rlike(r"\S"))
 
 
 def _names(line: str) -> list[F.Column]:
@@ -177,7 +178,7 @@ def marks(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> tuple[DataFra
     ids = grouped.select("h1", "h2", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", "line", F.monotonically_increasing_id().alias("id"))
     distinct = materialize(spark, ids, "lines")
     release_shuffles(spark)
-    met = materialize(spark, candidates(sketched(spark, distinct.select("id", "line"), tau), tau).distinct(), "candidates")
+    met = materialize(spark, candidates(sketched(spark, distinct.select("id", "line").filter(F.length("line") >= MIN_CHARS), tau), tau).distinct(), "candidates")
     release_shuffles(spark)
     n_met = met.count()
     wanted = materialize(spark, met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")

@@ -466,6 +466,28 @@ def test_line_dedup(spark):
     assert line_dedup.strip_lines(spark, table(spark, [])).count() == 0
 
 
+def test_line_dedup_equal_lines_of_every_length(spark):
+    short = "Of, edti oner."
+    rows = [(1, f"{short}\n\nown line", "s"), (2, f"{short}\n\nOf, edti onr.\n \n ", "s"), (3, f"x\nx\n\t\n\t\n{short}", "s"), (None, "x", "s")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.strip_lines(spark, table(spark, rows)).collect()}
+    assert got == {1: f"{short}\n\nown line", 2: "\nOf, edti onr.\n \n ", 3: "x\n\t\n\t", None: ""}
+    # random lines: brute force over long lines, then the repeats of short ones
+    rng = random.Random(13)
+    lines = [prose(rng, rng.randint(6, 12)) for _ in range(12)]
+    edit = lambda x, k: rng.choice([x[:k] + "é" + x[k:], x[:k] + x[k + 1 :], x[:k] + "x" + x[k + 1 :]])
+    twice = lambda x: edit(edit(x, rng.randrange(len(x))), rng.randrange(len(x) - 1))
+    rows = [(k, "\n".join(twice(rng.choice(lines)) if rng.random() < 0.7 else rng.choice(["short", "shorn", "", " "]) for _ in range(8)), "s") for k in range(40)]
+    seen, want = set(), []
+    for i, t, *_ in brute_lines(rows, 2, line_dedup.MIN_CHARS):
+        kept = []
+        for x in t.split("\n"):
+            if not x.strip() or x not in seen:
+                kept.append(x)
+            seen.add(x)
+        want.append((i, "\n".join(kept)))
+    assert Counter((r["doc_id"], r["text"]) for r in line_dedup.strip_lines(spark, table(spark, rows)).collect()) == Counter(want)
+
+
 def test_line_dedup_hot_family(spark):
     rng = random.Random(12)
     base = [rng.choice(WORDS) for _ in range(30)]
