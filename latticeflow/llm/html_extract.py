@@ -6,7 +6,7 @@ slots (#), optional groups (...)? and repeated groups (...)+.  A page's token st
 skeletons; per host these are aligned one after the other, mismatches becoming optional groups, and
 differing texts becoming slots.  The result is the host's wrapper.
 
-The wrapper tells text slots from the template's own words (equal on all pages).  Text is taken from the
+The wrapper tells text slots from the template's own words (equal on ``SHARE`` % of the pages that hold text).  Text is taken from the
 article's region: what a page marks as article or main, else the wrapper's container that holds three
 quarters of the text of the host's pages that is not template, always without the regions that are no
 article (menus, headers, footers, sidebars, notices, adverts, forms, comments).  A fixed text outside a
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from ._spark import materialize, table
 
 MAX_SKELETONS = 64
-#: Pages of a host from which equal texts count as its template.
-MIN_PAGES = 4
+#: Pages of a host from which equal texts count as its template, and the hundredths of its pages with text that have one.
+MIN_PAGES, SHARE = 4, 90
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -414,7 +414,7 @@ def containers(path: str) -> list[str]:
 def _evidence(batches):
     """(host, kind, value, n), summed per batch.
 
-    s: pages of a skeleton; n: pages without a marked article; and of those, t: pages that have a text, as
+    s: pages of a skeleton; n: pages with text but without a marked article; and of those, t: pages that have a text, as
     digest, length and path; w: characters of text in a container.
     """
     import json
@@ -425,9 +425,9 @@ def _evidence(batches):
             host = host_of(url.as_py())
             root = parse(page.as_py() or "")
             count[host, "s", json.dumps(to_json(skeleton(root)), ensure_ascii=False, separators=(",", ":"))] += 1
-            if not regions(root):
+            held = blocks(root)
+            if held and not regions(root):
                 count[host, "n", ""] += 1
-                held = blocks(root)
                 for p, t in held:
                     for c in containers(p):
                         count[host, "w", c] += len(t)
@@ -458,7 +458,7 @@ def wrappers(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFram
     top = seen.filter("kind = 's'").withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "value"))).filter(F.col("r") <= MAX_SKELETONS)
     made = top.select("host", "value", "n").groupBy("host").applyInPandas(_infer_group, "host string, wrapper string")
     size = seen.filter("kind = 'n'").select("host", F.col("n").alias("pages"))
-    fixed = seen.filter("kind = 't'").join(size, "host").filter((F.col("pages") >= MIN_PAGES) & (F.col("n") == F.col("pages")))
+    fixed = seen.filter("kind = 't'").join(size, "host").filter((F.col("pages") >= MIN_PAGES) & (100 * F.col("n") >= SHARE * F.col("pages")))
     fixed = fixed.select("host", "n", *[F.split("value", " ", 3)[i].alias(c) for i, c in enumerate(("digest", "length", "path"))])
     around = F.udf(containers, "array<string>")
     less = fixed.select("host", F.explode(around("path")).alias("path"), (-F.col("n") * F.col("length").cast("long")).alias("w"))

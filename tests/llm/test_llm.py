@@ -393,6 +393,14 @@ def test_html_wrapper_and_odd_pages(spark):
     assert q.filter("n_chars <> length(text)").count() == 0
 
 
+def test_html_template_despite_pages_without_it(spark):
+    page = "<div><h1>Head {k}</h1><p>Text of page {k} alone</p></div><p>Follow us on things</p>"
+    rows = [(k, "http://h.example/a", page.format(k=k)) for k in range(10)]
+    rows += [(20, "http://h.example/", ""), (21, "http://h.example/", None), (22, "http://h.example/", "<script>x</script>"), (23, "http://h.example/", "<p>Not found</p>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"Head {k}\n\nText of page {k} alone" for k in range(10)}, 20: "", 21: "", 22: "", 23: "Not found"}
+
+
 def test_wrapper_inference():
     pages = ["<div><h1>a</h1><p>x</p></div>", "<div><h1>b</h1><p>x</p><p>y</p><p>z</p></div>", "<div><h1>c</h1><img><ul><li>1</ul></div>"]
     w = html_extract.infer([(html_extract.skeleton(html_extract.parse(p)), 1) for p in pages])
