@@ -9,8 +9,8 @@ differing texts becoming slots.  The result is the host's wrapper.
 The wrapper tells text slots from the template's own words (equal on ``SHARE`` % of the pages that hold text).  Text is taken from the
 article's region: what a page marks as article or main, else the wrapper's container that holds three
 quarters of the text of the host's pages that is not template, always without the regions that are no
-article (menus, headers, footers, sidebars, notices, adverts, forms, comments).  A fixed text outside a
-marked article is template; inside it, it stays.
+article (menus, headers, footers, sidebars, notices, adverts, forms, comments).  A fixed text is template
+and goes, in a marked article too, unless nothing else is in it.
 
 All pages take part in the inference: a page contributes a skeleton and hashed fixed texts, combined
 before the shuffle.  Of skeletons a host may have without end, the ``MAX_SKELETONS`` most frequent are
@@ -220,8 +220,21 @@ def texts(node: Node):
             stack.extend(reversed(x.children))
 
 
-def blocks(node: Node, fixed: frozenset = frozenset()) -> list[tuple[str, str]]:
-    """(path, text) of each block below ``node``, in page order, white space folded."""
+def article(root: Node) -> list[tuple[str, str]]:
+    """(path, text) of each block of the page's marked regions; paths are the page's, as of ``blocks(root)``."""
+    out: list[tuple[str, str]] = []
+    for r in regions(root):
+        around, up = [], r.parent
+        while up is not None and up.parent is not None:
+            if up.name in BLOCK:
+                around.append(f"/{signature(up)}")
+            up = up.parent
+        out += blocks(r, "".join(reversed(around)))
+    return out
+
+
+def blocks(node: Node, at: str = "") -> list[tuple[str, str]]:
+    """(path, text) of each block below ``node``, whose own place is ``at``, in page order, white space folded."""
     out: list[tuple[str, str]] = []
     held: list[str] = []
     where = ""
@@ -234,7 +247,7 @@ def blocks(node: Node, fixed: frozenset = frozenset()) -> list[tuple[str, str]]:
                 out.append((path, text))
 
     # an explicit stack: pages may be nested deeply
-    stack: list[tuple[object, str, bool]] = [(node, "", False)]
+    stack: list[tuple[object, str, bool]] = [(node, at, False)]
     while stack:
         x, path, end = stack.pop()
         if end:
@@ -414,7 +427,7 @@ def containers(path: str) -> list[str]:
 def _evidence(batches):
     """(host, kind, value, n), summed per batch.
 
-    s: pages of a skeleton; n: pages with text but without a marked article; and of those, t: pages that have a text, as
+    s: pages of a skeleton; n: pages with text; and of those, t: pages that have a text, as
     digest, length and path; w: characters of text in a container.
     """
     import json
@@ -426,12 +439,12 @@ def _evidence(batches):
             root = parse(page.as_py() or "")
             count[host, "s", json.dumps(to_json(skeleton(root)), ensure_ascii=False, separators=(",", ":"))] += 1
             held = blocks(root)
-            if held and not regions(root):
+            if held:
                 count[host, "n", ""] += 1
                 for p, t in held:
                     for c in containers(p):
                         count[host, "w", c] += len(t)
-                for p, t in set(held):
+                for p, t in {*held, *article(root)}:
                     count[host, "t", f"{_digest(p, t)} {len(t)} {p}"] += 1
         keys = list(count)
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([count[k] for k in keys], pa.int64())], names=["host", "kind", "value", "n"])
@@ -449,7 +462,7 @@ def _infer_group(key, pdf):
 
 def wrappers(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(host, wrapper): the inferred wrappers; (host, value): digests of fixed texts; (host, path): the containers
-    that hold the most text that is not fixed, deepest last.  The last two are of pages without a marked article."""
+    that hold the most text that is not fixed, deepest last."""
     from pyspark.sql import Window
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -476,9 +489,10 @@ def main_text(page: str | None, fixed: frozenset = frozenset(), slots: frozenset
     the path of the container that holds the text of the host's pages.
     """
     root = parse(page or "")
-    held = regions(root)
+    held = article(root)
     if held:
-        return "\n\n".join(t for r in held for _, t in blocks(r))
+        own = [t for p, t in held if str(_digest(p, t)) not in fixed] if fixed else []
+        return "\n\n".join(own or [t for _, t in held])
     found = [(p, t) for p, t in blocks(root) if str(_digest(p, t)) not in fixed]
     conforms = region and slots and all(p in slots for p, _ in found)
     inside = [(p, t) for p, t in found if p == region or p.startswith(region + "/")] if conforms else []

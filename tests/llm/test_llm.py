@@ -401,6 +401,15 @@ def test_html_template_despite_pages_without_it(spark):
     assert got == {**{k: f"Head {k}\n\nText of page {k} alone" for k in range(10)}, 20: "", 21: "", 22: "", 23: "Not found"}
 
 
+def test_html_template_in_marked_articles(spark):
+    page = "<body><div><article><h1>Head {k}</h1><p>Read our other offers</p><p>Text of page {k} alone</p></article></div></body>"
+    rows = [(k, "http://h.example/a", page.format(k=k)) for k in range(6)]
+    rows += [(10 + k, "http://same.example/", page.format(k=1)) for k in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Head 1\n\nRead our other offers\n\nText of page 1 alone"
+    assert got == {**{k: f"Head {k}\n\nText of page {k} alone" for k in range(6)}, **{10 + k: whole for k in range(5)}}
+
+
 def test_wrapper_inference():
     pages = ["<div><h1>a</h1><p>x</p></div>", "<div><h1>b</h1><p>x</p><p>y</p><p>z</p></div>", "<div><h1>c</h1><img><ul><li>1</ul></div>"]
     w = html_extract.infer([(html_extract.skeleton(html_extract.parse(p)), 1) for p in pages])
