@@ -13,9 +13,9 @@ article (menus, headers, footers, sidebars, notices, adverts, forms, comments).
 and goes, in a marked article too, unless nothing else is in it.
 
 All pages take part in the inference: a page contributes a skeleton and hashed fixed texts, combined
-before the shuffle.  Of skeletons a host may have without end, the ``MAX_SKELETONS`` most frequent are
-aligned; a page whose skeleton the wrapper does not hold is extracted from its own tree by the same
-rules, so nothing is dropped.
+before the shuffle.  Of skeletons a host may have without end: ``GROUP`` or so are aligned into a partial
+wrapper, and these again, until the host has one.  What is nested ``DEEP`` levels or more is held flat, by
+its paths; streams too long for a table are aligned at their ends, and between by keys.
 
 Defined cases: null or empty html gives the empty text; a null or odd url is host ''; unclosed and
 stray tags are repaired (p and li close themselves, an end tag closes what is open inside it, ends
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from ._spark import materialize, table
 
-MAX_SKELETONS = 64
+#: Skeletons that are aligned into one partial wrapper; levels of nesting from which a skeleton is flat.
+GROUP, DEEP = 64, 200
 #: Pages of a host from which equal texts count as its template, and the hundredths of its pages with text that have one.
 MIN_PAGES, SHARE = 4, 90
 
@@ -292,10 +293,9 @@ def skeleton(root: Node) -> list:
                 if c.strip() and (not items or items[-1] != "#"):
                     items.append("#")
             elif c.name in BLOCK:
-                if depth < 200:
-                    items.append(("e", signature(c), *build(c, depth + 1)))
+                items.append(("e", signature(c), *(build(c, depth + 1) if depth < DEEP else flat(c))))
             elif c.name not in VOID and c.name not in RAW:
-                for i in build(c, depth + 1) if depth < 200 else []:
+                for i in build(c, depth + 1) if depth < DEEP else flat(c):
                     if i != "#" or not items or items[-1] != "#":
                         items.append(i)
         return fold(items)
@@ -303,6 +303,22 @@ def skeleton(root: Node) -> list:
     return build(root, 0)
 
 
+def flat(node: Node) -> list:
+    """The slots below ``node``, each under one item that has its path for a name: no nesting."""
+    out: list = []
+    stack: list[tuple[object, str]] = [(c, "") for c in reversed(node.children)]
+    while stack:
+        x, path = stack.pop()
+        if isinstance(x, str):
+            item = ("e", path[1:], "#") if path else "#"
+            if x.strip() and (not out or out[-1] != item):
+                out.append(item)
+        elif x.name not in VOID and x.name not in RAW:
+            here = f"{path}/{signature(x)}" if x.name in BLOCK else path
+            stack.extend((c, here) for c in reversed(x.children))
+    return fold(out)
+
+
 def fold(items: list) -> list:
     """Adjacent items of one kind become a repeated group; their bodies are aligned into one."""
     out: list = []
@@ -348,8 +364,7 @@ def align(a: list, b: list) -> list:
     """Align two streams: equal items merge (longest common subsequence), the others become optional."""
     n, m = len(a), len(b)
     if n * m > 250_000:
-        keys = {_key(x) for x in a}
-        return [*a, *[_optional(x) for x in b if _key(x) not in keys]]
+        return _align_long(a, b)
     ka, kb = [_key(x) for x in a], [_key(x) for x in b]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -370,6 +385,23 @@ def align(a: list, b: list) -> list:
     return out
 
 
+def _align_long(a: list, b: list) -> list:
+    """Equal beginnings and ends merge; between, the items of one key in both become one optional repeated item."""
+    ka, kb = [_key(x) for x in a], [_key(x) for x in b]
+    most = min(len(a), len(b))
+    i = next((k for k in range(most) if ka[k] != kb[k]), most)
+    j = next((k for k in range(most - i) if ka[-1 - k] != kb[-1 - k]), most - i)
+    held: dict = {}
+    for x in a[i : len(a) - j] + b[i : len(b) - j]:
+        held[_key(x)] = _merge(held[_key(x)], x) if _key(x) in held else x
+    between = []
+    for x in held.values():
+        x = x[1] if isinstance(x, tuple) and x[0] == "?" else x
+        between.append(("?", x if isinstance(x, tuple) and x[0] == "+" else ("+", x)))
+    ends = list(zip(a[len(a) - j :], b[len(b) - j :], strict=True))
+    return [*[_merge(x, y) for x, y in zip(a[:i], b[:i], strict=True)], *between, *[_merge(x, y) for x, y in ends]]
+
+
 def _optional(x):
     return x if isinstance(x, tuple) and x[0] == "?" else ("?", x)
 
@@ -457,19 +489,26 @@ def _infer_group(key, pdf):
 
     rows = sorted(zip(pdf["value"], pdf["n"], strict=True), key=lambda r: (-r[1], r[0]))
     wrapper = infer([(from_json(json.loads(v)), n) for v, n in rows])
-    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(to_json(wrapper), ensure_ascii=False, separators=(",", ":"))]})
+    return pd.DataFrame({"host": [key[0]], "n": [int(pdf["n"].sum())], "value": [json.dumps(to_json(wrapper), ensure_ascii=False, separators=(",", ":"))]})
 
 
 def wrappers(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(host, wrapper): the inferred wrappers; (host, value): digests of fixed texts; (host, path): the containers
     that hold the most text that is not fixed, deepest last."""
-    from pyspark.sql import Window
-
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     seen = rows.mapInArrow(_evidence, "host string, kind string, value string, n long").groupBy("host", "kind", "value").agg(F.sum("n").alias("n"))
     seen = materialize(spark, seen, "evidence")
-    top = seen.filter("kind = 's'").withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "value"))).filter(F.col("r") <= MAX_SKELETONS)
-    made = top.select("host", "value", "n").groupBy("host").applyInPandas(_infer_group, "host string, wrapper string")
+    made = seen.filter("kind = 's'").select("host", "value", "n")
+    while True:
+        # a host's skeletons, then its partial wrappers, in groups by a hash of them, until each host has one
+        size = made.groupBy("host").agg(F.count("*").alias("of"))
+        most = size.agg(F.max("of")).first()[0] or 0
+        groups = made.join(size, "host").withColumn("part", F.pmod(F.xxhash64("value"), F.ceil(F.col("of") / GROUP)))
+        made = groups.groupBy("host", "part").applyInPandas(_infer_group, "host string, n long, value string")
+        if most <= GROUP:
+            break
+        made = materialize(spark, made, "partial").groupBy("host", "value").agg(F.sum("n").alias("n"))
+    made = made.select("host", F.col("value").alias("wrapper"))
     size = seen.filter("kind = 'n'").select("host", F.col("n").alias("pages"))
     fixed = seen.filter("kind = 't'").join(size, "host").filter((F.col("pages") >= MIN_PAGES) & (100 * F.col("n") >= SHARE * F.col("pages")))
     fixed = fixed.select("host", "n", *[F.split("value", " ", 3)[i].alias(c) for i, c in enumerate(("digest", "length", "path"))])

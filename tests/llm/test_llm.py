@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables, with nulls, empties, ties, repeats and odd columns."""
 
 import hashlib
+import json
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -410,6 +411,18 @@ def test_html_template_in_marked_articles(spark):
     assert got == {**{k: f"Head {k}\n\nText of page {k} alone" for k in range(6)}, **{10 + k: whole for k in range(5)}}
 
 
+def test_wrapper_holds_all_skeletons(spark):
+    tree = html_extract.parse
+    rows = [(k, "http://h.example/", f"<section class='x{chr(97 + k % 26)}{chr(97 + k // 26)}'><p>x</p></section>") for k in range(150)]
+    made, _, _ = html_extract.wrappers(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    (host,) = made.collect()
+    slots = html_extract.paths(html_extract.from_json(json.loads(host["wrapper"])))
+    assert slots == {p for r in rows for p, _ in html_extract.blocks(tree(r[2]))} and len(slots) == 150
+    for pages in (["<div>" * 300 + "deep<p>in <b>bold</b></p>" + "</div>" * 300 + "<p>x</p>"], ["".join(f"<h2>a</h2><p>{k}</p>" for k in range(300)), "<h2>a</h2><ul><li>b</ul><p>x<div><p>y</p></div>" + "<h2>a</h2><p>b<ol><li>c</ol>" * 300 + "<p>z</p>"]):
+        wrapper = html_extract.infer([(html_extract.skeleton(tree(p)), 1) for p in pages])
+        assert {p for x in pages for p, _ in html_extract.blocks(tree(x))} <= html_extract.paths(wrapper)
+
+
 def test_wrapper_inference():
     pages = ["<div><h1>a</h1><p>x</p></div>", "<div><h1>b</h1><p>x</p><p>y</p><p>z</p></div>", "<div><h1>c</h1><img><ul><li>1</ul></div>"]
     w = html_extract.infer([(html_extract.skeleton(html_extract.parse(p)), 1) for p in pages])
