@@ -145,7 +145,7 @@ class Voters:
         weighed = sum(min(count[w], BURST) * max([self.weight.get(f"={w}", 0.0), *(self.weight.get(f"{k}{w[:k]}", 0.0) for k in PREFIXES), 2.0 * (w in LEXICON)]) for w in hit)
         per = lambda k: math.log((k + 0.05) / (n + 20))
         insult = len(_INSULT.findall(text)) if lexicon else 0
-        censored, shout = len(_CENSORED.findall(text)) if "**" in text or "@#" in text else 0, len(_SHOUT.findall(text))
+        censored, shout = len(_CENSORED.findall(text)) if any(m in text for m in "*@#$%") else 0, len(_SHOUT.findall(text))
         say = lambda x, most=1: 1 if x >= most else -1
         only = lambda x: 1 if x else 0
         votes = [only(lexicon), only(insult), only(censored), only(shout), 1 if lexicon >= 3 else 0, *[say(g) if self.words else 0 for g in groups], *[0 if not self.begins[k] else 1 if begins[k] * 80 >= n and begins[k] else -1 if not begins[k] else 0 for k in PREFIXES], 1 if n and hits * 40 >= n and hits else -1 if hits * 400 < n else 0]

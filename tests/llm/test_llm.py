@@ -268,6 +268,14 @@ def test_discriminant_is_the_density_ratio():
         assert np.allclose(((d @ model.factors[k].T) ** 2).sum(axis=1), direct)
 
 
+def test_censored_words_of_all_marks():
+    voters, at = toxicity.Voters([]), toxicity.FEATURES.index("censored")
+    for word in ("f**k", "f##k", "a$$hole", "f%%k", "b@@ch", "f*#k"):
+        votes, x = voters.see(f"you {word} there")
+        assert votes[2] == 1 and x[at] > 0
+    assert voters.see("a 5% share, c# and * or $")[0][2] == 0
+
+
 def test_label_model_finds_accurate_voters():
     rng = np.random.default_rng(1)
     m = len(toxicity.VOTERS)
