@@ -19,7 +19,8 @@ def score(truth: DataFrame, predicted: DataFrame, tempo: DataFrame, engines: Dat
     the shuffle.
     """
     engines = predicted.select("engine").distinct() if engines is None else engines
-    rows = truth.join(tempo, "path").join(F.broadcast(engines.limit(64)), how="cross")
+    engines = F.broadcast(engines) if engines.count() <= 100_000 else engines
+    rows = truth.join(tempo, "path").join(engines, how="cross")
     p = predicted.select("engine", "path", "slot", F.col("t").alias("p"))
     d = rows.join(p, ["engine", "path", "slot"], "left").withColumn("err", F.abs(F.col("p") - F.col("t")))
     return metrics(d, ["engine", "slot"])

@@ -174,9 +174,10 @@ def parity_clusters(spark, sf):
     e, p = base.events(spark, sf), 43200.0
     pl = F.lit(p)
     c = e.groupBy("track").agg(circular_mean(F.col("t"), F.col("value"), pl).alias("c0")).withColumn("c1", (F.col("c0") + p / 2) % p)
+    few = e.select("track").distinct().count() <= 100_000
     for k in (1, 2):
         apart = lambda x: circular_distance(F.pmod(F.col("t"), pl), F.col(x), p)
-        d = e.join(F.broadcast(c.limit(100_000)), "track").withColumn("m", apart("c0") <= apart("c1"))
+        d = e.join(F.broadcast(c) if few else c, "track").withColumn("m", apart("c0") <= apart("c1"))
         if k == 1:
             mean = lambda cond, old: F.coalesce(F.when(F.count_if(cond) > 0, circular_mean(F.when(cond, F.col("t")), F.when(cond, F.col("value")), pl)), F.max(old))
             c = d.groupBy("track").agg(mean(F.col("m"), "c0").alias("c0"), mean(~F.col("m"), "c1").alias("c1"))

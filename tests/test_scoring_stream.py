@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from latticeflow.functions import file_url_path, minutes_seconds, octave_ratio, snap_nonnegative
 from latticeflow.operators import ordered, policy, scoring
+from latticeflow.plans.registry import QUERIES
 from latticeflow.sources import files
 from latticeflow.streaming import bar_states, closed_runs, stream_files
 
@@ -22,6 +23,15 @@ def test_score(spark, tmp_path):
     assert sorted(map(tuple, files.ground_truth(spark, str(tmp_path / "t.json")).collect())) == [("x", "A", 1.0), ("x", "D", 2.5)]
 
 
+def test_no_engine_or_track_is_lost(spark, tmp_path):
+    truth, tempo = spark.createDataFrame([("p", "A", 10.0)], "path string, slot string, t double"), spark.createDataFrame([("p", 120.0)], "path string, bpm double")
+    pred = spark.range(70).select(F.concat(F.lit("e"), "id").alias("engine"), F.lit("p").alias("path"), F.lit("A").alias("slot"), F.lit(10.0).alias("t"))
+    assert scoring.score(truth, pred, tempo).filter("n = 1 and omitted = 0").count() == 70
+    events = spark.range(100_500).select(F.col("id").cast("string").alias("event_type"), F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit(1.0).alias("value"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("ts"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["parity_clusters"](spark, str(tmp_path)).count() == 100_500
+
+
 def test_functions(spark):
     r = spark.range(1).select(
         octave_ratio(F.lit(120.0), F.lit(60.1)).alias("o"), octave_ratio(F.lit(0.0), F.lit(1.0)).alias("i"), snap_nonnegative(F.lit(0.1), F.lit(0.4), F.lit(0.5)).alias("s"),
