@@ -7,7 +7,7 @@ partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lattice import PHRASE, last_phrase_after, last_phrase_between, last_phrase_upto, snap_phrase
 from ..functions.text import event_note
-from .ordered import by, first_steady, hysteresis, run_history, runs
+from .ordered import by, hysteresis, steady, with_runs
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,7 @@ class Rules:
     a_steady: float = 0.75
 
 
+SLOTS = "abcdefgh"
 RULES = Rules()
 RELAXED = Rules(drop_on=2, drop_off=1, break_off=2, return_on=2)
 
@@ -52,19 +53,28 @@ def states(bars: DataFrame, keys: Sequence[str], rules: Rules = RULES) -> DataFr
     return d.withColumn("is_on", (F.col("loud") > 0) & on).withColumn("audible", (F.col("__p") <= 0) | (F.col("full") >= rules.audible * F.col("__p"))).drop("__p")
 
 
-def raw_events(r: DataFrame, keys: Sequence[str], n_bars: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """(keys, n_bars, d, e, f, off_before, off_end): raw bars of drop, break and return, the start of the
-    off run before the drop, and of a final off run.  ``r``: runs; ``n_bars``: (keys, n_bars)."""
+def with_events(rows: DataFrame, keys: Sequence[str], rules: Rules = RULES) -> DataFrame:
+    """Bars of ``states`` with their runs, and on each row n_bars and the raw bars d, e and f of drop, break and return."""
     over = Window.partitionBy(*keys)
-    h = run_history(r, keys, "is_on").join(n_bars, list(keys))
-    on, start, length = F.col("is_on"), F.col("start"), F.col("length")
-    drop = on & (length >= rules.drop_on) & (F.col("prev_off") >= rules.drop_off) & ((F.col("prev_on") >= 1) | (start >= rules.drop_share * F.col("n_bars")))
+    h = with_runs(rows, keys, "bar", "is_on").withColumn("n_bars", F.count("*").over(over))
+    new, on, start, length = F.col("run_new"), F.col("is_on"), F.col("bar"), F.col("run_length")
+    drop = new & on & (length >= rules.drop_on) & (F.col("prev_off") >= rules.drop_off) & ((F.col("prev_on") >= 1) | (start >= rules.drop_share * F.col("n_bars")))
     h = h.withColumn("d", F.min(F.when(drop, start)).over(over))
-    h = h.withColumn("e", F.min(F.when(~on & (start > F.col("d")) & (length >= rules.break_off), start)).over(over))
-    h = h.withColumn("f", F.min(F.when(on & (start > F.col("e")) & (length >= rules.return_on), start)).over(over))
-    before = F.max(F.when(on & (start == F.col("d")) & (F.col("prev_off") > 0), start - F.col("prev_off")))
-    trailing = F.max(F.when(~on & (start + length == F.col("n_bars")) & (length >= rules.outro_off), start))
-    return h.groupBy(*keys).agg(F.max("n_bars").alias("n_bars"), F.max("d").alias("d"), F.max("e").alias("e"), F.max("f").alias("f"), before.alias("off_before"), trailing.alias("off_end"))
+    h = h.withColumn("e", F.min(F.when(new & ~on & (start > F.col("d")) & (length >= rules.break_off), start)).over(over))
+    return h.withColumn("f", F.min(F.when(new & on & (start > F.col("e")) & (length >= rules.return_on), start)).over(over))
+
+
+def _event_columns(rules: Rules) -> list[Column]:
+    """Aggregates of ``with_events``: n_bars, d, e, f, off_before (the start of the off run before the drop), off_end (of a final off run)."""
+    new, on, start = F.col("run_new"), F.col("is_on"), F.col("bar")
+    before = F.max(F.when(new & on & (start == F.col("d")) & (F.col("prev_off") > 0), start - F.col("prev_off")))
+    trailing = F.max(F.when(new & ~on & (start + F.col("run_length") == F.col("n_bars")) & (F.col("run_length") >= rules.outro_off), start))
+    return [*[F.max(c).alias(c) for c in ("n_bars", "d", "e", "f")], before.alias("off_before"), trailing.alias("off_end")]
+
+
+def raw_events(rows: DataFrame, keys: Sequence[str], rules: Rules = RULES) -> DataFrame:
+    """(keys, n_bars, d, e, f, off_before, off_end) of bars of ``states``."""
+    return with_events(rows, keys, rules).groupBy(*keys).agg(*_event_columns(rules))
 
 
 def loop_starts(bars: DataFrame, keys: Sequence[str], length: int) -> DataFrame:
@@ -82,30 +92,27 @@ def settle(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__z")).select("__z.*")
 
 
-def _guard(ok: Column, value: Column) -> Column:
-    return F.when(ok, value)
-
-
 def layout(bars: DataFrame, keys: Sequence[str], locked: Column | None = None, rules: Rules = RULES) -> DataFrame:
-    """One row a track: n_bars, a .. h (bars, null if omitted) and notes (array).
+    """One row a track: n_bars, a .. h (bars, null if omitted), starts (seconds of the bars) and notes (array).
 
-    ``bars``: keys, bar (0 .. n - 1, gapless), kick, full.  ``locked``: whether the track's lattice is
-    trusted (an expression of the keys); without it nothing is moved to phrase boundaries.
+    ``bars``: keys, bar (0 .. n - 1, gapless), kick, full, and start (seconds; the bar's number if not there).
+    ``locked``: whether the track's lattice is trusted, an expression that is equal on all its rows; where it is
+    not, nothing is moved to phrase boundaries.  Windows of one order and one aggregate: one exchange by track.
     """
     keys = list(keys)
-    locked = F.lit(True) if locked is None else locked
-    st = states(bars, keys, rules)
-    n = st.groupBy(*keys).agg(F.count("*").alias("n_bars"))
-    ev = raw_events(runs(st, keys, "bar", "is_on"), keys, n, rules)
-    first = first_steady(st, keys, "bar", "kick", "loud", rules.a_least, rules.a_steady)
-    lp = loop_starts(st, keys, rules.loop).groupBy(*keys).agg(
-        F.max("loud").alias("loud"), F.max(F.when(F.col("audible"), F.col("bar"))).alias("__la"),
-        F.sort_array(F.collect_list(F.when(F.col("loop_ok"), F.col("bar")))).alias("loops"),
+    seconds = F.col("start").cast("double") if "start" in bars.columns else F.col("bar").cast("double")
+    marked = bars.withColumn("__locked", F.lit(True) if locked is None else F.coalesce(locked, F.lit(False))).withColumn("__at", F.struct("bar", seconds.alias("start")))
+    st = with_events(loop_starts(states(marked, keys, rules), keys, rules.loop), keys, rules)
+    st = st.withColumn("__steady", steady(keys, "bar", "kick", "loud", rules.a_least, rules.a_steady))
+    t = st.groupBy(*keys).agg(
+        *_event_columns(rules), F.coalesce(F.min(F.when(F.col("__steady"), F.col("bar"))), F.lit(0)).cast("long").alias("first"),
+        F.max("loud").alias("loud"), F.max(F.when(F.col("audible"), F.col("bar"))).alias("__la"), F.max("__locked").alias("locked"),
+        F.sort_array(F.collect_list(F.when(F.col("loop_ok"), F.col("bar")))).alias("loops"), F.array_sort(F.collect_list("__at"))["start"].alias("starts"),
     )
-    t = ev.join(first, keys).join(lp, keys).withColumn("locked", locked).withColumn("last_audible", F.coalesce("__la", F.col("n_bars") - 1))
+    t = t.withColumn("last_audible", F.coalesce("__la", F.col("n_bars") - 1))
     t = t.withColumnRenamed("first", "a").withColumn("full_layout", (F.col("loud") > 0) & (F.col("n_bars") >= rules.min_bars))
     for c in ("d", "e", "f"):
-        t = t.withColumn(c, _guard(F.col("full_layout"), F.col(c)))
+        t = t.withColumn(c, F.when(F.col("full_layout"), F.col(c)))
     lk, a = F.col("locked"), F.col("a")
     moved = lambda c: F.when(lk, snap_phrase(F.col(c), a)).otherwise(F.col(c))
     # a drop that is or becomes the first bar is none, and what hangs on it goes
@@ -136,8 +143,8 @@ def layout(bars: DataFrame, keys: Sequence[str], locked: Column | None = None, r
     bound = F.when(lk, F.when(grid > late, F.when(late > 0, late)).otherwise(grid)).otherwise(F.when(late > 0, late))
     ok = lambda x: (x > earlier) & (x <= la)
     g_short = F.coalesce(F.when(ok(F.col("off_end")), F.col("off_end")), F.when(ok(bound), bound))
-    t = t.withColumn("g_tail", _guard(F.col("full_layout"), g_tail).cast("long"))
-    t = t.withColumn("g_raw", F.coalesce("g_tail", _guard(F.col("full_layout"), g_short)).cast("long")).withColumn("short_tail", F.col("g_tail").isNull() & F.col("g_raw").isNotNull())
+    t = t.withColumn("g_tail", F.when(F.col("full_layout"), g_tail).cast("long"))
+    t = t.withColumn("g_raw", F.coalesce("g_tail", F.when(F.col("full_layout"), g_short)).cast("long")).withColumn("short_tail", F.col("g_tail").isNull() & F.col("g_raw").isNotNull())
     t = settle(t)
     g_snap = snap_phrase(F.col("g_raw"), a)
     keeps = lambda x: (x > earlier) & (x <= la) & (F.col("short_tail") | (la - x >= rules.tail))
@@ -145,16 +152,19 @@ def layout(bars: DataFrame, keys: Sequence[str], locked: Column | None = None, r
     t = settle(t)
     # loop-out: the last boundary with a whole audible loop before the last audible bar
     start_ok = lambda b: (b <= la + 1 - rules.loop) & (~lk | ((b >= a) & (F.pmod(b - a, F.lit(PHRASE)) == 0)))
-    t = t.withColumn("h_raw", _guard(F.col("g").isNotNull(), F.array_max(F.filter("loops", start_ok))))
+    t = t.withColumn("h_raw", F.when(F.col("g").isNotNull(), F.array_max(F.filter("loops", start_ok))))
     t = settle(t)
     t = t.withColumn("h_bar", F.when(lk, snap_phrase(F.col("h_raw"), a)).otherwise(F.col("h_raw")))
     t = settle(t)
     t = t.withColumn("h_low", F.col("h_bar") < F.col("g"))
     t = t.withColumn("h", F.when(F.col("h_low"), F.when(F.array_contains("loops", F.col("g")), F.col("g"))).otherwise(F.col("h_bar")))
     t = settle(t)
-    t = t.withColumn("notes", _notes(a, lk))
-    t = t.withColumn("b", a)
-    return t.select(*keys, "n_bars", *"abcdefgh", "notes", "locked")
+    t = settle(t.withColumn("notes", _notes(a, lk)).withColumn("b", a))
+    # a slot that snapping has put out of order goes
+    t = settle(t.withColumn("order", monotonic(F.array(*[F.get("starts", F.col(x).cast("int")) for x in SLOTS]))))
+    for i, x in enumerate(SLOTS):
+        t = t.withColumn(x, F.when(F.get("order.slots", F.lit(i)).isNotNull(), F.col(x)))
+    return t.select(*keys, "n_bars", *SLOTS, "starts", F.concat("notes", "order.notes").alias("notes"), "locked")
 
 
 def _notes(a: Column, lk: Column) -> Column:
@@ -186,34 +196,44 @@ def _notes(a: Column, lk: Column) -> Column:
     return F.array_compact(F.array(*notes))
 
 
-SLOTS = "abcdefgh"
-
-
-def monotonic(slots: Column, notes: bool = False) -> Column:
-    """Slots (array of 8 nullable numbers, A to H) without those out of order, by deleting and starting over.
+def monotonic(slots: Column) -> Column:
+    """(slots, notes) of slots (array of 8 nullable seconds, A to H): those out of order go, each with a note.
 
     The first that is below the one before goes; C, D and E go if not below their immediate successor; H
-    goes with G.  One pass deletes one slot, so eight passes are a fixed point.
+    goes with G.  After each the search starts over; one pass deletes one slot, so eight passes are a fixed
+    point.
     """
+    letters = F.array(*[F.lit(x.upper()) for x in SLOTS])
+
+    def let(value: Column, body) -> Column:
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def before(s: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(s, 1, i), F.lit(None).cast("double"), lambda acc, x: F.coalesce(x, acc))
 
-    def bad(s: Column) -> Column:
-        # for each slot: is it the kind that goes?  the value before is the last one present
-        idx = F.sequence(F.lit(0), F.lit(7))
+    def fault(s: Column) -> Column:
+        """The first slot that goes: k (null if none), what is wrong with it, and whether H goes with it."""
 
-        def verdict(i: Column) -> Column:
-            cur = F.get(s, i)
-            prev = F.aggregate(F.slice(s, 1, i), F.lit(None).cast("double"), lambda acc, x: F.coalesce(x, acc))
-            nxt = F.get(s, i + 1)
-            return F.coalesce(cur < prev, F.lit(False)) | (F.coalesce(cur >= nxt, F.lit(False)) & i.between(2, 4))
+        def judge(i: Column) -> Column:
+            cur, prev, nxt = F.get(s, i), before(s, i), F.get(s, i + 1)
+            low = F.format_string("%s: omitted (%.2fs < previous %.2fs; monotonicity)", F.get(letters, i), cur, prev)
+            high = F.format_string("%s: omitted (%.2fs >= %s %.2fs; monotonicity)", F.get(letters, i), cur, F.get(letters, i + 1), nxt)
+            note = F.when(cur < prev, low).when(i.between(2, 4) & (cur >= nxt), high)
+            return F.struct(i.alias("k"), note.alias("note"), ((i == 6) & F.get(s, F.lit(7)).isNotNull()).alias("with_h"))
 
-        return F.coalesce(F.array_min(F.filter(idx, verdict)), F.lit(-1))
+        return F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), judge), lambda x: x["note"].isNotNull()), F.lit(0))
 
-    def once(s: Column) -> Column:
-        return F.element_at(
-            F.transform(F.array(F.struct(s.alias("s"), bad(s).alias("k"))), lambda z: F.transform(z["s"], lambda x, i: F.when((i == z["k"]) | ((z["k"] == 6) & (i == 7)), F.lit(None)).otherwise(x))), 1
+    def once(state: Column, _) -> Column:
+        return let(
+            F.struct(state.alias("state"), fault(state["slots"]).alias("f")),
+            lambda z: F.struct(
+                F.transform(z["state"]["slots"], lambda x, i: F.when((i == z["f"]["k"]) | (z["f"]["with_h"] & (i == 7)), F.lit(None)).otherwise(x)).alias("slots"),
+                F.concat(z["state"]["notes"], F.array_compact(F.array(z["f"]["note"], F.when(z["f"]["with_h"], "H: omitted (G omitted)")))).alias("notes"),
+            ),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), slots.cast("array<double>"), lambda s, _: once(s))
+    begun = F.struct(slots.cast("array<double>").alias("slots"), F.array().cast("array<string>").alias("notes"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), begun, once)
 
 
 def snap_all(df: DataFrame, anchor: Column, period: Column) -> DataFrame:

@@ -18,22 +18,20 @@ def by(keys: Keys, *order) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def spine(bounds: DataFrame, keys: Keys, n: Column, bar: str = "bar") -> DataFrame:
-    """Bars 0 .. n - 1 of each key."""
-    return bounds.select(*keys, F.explode(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))).alias(bar)).withColumn(bar, F.col(bar).cast("long"))
+def bar_rms(rows: DataFrame, keys: Keys, t: str, width: float, values: dict[str, Column]) -> DataFrame:
+    """Root mean squares of values per bar of ``width`` on a gapless lattice from time 0 to the key's last row; empty bars are 0.
 
-
-def bar_rms(rows: DataFrame, keys: Keys, t: str, width: float, n_bars: Column, values: dict[str, Column]) -> DataFrame:
-    """Root mean squares of values per bar of ``width`` on a gapless lattice from time 0; empty bars are 0.
-
-    ``values``: column of the result -> value, null where a row does not count.  ``n_bars``: per key, an
-    aggregate over its rows.
+    ``values``: column of the result -> value, null where a row does not count.  Rows are read once; a bar that
+    is there also makes the empty ones up to the next, so that no spine is joined.
     """
     bar = F.floor(F.col(t) / F.lit(width)).cast("long")
-    held = rows.select(*keys, bar.alias("bar"), F.col(t).alias("__t"), *[v.alias(k) for k, v in values.items()])
-    sums = held.groupBy(*keys, "bar").agg(*[F.sqrt(F.sum(F.col(k) * F.col(k)) / F.count(k)).alias(k) for k in values]) if values else held
-    bounds = held.groupBy(*keys).agg(n_bars.alias("__n"))
-    return spine(bounds, keys, F.col("__n")).join(sums, [*keys, "bar"], "left").select(*keys, "bar", *[F.coalesce(F.col(k), F.lit(0.0)).alias(k) for k in values])
+    held = rows.select(*keys, bar.alias("bar"), *[v.alias(k) for k, v in values.items()])
+    sums = held.groupBy(*keys, "bar").agg(*[F.coalesce(F.sqrt(F.sum(F.col(k) * F.col(k)) / F.count(k)), F.lit(0.0)).alias(k) for k in values])
+    order = by(keys, "bar")
+    sums = sums.withColumn("__next", F.lead("bar").over(order)).withColumn("__first", F.lag("bar").over(order).isNull())
+    begin = F.when(F.col("__first"), F.least(F.lit(0).cast("long"), F.col("bar"))).otherwise(F.col("bar"))
+    filled = sums.withColumn("__at", F.explode(F.sequence(begin, F.coalesce(F.col("__next") - 1, F.col("bar")))))
+    return filled.filter("__at >= 0").select(*keys, F.col("__at").alias("bar"), *[F.when(F.col("__at") == F.col("bar"), F.col(k)).otherwise(0.0).alias(k) for k in values])
 
 
 def with_percentile(df: DataFrame, keys: Keys, value: str, q: float, name: str) -> DataFrame:
@@ -48,24 +46,36 @@ def hysteresis(keys: Keys, order: str, x: Column, on: Column, off: Column) -> Co
     return F.coalesce(held, F.lit(False))
 
 
+def with_runs(df: DataFrame, keys: Keys, order: str, state: str) -> DataFrame:
+    """Rows (``order`` consecutive) with run_new (a maximal run of equal states begins) and, where it does, run_length,
+    prev_off (the length of the off run before it, 0 without) and prev_on (on runs before it).
+
+    All are windows of one order; runs alternate, so that what is before an on run is an off run.
+    """
+    w = by(keys, order)
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    last = F.col(state) == F.lag(state).over(w)
+    d = df.withColumn("run_new", ~F.coalesce(last, F.lit(False)))
+    starts = F.when(F.col("run_new"), F.col(order))
+    d = d.withColumn("__next", F.first(starts, ignorenulls=True).over(after)).withColumn("__end", F.max(order).over(Window.partitionBy(*keys)) + 1).withColumn("__prev", F.last(starts, ignorenulls=True).over(before))
+    d = d.withColumn("run_length", F.coalesce("__next", "__end") - F.col(order)).withColumn("prev_off", F.when(F.col(state), F.coalesce(F.col(order) - F.col("__prev"), F.lit(0).cast("long"))))
+    return d.withColumn("prev_on", F.count_if(F.col("run_new") & F.col(state)).over(before)).drop("__next", "__end", "__prev")
+
+
 def runs(df: DataFrame, keys: Keys, order: str, state: str) -> DataFrame:
     """(keys, start, length, state) of each maximal run of equal states over consecutive ``order``."""
-    group = F.row_number().over(by(keys, order)) - F.row_number().over(by([*keys, state], order))
-    return df.select(*keys, order, state, group.alias("__g")).groupBy(*keys, state, "__g").agg(F.min(order).alias("start"), F.count("*").alias("length")).select(*keys, "start", "length", state)
+    return with_runs(df, keys, order, state).filter("run_new").select(*keys, F.col(order).alias("start"), F.col("run_length").alias("length"), state)
 
 
-def run_history(r: DataFrame, keys: Keys, state: str) -> DataFrame:
-    """Runs with prev_off (the length of the last off run before) and prev_on (on runs before)."""
-    before = by(keys, "start").rowsBetween(Window.unboundedPreceding, -1)
-    off = F.last(F.when(~F.col(state), F.col("length")), ignorenulls=True).over(before)
-    return r.withColumn("prev_off", F.coalesce(off, F.lit(0).cast("long"))).withColumn("prev_on", F.count_if(F.col(state)).over(before))
+def steady(keys: Keys, order: str, x: str, ref: str, least: float = 0.25, share: float = 0.75) -> Column:
+    """Whether a bar is at ``least`` of the reference and the next does not dwarf it."""
+    nxt = F.lead(x).over(by(keys, order))
+    return (F.col(x) >= least * F.col(ref)) & (nxt.isNull() | (F.col(x) >= share * nxt))
 
 
-def first_steady(df: DataFrame, keys: Keys, order: str, x: str, ref: str, least: float = 0.25, steady: float = 0.75) -> DataFrame:
-    """(keys, first): the first bar at ``least`` of the reference that the next does not dwarf, else 0."""
-    nxt = F.lead(x).over(by(keys, order))
-    ok = (F.col(x) >= least * F.col(ref)) & (nxt.isNull() | (F.col(x) >= steady * nxt))
-    return df.withColumn("__ok", ok).groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("__ok"), F.col(order))), F.lit(0)).cast("long").alias("first"))
+def first_steady(df: DataFrame, keys: Keys, order: str, x: str, ref: str, least: float = 0.25, share: float = 0.75) -> DataFrame:
+    """(keys, first): the first steady bar, else 0."""
+    return df.withColumn("__ok", steady(keys, order, x, ref, least, share)).groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("__ok"), F.col(order))), F.lit(0)).cast("long").alias("first"))
 
 
 def percentile_rank(keys: Keys, x: str) -> Column:

@@ -96,7 +96,7 @@ def cues(segments: DataFrame, beats: DataFrame, keys: Sequence[str]) -> DataFram
     whole = (F.col("n_down") >= MIN_DOWNBEATS) & (F.col("n_seg") >= 2)
     slots = F.array("a", F.when(whole, F.col("b")).otherwise(F.col("a")), *[F.when(whole, F.col(c)) for c in ("c", "d", "e", "f", "g", "g")])
     t = settle(t)
-    t = t.withColumn("__s", monotonic(slots))
+    t = t.withColumn("__s", monotonic(slots)["slots"])
     return t.select(*keys, *[F.get("__s", F.lit(i)).alias(c) for i, c in enumerate("abcdefgh")])
 
 

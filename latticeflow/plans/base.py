@@ -27,8 +27,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf: str, width: float = WIDTH) -> DataFrame:
     """track, bar, kick (energy of even users' events), full."""
-    n = F.floor(F.max("__t") / width) + 1
-    b = bar_rms(events(spark, sf), K, "t", width, n, {"kick": F.when(F.col("user_id") % 2 == 0, F.col("value")), "full": F.col("value")})
+    b = bar_rms(events(spark, sf), K, "t", width, {"kick": F.when(F.col("user_id") % 2 == 0, F.col("value")), "full": F.col("value")})
     return b.select("track", "bar", F.round("kick", 6).alias("kick"), F.round("full", 6).alias("full"))
 
 
@@ -84,20 +83,62 @@ LOOPS = """lp as (select track, bar, audible, loud, count(*) over w = 8 and bool
 la as (select track, max(loud) as loud, coalesce(max(bar) filter (where audible), max(bar)) as last_audible from lp group by track)"""
 
 
-def layout_sql(**limits) -> str:
-    """The whole layout, slots only."""
-    return f"""with {events_sql(**limits)}, {STEADY}, {LOOPS},
-t0 as (select track, n_bars, a, loud, last_audible, off_end, off_before, loud > 0 and n_bars >= 24 as whole, d, e, f from raw join fi using (track) join la using (track)),
-t1 as (select *, case when whole and d is not null and d <> a and {snap_sql("d", "a")} > a then true else false end as has_d from t0),
-t2 as (select *, case when has_d then {snap_sql("d", "a")} end as d1, case when has_d then {snap_sql("e", "a")} end as e1, case when has_d then {snap_sql("f", "a")} end as f1 from t1),
+def monotonic_sql(source: str, keep: str, name: str = "mono", seconds: str = "s") -> str:
+    """CTEs from ``source`` (``keep`` and doubles sa .. sh) to ``name``: the same without slots out of order, and mnotes, in eight passes."""
+    v = "abcdefgh"
+    cols = [f"{seconds}{c}" for c in v]
+    q = f"{name}0 as (select {keep}, {', '.join(cols)}, cast([] as varchar[]) as mnotes from {source})"
+    for n in range(8):
+        k, text = [], []
+        for i, c in enumerate(cols):
+            prev = f"coalesce({', '.join(reversed(cols[:i]))}, null)" if i else "null"
+            low = f"coalesce({c} < {prev}, false)"
+            high = f"coalesce({c} >= {cols[i + 1]}, false)" if 2 <= i <= 4 else "false"
+            k.append(f"when {low} or {high} then {i}")
+            text.append(f"when {i} then case when {low} then printf('{v[i].upper()}: omitted (%.2fs < previous %.2fs; monotonicity)', {c}, {prev}) else printf('{v[i].upper()}: omitted (%.2fs >= {v[i + 1].upper() if i < 7 else ''} %.2fs; monotonicity)', {c}, {cols[i + 1] if i < 7 else c}) end")
+        kept = ", ".join(f"case when k = {i}{' or k = 6' if i == 7 else ''} then null else {c} end as {c}" for i, c in enumerate(cols))
+        q += f""", {name}k{n} as (select *, case {" ".join(k)} else -1 end as k from {name}{n}),
+{name}{n + 1} as (select {keep}, {kept}, case when k < 0 then mnotes else list_concat(mnotes, list_filter([case k {" ".join(text)} end, case when k = 6 and {cols[7]} is not null then 'H: omitted (G omitted)' end], lambda x: x is not null)) end as mnotes from {name}k{n})"""
+    return q + f", {name} as (select * from {name}8)"
+
+
+def layout_sql(locked: str = "true", notes: bool = False, **limits) -> str:
+    """The whole layout: slots, or (notes) the numbered notes of each track."""
+    snap = lambda c: f"(case when lk then {snap_sql(c, 'a')} else {c} end)"
+    note = lambda slot, raw, final: f"case when lk then {note_sql(slot, raw, 'a', final)} end"
+    body = f"""with {events_sql(**limits)}, {STEADY}, {LOOPS},
+t0 as (select track, n_bars, a, loud, last_audible, off_end, off_before, loud > 0 and n_bars >= 24 as whole, d, e, f, {locked} as lk from raw join fi using (track) join la using (track)),
+t1 as (select *, whole and d is not null and (d = a or {snap("d")} <= a) as on_a, whole and d is not null and d <> a and {snap("d")} > a as has_d from t0),
+t2 as (select *, case when has_d then {snap("d")} end as d1, case when has_d then {snap("e")} end as e1, case when has_d then {snap("f")} end as f1 from t1),
 t3 as (select *, case when d1 is null then null when off_before > a then
-    case when {snap_sql("off_before", "a")} > a and {snap_sql("off_before", "a")} < d1 then {snap_sql("off_before", "a")} when off_before < d1 then off_before end
-  when ceil((d1 - a) / 8.0) - 1 >= 1 then cast(a + (ceil((d1 - a) / 8.0) - 1) * 8 as bigint) end as c1 from t2),
+    case when lk and {snap_sql("off_before", "a")} > a and {snap_sql("off_before", "a")} < d1 then {snap_sql("off_before", "a")} when off_before < d1 then off_before end
+  when lk and ceil((d1 - a) / 8.0) - 1 >= 1 then cast(a + (ceil((d1 - a) / 8.0) - 1) * 8 as bigint) end as c1 from t2),
 t4 as (select *, greatest(a, coalesce(c1, a), coalesce(d1, a), coalesce(e1, a), coalesce(f1, a)) as top, last_audible - 16 as most, cast(a + floor((last_audible - 16 - a) / 8.0) * 8 as bigint) as pb, n_bars - 2 as late, cast(a + floor((n_bars - 2 - a) / 8.0) * 8 as bigint) as lb from t3),
-t5 as (select *, case when whole and most >= 0 then case when off_end <= most and off_end > top then off_end when most > top and pb > top and pb >= a then pb end end as g_tail from t4),
-t6 as (select *, case when not whole then null when g_tail is not null then g_tail when off_end > top and off_end <= last_audible then off_end when late > a and lb > top and lb <= last_audible then lb end as g_raw from t5),
+t5 as (select *, case when whole and most >= 0 then case when off_end <= most and off_end > top then off_end when most > top and not lk then most when most > top and pb > top and pb >= a then pb end end as g_tail from t4),
+t6 as (select *, case when not whole then null when g_tail is not null then g_tail when off_end > top and off_end <= last_audible then off_end
+  when lk and late > a and lb > top and lb <= last_audible then lb when not lk and late > 0 and late > top and late <= last_audible then late end as g_raw from t5),
 t7 as (select *, {snap_sql("g_raw", "a")} as gs from t6),
-t8 as (select *, case when gs > top and gs <= last_audible and (g_tail is null or last_audible - gs >= 16) then gs when g_raw > top and g_raw <= last_audible and (g_tail is null or last_audible - g_raw >= 16) then g_raw end as g1 from t7),
-hh as (select track, max(bar) as h_raw from lp join t8 using (track) where loop_ok and g1 is not null and bar <= last_audible - 7 and bar >= a and (bar - a) % 8 = 0 group by track),
-t9 as (select t8.*, h_raw, {snap_sql("h_raw", "a")} as hb, exists (select 1 from lp where lp.track = t8.track and lp.bar = g1 and loop_ok) as g_loop from t8 left join hh using (track))
-select track, n_bars, a, a as b, c1 as c, d1 as d, e1 as e, f1 as f, g1 as g, case when hb < g1 then case when g_loop then g1 end else hb end as h from t9"""
+t8 as (select *, case when not lk then case when g_raw > top then g_raw end when gs > top and gs <= last_audible and (g_tail is null or last_audible - gs >= 16) then gs when g_raw > top and g_raw <= last_audible and (g_tail is null or last_audible - g_raw >= 16) then g_raw end as g1 from t7),
+hh as (select track, max(bar) as h_raw from lp join t8 using (track) where loop_ok and g1 is not null and bar <= last_audible - 7 and (not lk or (bar >= a and (bar - a) % 8 = 0)) group by track),
+t9 as (select t8.*, h_raw, {snap("h_raw")} as hb, exists (select 1 from lp where lp.track = t8.track and lp.bar = g1 and loop_ok) as g_loop from t8 left join hh using (track)),
+t10 as (select *, coalesce(hb < g1, false) as h_low, case when hb < g1 then case when g_loop then g1 end else hb end as h1 from t9),
+t11 as (select *, {", ".join(f"cast({c} as double) as s{x}" for x, c in zip("abcdefgh", ("a", "a", "c1", "d1", "e1", "f1", "g1", "h1"), strict=True))} from t10),
+{monotonic_sql("t11", "track, n_bars")}"""
+    if not notes:
+        return f"{body}\nselect track, n_bars, {', '.join(f'cast(s{x} as bigint) as {x}' for x in 'abcdefgh')} from mono"
+    off = "coalesce(off_before > a, false)"
+    said = [
+        "case when loud <= 0 then 'no kick-band energy detected; first beat only' end", "case when loud > 0 and not whole then 'track too short for bass structure analysis; first beat only' end",
+        "case when on_a then 'D (Drop): omitted (coincides with A)' end", f"case when d1 is not null then {note('D', 'd', 'd1')} end",
+        "case when whole and d1 is null and not on_a then 'D (Drop): omitted (no qualifying drop; groove only)' end",
+        *[f"case when whole and d1 is null then '{x}' end" for x in ("C (Buildup): omitted (no D)", "E (Breakdown): omitted (no D)", "F (2nd Drop): omitted (no E)")],
+        f"case when d1 is not null and c1 is not null and {off} then {note('C', 'off_before', 'c1')} end",
+        f"case when d1 is not null and c1 is null and not {off} and not lk then 'C (Buildup): omitted (phrase snapping disabled)' when d1 is not null and c1 is null then 'C (Buildup): omitted (nothing between B and D)' end",
+        f"case when e1 is not null then {note('E', 'e', 'e1')} when d1 is not null then 'E (Breakdown): omitted (no candidate after D)' end",
+        f"case when f1 is not null then {note('F', 'f', 'f1')} when e1 is not null then 'F (2nd Drop): omitted (no candidate)' when d1 is not null then 'F (2nd Drop): omitted (no E)' end",
+        "case when g_tail is null and g_raw is not null then 'G/H (Outro): short tail; using legacy placement' end", "case when g_raw is not null and g1 is null then 'G/H (Outro): omitted (not after earlier cues)' end",
+        f"case when g1 is not null then {note('G', 'g_raw', 'g1')} end", "case when h_low then case when h1 is not null then 'H (Loop Out): clamped to G' else 'H (Loop Out): omitted (no audible loop after G)' end end",
+        f"case when h1 is not null and not h_low then {note('H', 'h_raw', 'hb')} end", "case when whole and g_raw is null then 'G/H (Outro): omitted (no candidate)' end",
+    ]
+    return f"""{body}, said as (select track, list_concat(list_filter([{", ".join(said)}], lambda x: x is not null), mnotes) as notes from t11 join mono using (track))
+select track, i - 1 as n, notes[i] as note from (select track, notes, unnest(range(1, len(notes) + 1)) as i from said)"""

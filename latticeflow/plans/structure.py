@@ -54,9 +54,7 @@ def first_steady_bar(spark, sf):
 
 
 def _raw(spark, sf, rules):
-    st = layout.states(base.bars(spark, sf), K, rules)
-    n = st.groupBy("track").agg(F.count("*").alias("n_bars"))
-    return layout.raw_events(ordered.runs(st, K, "bar", "is_on"), K, n, rules)
+    return layout.raw_events(layout.states(base.bars(spark, sf), K, rules), K, rules)
 
 
 @query(f"with {events_sql()} select * from raw")
@@ -98,15 +96,21 @@ def outro_loop_out(spark, sf):
 
 @query(layout_sql())
 def cue_layout(spark, sf):
-    return layout.layout(base.bars(spark, sf), K).drop("notes", "locked")
+    return layout.layout(base.bars(spark, sf), K).drop("notes", "locked", "starts")
+
+
+@query(layout_sql("track not in ('click', 'view')", drop_on=2, drop_off=1, break_off=2, return_on=2))
+def cue_layout_unlocked(spark, sf):
+    """Two tracks whose lattice is not trusted, among others: nothing of theirs is moved to phrase boundaries."""
+    return layout.layout(base.bars(spark, sf), K, ~F.col("track").isin("click", "view"), layout.RELAXED).drop("notes", "locked", "starts")
 
 
 @query(layout_sql(drop_on=2, drop_off=1, break_off=2, return_on=2))
 def cue_layout_relaxed(spark, sf):
-    return layout.layout(base.bars(spark, sf), K, rules=layout.RELAXED).drop("notes", "locked")
+    return layout.layout(base.bars(spark, sf), K, rules=layout.RELAXED).drop("notes", "locked", "starts")
 
 
-@query()
+@query(layout_sql("track <> 'click'", notes=True, drop_on=2, drop_off=1, break_off=2, return_on=2))
 def cue_notes(spark, sf):
     locked = F.col("track") != "click"
     out = layout.layout(base.bars(spark, sf), K, locked, layout.RELAXED)
@@ -260,24 +264,16 @@ def energy_percentile_rank(spark, sf):
 
 
 def _monotonic_sql() -> str:
-    v = "abcdefgh"
-    q = f"""{BARS}, m0 as (select track, bar, {", ".join(f"case when (bar * 7 + {i} * 13 + track_len * 3) % 5 = 0 then null else cast((bar * {2 * i + 1} + {i} * 17) % 23 + {i} * 4 as double) end as {c}" for i, c in enumerate(v))} from (select *, length(track) as track_len from bars))"""
-    for k in range(8):
-        conds = []
-        for i, c in enumerate(v):
-            prev = f"coalesce({', '.join(reversed(v[:i]))}, null)" if i else "null"
-            bad = f"coalesce({c} < {prev}, false)" + (f" or coalesce({c} >= {v[i + 1]}, false)" if c in "cde" else "")
-            conds.append(f"when {bad} then {i}")
-        q += f", k{k} as (select *, case {' '.join(conds)} else -1 end as k from m{k}), m{k + 1} as (select track, bar, {', '.join(f'case when k = {i}' + (' or k = 6' if i == 7 else '') + f' then null else {c} end as {c}' for i, c in enumerate(v))} from k{k})"
-    return f"with {q} select * from m8"
+    made = ", ".join(f"case when (bar * 7 + {i} * 13 + track_len * 3) % 5 = 0 then null else cast((bar * {2 * i + 1} + {i} * 17) % 23 + {i} * 4 as double) end as s{c}" for i, c in enumerate("abcdefgh"))
+    return f"with {BARS}, made as (select track, bar, {made} from (select *, length(track) as track_len from bars)), {base.monotonic_sql('made', 'track, bar')} select track, bar, {', '.join(f's{c} as {c}' for c in 'abcdefgh')}, array_to_string(mnotes, '|') as notes from mono"
 
 
 @query(_monotonic_sql())
 def monotonic_filter(spark, sf):
     b = base.bars(spark, sf).select("track", "bar", F.length("track").alias("n"))
     slots = [F.when((F.col("bar") * 7 + i * 13 + F.col("n") * 3) % 5 == 0, None).otherwise(((F.col("bar") * (2 * i + 1) + i * 17) % 23 + i * 4).cast("double")) for i in range(8)]
-    out = b.select("track", "bar", layout.monotonic(F.array(*slots)).alias("s"))
-    return out.select("track", "bar", *[F.get("s", F.lit(i)).alias(c) for i, c in enumerate("abcdefgh")])
+    out = layout.settle(b.select("track", "bar", layout.monotonic(F.array(*slots)).alias("m")))
+    return out.select("track", "bar", *[F.get("m.slots", F.lit(i)).alias(c) for i, c in enumerate("abcdefgh")], F.array_join("m.notes", "|").alias("notes"))
 
 
 _LEGACY = f"""with {BARS}, nm as (select track, quantile_cont(kick, 0.95) as pk, quantile_cont("full", 0.95) as pf from bars group by track),
@@ -321,11 +317,98 @@ def run_summary(spark, sf):
     return n.groupBy("track", s.alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.avg("v") + 1e-9, 6).alias("mean"))
 
 
-@query()
+def _circle(sums: str, weights: str, period: str) -> str:
+    """SQL: the phase of a vector sum (c, s), 0 without weight."""
+    c, s = sums.split(",")
+    return f"(case when {weights} > 0 then (atan2({s}, {c}) / (2 * pi()) + case when atan2({s}, {c}) < 0 then 1 else 0 end) * {period} else 0 end)"
+
+
+def _vector(t: str, w: str, period: str) -> str:
+    return f"sum({w} * cos(2 * pi() * ({t} / {period}))) as c, sum({w} * sin(2 * pi() * ({t} / {period}))) as s, sum({w}) as w, count(*) as n"
+
+
+_PULSES = """ord as (select user_id as u, value as v, row_number() over (partition by user_id order by t, event_id) - 1 as k, case when user_id % 4 = 0 then 0.5 else 0.9 + (user_id % 7) * 0.01 end as p from ev),
+x as (select u, round(0.3 + (u % 9) * 0.11 + k * p + (v * 7 - floor(v * 7)) * 0.02 + case when u % 6 = 1 and k >= 30 then 0.3 * p else 0.0 end + case when u % 13 = 5 then (v * 3 - floor(v * 3)) * p else 0.0 end, 6) as t,
+  case when u % 5 = 3 then k % 3 = 0 else k % 4 = 0 end as down, v * case when k % 8 = 0 and u % 2 = 0 then 4 else 1 end + 50 as v,
+  case when u % 11 = 7 then 78 / p when u % 3 = 1 then 60 / p when u % 3 = 2 then 30 / p end as known from ord)"""
+
+
+def _fit_sql() -> str:
+    """The grid fit step by step: weights, kept pulses, tempos and their variances, windows, phases, residuals, rotation."""
+    dist = "least(abs({0}), {1} - abs({0}))"
+    parity = ""
+    for k in (1, 2):
+        parity += f""", pd{k} as (select kd.*, c0, c1, bar, {dist.format("t - floor(t / bar) * bar - c0", "bar")} <= {dist.format("t - floor(t / bar) * bar - c1", "bar")} as first from kd join pc{k - 1} using (u)),
+ps{k} as (select u, first, any_value(c0) as c0, any_value(c1) as c1, any_value(bar) as bar, {_vector("t", "w", "bar")} from pd{k} group by u, first),
+pf{k} as (select *, {_circle("c,s", "w", "bar")} as ph from ps{k}),
+pc{k} as (select u, any_value(bar) as bar, coalesce(max(ph) filter (where first), any_value(c0)) as c0, coalesce(max(ph) filter (where not first), any_value(c1)) as c1,
+  coalesce(max(w) filter (where first), 0) as w0, coalesce(max(w) filter (where not first), 0) as w1, coalesce(max(n) filter (where first), 0) as n0, coalesce(max(n) filter (where not first), 0) as n1 from pf{k} group by u)"""
+    return f"""with {EV}, {_PULSES},
+g as (select *, t - lag(t) over (partition by u order by t) as gap from x),
+st as (select u, count(*) as n, max(t) as dur, max(known) as known, coalesce(case when quantile_cont(gap, 0.5) > 0 then 60 / quantile_cont(gap, 0.5) end, 120.0) as rough from g group by u),
+wb as (select a.u, a.t, sqrt(sum(b.v * b.v) / count(*)) as w from x a join st using (u) join x b on b.u = a.u and b.t >= a.t and b.t < a.t + 60 / rough group by a.u, a.t),
+wd as (select a.u, a.t, sqrt(sum(b.v * b.v) / count(*)) as w from x a join st using (u) join x b on b.u = a.u and b.t >= a.t and b.t < a.t + 240 / rough where a.down group by a.u, a.t),
+kb as (select u, t, w from (select *, greatest(quantile_cont(w, 0.5) over (partition by u), 0.25 * max(w) over (partition by u)) as lim from wb) where w >= lim),
+kd as (select u, t, w from (select *, greatest(quantile_cont(w, 0.5) over (partition by u), 0.25 * max(w) over (partition by u)) as lim from wd) where w >= lim),
+cnt as (select st.*, (select count(*) from kb where kb.u = st.u) as nb, (select count(*) from kd where kd.u = st.u) as nd from st),
+ok0 as (select * from cnt where n >= 2 and nb >= 32 and nd >= 8 and dur >= 30),
+kg as (select *, t - lag(t) over (partition by u order by t) as gap from kb),
+kr as (select u, min(t) as t0, coalesce(case when quantile_cont(gap, 0.5) > 0 then 60 / quantile_cont(gap, 0.5) end, 120.0) as krough from kg join ok0 using (u) group by u),
+rg as (select u, t, row_number() over (partition by u order by t) as i from x join kr using (u) where t >= t0 - 30 / krough),
+rb as (select u, case when regr_slope(t, i) > 0 and 60 / regr_slope(t, i) between 60 and 200 then 60 / regr_slope(t, i) end as b from rg group by u),
+base as (select u, known * m as b from ok0, (values (0.5), (1.0), (2.0)) as f(m) where known * m between 60 and 200 union all select u, b from rb where b is not null),
+bases as (select u, b from base union all select u, krough from kr where u not in (select u from base)),
+co as (select distinct u, round(greatest(60, b - 2) + i * 0.25, 10) as c from bases, range(0, 18) as r(i) where greatest(60, b - 2) + i * 0.25 < least(200, b + 2) + 0.125),
+fi as (select distinct u, round(f, 8) as f from (select u, c as f from co union all select u, greatest(60, c - 2) + i * 0.01 from co, range(0, 402) as r(i) where greatest(60, c - 2) + i * 0.01 < least(200, c + 2) + 0.005)),
+sc as (select u, f, 1 - sqrt(c * c + s * s) / w as score from (select fi.u, f, {_vector("t", "w", "(60 / f)")} from fi join kb using (u) group by fi.u, f)),
+bs as (select u, arg_min(f, score) as bpm, min(score) as score from sc group by u),
+ft as (select ok0.*, bpm, score, coalesce(known, bpm) as render, 60 / bpm as period, 240 / coalesce(known, bpm) as bar from ok0 join bs using (u)),
+ws as (select distinct u, period, dur, round(s, 9) as s from (select u, period, dur, i * 30.0 as s from ft, range(0, 100) as r(i) where dur >= 60 and i * 30.0 < dur - 60 + 1e-9 union all select u, period, dur, greatest(0, dur - 60) from ft)),
+wk as (select ws.u, ws.s as st, kb.t / period - floor(kb.t / period) as turn, kb.t, kb.w, period from ws join kb on kb.u = ws.u and kb.t >= ws.s - 1e-9 and kb.t < least(ws.s + 60, dur)),
+wm as (select u, st, {_circle("c,s", "w", "1")} as ph from (select u, st, {_vector("t", "w", "any_value_period")} from (select *, period as any_value_period from wk) group by u, st) where n >= 10),
+big as (select wk.* from wk join wm using (u, st)),
+jm as (select a.u, max({dist.format("a.ph - b.ph", "1")}) as j from wm a join wm b on a.u = b.u and a.st < b.st group by a.u),
+jb as (select a.u, max({dist.format("a.turn - b.turn", "1")}) as j from big a join big b on a.u = b.u and a.st < b.st group by a.u),
+jp as (select ft.*, greatest(coalesce(jm.j, 0), coalesce(jb.j, 0)) as jump, bpm > render and (abs(bpm / render - 2) < 0.2 or abs(bpm / render - 0.5) < 0.2) as hd from ft left join jm using (u) left join jb using (u)),
+pc0 as (select u, bar, c0, c0 + bar / 2 - floor((c0 + bar / 2) / bar) * bar as c1 from (select u, any_value(bar) as bar, {_circle("c,s", "w", "any_value(bar)")} as c0 from (select kd.u, bar, {_vector("t", "w", "bar")} from kd join jp using (u) group by kd.u, bar) group by u, c, s, w)){parity},
+an as (select jp.*, case when hd then case when least(w0, w1) > 0 and case when w0 >= w1 then n0 else n1 end >= 4 and abs(w0 - w1) >= 0.25 * (w0 + w1) then case when w0 >= w1 then pc2.c0 else pc2.c1 end end else pc0.c0 end as anchor from jp join pc0 using (u) join pc2 using (u)),
+sd as (select u, stddev_pop((t - anchor) / bar - round_even((t - anchor) / bar, 0)) as std from kd join an using (u) where anchor is not null group by u),
+kp as (select u, {_circle("c,s", "w", "any_value(period)")} as ph from (select kb.u, period, {_vector("t", "w", "period")} from kb join jp using (u) group by kb.u, period) group by u, c, s, w),
+lt as (select u, bar, period, dur, ph, i, ph + i * period as lt from an join kp using (u), range(0, 3000) as r(i) where i < trunc((dur - ph) / period) + 2 and ph + i * period < dur),
+up as (select lt.u, i, sqrt(sum(v * v) / count(*)) as e from lt join x on x.u = lt.u and x.t >= lt and x.t < lt + bar group by 1, 2),
+dn as (select lt.u, i, sqrt(sum(v * v) / count(*)) as e from lt join x on x.u = lt.u and x.t >= lt - bar and x.t < lt group by 1, 2),
+nv as (select lt.u, lt.i, coalesce(up.e, 0) - coalesce(dn.e, 0) as gain from lt left join up using (u, i) left join dn using (u, i)),
+tp as (select *, row_number() over (partition by u order by gain desc, i desc) as r from nv),
+vt as (select u, i % 4 as q, sum(gain) as v from tp where r <= 12 group by 1, 2),
+vq as (select u, q, coalesce(v, 0) as v from (select u, q from (select distinct u from vt), range(0, 4) as r(q)) left join vt using (u, q)),
+rt as (select u, arg_min(q, struct_pack(v := -v, q := q)) as q from vq group by u),
+ro as (select an.u, ph + q * period - floor((ph + q * period) / bar) * bar as a from an join kp using (u) join rt using (u)),
+rs as (select kd.u, stddev_pop((t - a) / bar - round_even((t - a) / bar, 0)) as std2 from kd join ro using (u) join an using (u) group by kd.u),
+why as (select an.*, std, a, std2, case when jump > 0.15 then 'phase jumps between sections (spliced edit?)' when score > 0.10 then 'beats do not fit a straight grid'
+  when known is not null and abs(bpm - known * 0.5) > 0.1 + 1e-6 and abs(bpm - known) > 0.1 + 1e-6 and abs(bpm - known * 2) > 0.1 + 1e-6 then 'fitted tempo disagrees with djay''s BPM'
+  when anchor is null or (std > 0.15 and hd) then 'ambiguous half-time bar phase' else '' end as reason from an left join sd using (u) left join ro using (u) left join rs using (u))
+select u as user_id, round(bpm, 6) as bpm, round(render, 6) as render_bpm, case when reason = '' then round(case when std > 0.15 then a else anchor end, 5) else 0 end as anchor_s, round(score, 6) as beat_fit, round(case when reason = '' then case when std > 0.15 then std2 else std end else 1 end, 6) as bar_resid_std, round(jump, 6) as splice_jump, reason = '' as ok, reason from why
+union all select u, round(case when n < 2 then 120 else rough end, 6), round(coalesce(known, 120), 6), 0, 1, 1, 0, false, case when n < 2 then 'beats do not fit a straight grid' else 'insufficient evidence' end from cnt where u not in (select u from ok0)"""
+
+
+def pulses(spark, sf):
+    """Beats of each user, made of its events in order: straight grids, spliced, noisy and half-time ones, with and without a known tempo."""
+    u, v, k = F.col("user_id"), F.col("value"), F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) - 1
+    e = base.events(spark, sf).select("user_id", "value", k.alias("k"), F.when(u % 4 == 0, 0.5).otherwise(0.9 + (u % 7) * 0.01).alias("p"))
+    k, p = F.col("k"), F.col("p")
+    part = lambda m: v * m - F.floor(v * m)
+    t = 0.3 + (u % 9) * 0.11 + k * p + part(7) * 0.02 + F.when((u % 6 == 1) & (k >= 30), 0.3 * p).otherwise(0.0) + F.when(u % 13 == 5, part(3) * p).otherwise(0.0)
+    down = F.when(u % 5 == 3, k % 3 == 0).otherwise(k % 4 == 0)
+    known = F.when(u % 11 == 7, 78 / p).when(u % 3 == 1, 60 / p).when(u % 3 == 2, 30 / p)
+    return e.select("user_id", F.round(t, 6).alias("t"), down.alias("is_downbeat"), (v * F.when((k % 8 == 0) & (u % 2 == 0), 4).otherwise(1) + 50).alias("value"), known.alias("known_bpm"))
+
+
+@query(_fit_sql())
 def fit_grid_udf(spark, sf):
-    """The whole grid fit per user: hours as seconds, purchases as downbeats."""
-    e = base.events(spark, sf).select("user_id", (F.col("t") / 3600).alias("t"), (F.col("track") == "purchase").alias("is_downbeat"), "value", F.when(F.col("user_id") % 2 == 0, F.lit(120.0)).alias("known_bpm"))
-    return grid.fit_events(e, ["user_id"])
+    """The whole grid fit per user."""
+    out = grid.fit_events(pulses(spark, sf), ["user_id"])
+    six = {c: F.round(c, 6) for c in ("bpm", "render_bpm", "beat_fit", "bar_resid_std", "splice_jump")}
+    return out.withColumns(six | {"anchor_s": F.round("anchor_s", 5)})
 
 
 @query("select p_partkey, round(case when p_retailprice <= 0 or p_size <= 0 then 'inf'::double else list_min(list_transform(range(-12, 13), lambda k: abs(p_retailprice - p_size * pow(2.0, k)))) / p_retailprice end, 6) as ratio from part")

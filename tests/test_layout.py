@@ -125,7 +125,17 @@ def model(rows, r):
         if h is not None and h < g:
             h = g if loop(g) else None
     out["h"] = h
-    return out
+    return in_order({**out, "b": a})
+
+
+def in_order(slots):
+    """Slots without those out of order, one at a time from the start."""
+    for i, x in enumerate("abcdefgh"):
+        held = [slots[y] for y in "abcdefgh"[:i] if slots[y] is not None]
+        nxt = slots["abcdefgh"[i + 1]] if x in "cde" else None
+        if slots[x] is not None and ((held and slots[x] < held[-1]) or (nxt is not None and slots[x] >= nxt)):
+            return in_order({**slots, x: None, **({"h": None} if x == "g" else {})})
+    return slots
 
 
 @pytest.mark.parametrize("rules", [layout.RULES, layout.RELAXED])
@@ -151,6 +161,27 @@ def test_monotonic(spark):
 
     cases = [([1, 1, 5, 4, 8, 9, 10, 10], [1, 1, None, 4, 8, 9, 10, 10]), ([0, 0, 1, 2, 3, 4, 3.5, 5], [0, 0, 1, 2, 3, 4, None, None]), ([0, None, None, 5, 5, 6, 7, 8], [0, None, None, None, 5, 6, 7, 8]), ([None] * 8, [None] * 8)]
     df = spark.createDataFrame([(i, [None if x is None else float(x) for x in c]) for i, (c, _) in enumerate(cases)], "i int, s array<double>")
-    got = {r[0]: r[1] for r in df.select("i", layout.monotonic(F.col("s"))).collect()}
+    got = {r[0]: r[1] for r in df.select("i", layout.monotonic(F.col("s"))["slots"]).collect()}
     for i, (_, want) in enumerate(cases):
         assert got[i] == [None if x is None else float(x) for x in want]
+    notes = {r[0]: r[1] for r in df.select("i", layout.monotonic(F.col("s"))["notes"]).collect()}
+    assert notes[0] == ["C: omitted (5.00s >= D 4.00s; monotonicity)"] and notes[3] == []
+    assert notes[1] == ["G: omitted (3.50s < previous 4.00s; monotonicity)", "H: omitted (G omitted)"]
+
+
+def test_order_is_checked_after_snapping(spark):
+    """A drop and a break that snap to one bar: the drop goes, with a note."""
+    rows = [(1.0 if on else 0.1, 1.0) for on in ([1] * 8 + [0] * 7 + [1] * 2 + [0] * 15 + [1] * 8)]
+    t = run(spark, {"t": rows}, rules=layout.RELAXED)["t"]
+    raw = layout.raw_events(layout.states(frame(spark, {"t": rows}), ["track"], layout.RELAXED), ["track"], layout.RELAXED).first()
+    assert (raw["d"], raw["e"]) == (15, 17) and t["a"] == 0
+    assert t["d"] is None and t["e"] == 16 and "D: omitted (16.00s >= E 16.00s; monotonicity)" in t["notes"]
+
+
+def test_times_and_lock_by_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark, {"on": bars(96, [(33, 64)]), "off": bars(96, [(33, 64)])}).withColumn("start", F.col("bar") * 2.0 + 0.5).withColumn("ok", F.col("track") == "on")
+    out = {r["track"]: r for r in layout.layout(df, ["track"], F.col("ok")).collect()}
+    assert out["on"]["d"] == 32 and out["off"]["d"] == 33 and out["on"]["starts"][32] == 64.5
+    assert not any(n.startswith("D: raw") for n in out["off"]["notes"])
