@@ -122,8 +122,9 @@ def window_starts(end: Column, size: float = 60.0, hop: float = 30.0) -> Column:
     return F.array_sort(F.when(F.exists(whole, lambda s: F.abs(s - flush) < 1e-9), whole).otherwise(F.array_append(whole, flush)))
 
 
-def peak_envelope(df: DataFrame, keys: Keys, t: str, value: str, width: float) -> DataFrame:
-    return df.groupBy(*keys, F.floor(F.col(t) / width).cast("long").alias("bucket")).agg(F.max(F.abs(value)).alias("peak"))
+def peak_envelope(df: DataFrame, keys: Keys, t: str, value: str, width: float, more: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, bucket, peak) of the largest absolute value in each bucket of ``width``; ``more``: further aggregates by name."""
+    return df.groupBy(*keys, F.floor(F.col(t) / width).cast("long").alias("bucket")).agg(F.max(F.abs(value)).alias("peak"), *[v.alias(k) for k, v in (more or {}).items()])
 
 
 def merge_short(segments: Column, shortest: Column) -> Column:

@@ -63,7 +63,7 @@ def _sole_start(d: DataFrame, name: str, cond: Column, w, highest: bool) -> Data
 
 
 def cues(segments: DataFrame, beats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row a track: a .. h in seconds.  ``segments``: normalised, with idx; ``beats``: keys, t, is_downbeat."""
+    """One row a track: a .. h in seconds, and notes.  ``segments``: normalised, with idx; ``beats``: keys, t, is_downbeat."""
     keys = list(keys)
     w = Window.partitionBy(*keys)
     down = beats.filter("is_downbeat").select(*keys, "t")
@@ -91,13 +91,28 @@ def cues(segments: DataFrame, beats: DataFrame, keys: Sequence[str]) -> DataFram
     d = d.withColumn("__after", F.coalesce("e", "__dseg")).withColumn("__fseg", first(F.col("high") & (F.col("start") > F.col("__after")))).withColumn("f", at("__fseg", "snap"))
     last_out = F.max(F.when(F.col("label") == "outro", F.col("start"))).over(w)
     d = d.withColumn("__gseg", F.coalesce(last_out, F.max("start").over(w))).withColumn("__g", F.max(F.when(F.col("start") == F.col("__gseg"), F.col("snap"))).over(w))
-    t = d.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("a", "b", "c", "d", "e", "f", "n_down", "n_seg")], F.max("__g").alias("g0"), F.max("__beats").alias("__beats"), F.max("__downs").alias("__downs"), F.array_sort(F.collect_list(F.struct("start", "snap"))).alias("__segs"))
-    t = t.withColumn("g", outro_guard(F.col("g0"), F.col("__segs"), F.col("__beats"), F.col("__downs")))
-    whole = (F.col("n_down") >= MIN_DOWNBEATS) & (F.col("n_seg") >= 2)
-    slots = F.array("a", F.when(whole, F.col("b")).otherwise(F.col("a")), *[F.when(whole, F.col(c)) for c in ("c", "d", "e", "f", "g", "g")])
-    t = settle(t)
-    t = t.withColumn("__s", monotonic(slots)["slots"])
-    return t.select(*keys, *[F.get("__s", F.lit(i)).alias(c) for i, c in enumerate("abcdefgh")])
+    ahead = inner & (F.col("start") > F.col("a"))
+    t = d.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in ("a", "b", "c", "d", "e", "f", "n_down", "n_seg", "n_inner")], F.max("__g").alias("g0"), F.max("__beats").alias("__beats"), F.max("__downs").alias("__downs"),
+        F.array_sort(F.collect_list(F.struct("start", "snap"))).alias("__segs"), F.count_if(ahead).alias("n_ahead"),
+    )
+    t = settle(t.withColumn("g", outro_guard(F.col("g0"), F.col("__segs"), F.col("__beats"), F.col("__downs"))).withColumn("whole", (F.col("n_down") >= MIN_DOWNBEATS) & (F.col("n_seg") >= 2)))
+    slots = F.array("a", F.when(F.col("whole"), F.col("b")).otherwise(F.col("a")), *[F.when(F.col("whole"), F.col(c)) for c in ("c", "d", "e", "f", "g", "g")])
+    t = settle(t.withColumn("__s", monotonic(slots)).withColumn("notes", _notes()))
+    return t.select(*keys, *[F.get("__s.slots", F.lit(i)).alias(c) for i, c in enumerate("abcdefgh")], F.concat("notes", "__s.notes").alias("notes"))
+
+
+def _notes() -> Column:
+    lost = lambda x: F.col(x).isNull()
+    whole, drop = F.col("whole"), F.col("d").isNotNull()
+    return F.array_compact(F.array(
+        F.when(~whole, "track too short for structure analysis; first beat only"),
+        F.when(whole & (F.col("n_inner") < 2), "no drop detected (< 2 non-edge segments)").when(whole & ~drop & (F.col("n_ahead") >= 2), "no drop detected (ambiguous energy rank)"),
+        F.when(whole & drop & lost("c"), "C (Buildup): omitted (nothing between B and D)"),
+        F.when(whole & drop & lost("e"), "E (Breakdown): omitted (no candidate after D)"),
+        F.when(whole & drop & lost("f"), "F (2nd Drop): omitted (no candidate)"),
+        F.when(whole & lost("g"), "G/H (Outro): omitted (outro guard: < 8 beats remaining)"),
+    ))
 
 
 def beats_after(beats: Column, t: Column) -> Column:

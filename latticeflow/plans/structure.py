@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.circular import circular_distance, circular_mean, circular_variance
 from ..functions.lattice import last_phrase_after, last_phrase_between, last_phrase_upto, nearest_phrase, nudge, octave_ratio, phrase_offset, snap_nonnegative, snap_phrase, snap_to_bar
-from ..functions.text import event_note, pad_letter
-from ..operators import grid, layout, legacy, ordered
+from ..functions.text import event_note, minutes_seconds, pad_letter
+from ..operators import grid, layout, legacy, ordered, policy
 from . import base
 from .base import BARS, EV, K, LOOPS, RUNS, STEADY, events_sql, layout_sql, near_sql, note_sql, snap_sql, states_sql
 
@@ -250,17 +250,16 @@ def nearest_asof_both(spark, sf):
 
 
 @query(f"""with {states_sql()}, {RUNS}, s as (select r.track, start, round(avg("full"), 4) as e from runs r join bars b on b.track = r.track and b.bar >= start and b.bar < start + length group by r.track, start),
-p as (select *, (rank() over (partition by track order by e) - 1 + (count(*) over (partition by track, e) - 1) / 2.0) / greatest(1, count(*) over (partition by track) - 1) as r, row_number() over (partition by track order by start) as i, count(*) over (partition by track) as n from s)
-select track, start, round(r + 1e-9, 6) as rank, case when i = 1 and r < 0.5 then 'intro' when i = n and r < 0.5 then 'outro' when r >= 0.75 then 'chorus' when r <= 0.25 then 'break' else 'verse' end as label from p""")
+p as (select *, (rank() over (partition by track order by e) - 1 + (count(*) over (partition by track, e) - 1) / 2.0) / greatest(1, count(*) over (partition by track) - 1) as r, row_number() over (partition by track order by start) as i, count(*) over (partition by track) as n from s),
+q as (select *, quantile_cont(r, 0.5) over (partition by track) as mid from p)
+select track, start, round(r + 1e-9, 6) as rank, case when i = 1 and r < mid then 'intro' when i = n and r < mid then 'outro' when r >= 0.75 then 'chorus' when r <= 0.25 then 'break' else 'verse' end as label from q""")
 def energy_percentile_rank(spark, sf):
-    st = layout.states(base.bars(spark, sf), K)
+    st = ordered.with_runs(layout.states(base.bars(spark, sf), K), K, "bar", "is_on")
     # a run's bars carry its start, so that energies need no range join
-    g = F.row_number().over(ordered.by(K, "bar")) - F.row_number().over(ordered.by([*K, "is_on"], "bar"))
-    s = st.withColumn("g", g).groupBy("track", "is_on", "g").agg(F.min("bar").alias("start"), F.round(F.avg("full"), 4).alias("e"))
-    r = s.withColumn("r", ordered.percentile_rank(K, "e"))
-    i, n = F.row_number().over(ordered.by(K, "start")), F.count("*").over(Window.partitionBy("track"))
-    label = F.when((i == 1) & (F.col("r") < 0.5), "intro").when((i == n) & (F.col("r") < 0.5), "outro").when(F.col("r") >= 0.75, "chorus").when(F.col("r") <= 0.25, "break").otherwise("verse")
-    return r.select("track", "start", F.round(F.col("r") + 1e-9, 6).alias("rank"), label.alias("label"))
+    own = F.last(F.when(F.col("run_new"), F.col("bar")), ignorenulls=True).over(ordered.by(K, "bar"))
+    s = st.withColumn("start", own).groupBy("track", "start").agg(F.round(F.avg("full"), 4).alias("e"))
+    r = policy.label_sections(s.withColumn("rank", ordered.percentile_rank(K, "e")), K)
+    return r.select("track", "start", F.round(F.col("rank") + 1e-9, 6).alias("rank"), "label")
 
 
 def _monotonic_sql() -> str:
@@ -304,10 +303,8 @@ def legacy_thresholds(spark, sf):
 
 @query(f"""with {EV} select track, cast(floor(t / 3600) as bigint) as bucket, max(abs(value)) as peak, cast(floor(max(t) / 60) as bigint) as minutes, chr(cast(65 + count(*) % 8 as int)) as pad from ev group by 1, 2""")
 def peak_envelope(spark, sf):
-    e = base.events(spark, sf)
-    p = ordered.peak_envelope(e, K, "t", "value", 3600.0)
-    n = e.groupBy("track", F.floor(F.col("t") / 3600).cast("long").alias("bucket")).agg(F.floor(F.max("t") / 60).alias("minutes"), pad_letter((F.count("*") % 8).cast("int")).alias("pad"))
-    return p.join(n, ["track", "bucket"])
+    more = {"minutes": F.floor(F.max("t") / 60), "pad": pad_letter((F.count("*") % 8).cast("int"))}
+    return ordered.peak_envelope(base.events(spark, sf), K, "t", "value", 3600.0, more)
 
 
 @query(f"""with {EV}, n as (select track, user_id, count(*) as n, sum(value) as v from ev group by 1, 2) select track, case when n >= 3 and v > 100 then 'written' when n >= 2 then 'skipped' else 'failed' end as status, count(*) as n, round(sum(v), 4) as total, round(avg(v) + 1e-9, 6) as mean from n group by 1, 2""")
@@ -416,7 +413,9 @@ def octave_tempo_ratio(spark, sf):
     return base.table(spark, sf, "part").select("p_partkey", F.round(octave_ratio(F.col("p_retailprice"), F.col("p_size").cast("double")), 6).alias("ratio"))
 
 
-@query(f"with {EV} select event_id, cast(floor(t / 60) as bigint) as minute, {near_sql('cast(floor(t / 60) as bigint)', '5')} as phrase from ev")
+@query(f"""with {EV}, m as (select event_id, cast(floor(t / 60) as bigint) as minute, cast(floor(t) as bigint) % 60 + cast(event_id % 4 as double) / 4 as s from ev)
+select event_id, minute, {near_sql('minute', '5')} as phrase, minute || ':' || printf('%05.2f', s) as clock from m""")
 def minute_phrase(spark, sf):
     m = F.floor(F.col("t") / 60).cast("long")
-    return base.events(spark, sf).select("event_id", m.alias("minute"), nearest_phrase(m, F.lit(5)).alias("phrase"))
+    quarter = F.floor("t") + (F.col("event_id") % 4) / 4.0  # exact in binary and in two digits
+    return base.events(spark, sf).select("event_id", m.alias("minute"), nearest_phrase(m, F.lit(5)).alias("phrase"), minutes_seconds(quarter).alias("clock"))
