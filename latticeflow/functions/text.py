@@ -58,4 +58,4 @@ def file_stem(path: Column) -> Column:
 
 def list_items(s: Column) -> Column:
     """The non-empty trimmed items of a comma-separated list."""
-    return F.filter(F.transform(F.split(s, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -41,6 +41,8 @@ class Rules:
 
 
 SLOTS = "abcdefgh"
+# Fixed value: the note on a track without energy.
+SILENT = "no kick-band energy detected; first beat only"
 RULES = Rules()
 RELAXED = Rules(drop_on=2, drop_off=1, break_off=2, return_on=2)
 
@@ -173,7 +175,7 @@ def _notes(a: Column, lk: Column) -> Column:
     has = lambda x: c(x).isNotNull()
     say = lambda cond, text: F.when(full & cond, text if isinstance(text, Column) else F.lit(text))
     notes = [
-        F.when(c("loud") <= 0, "no kick-band energy detected; first beat only"),
+        F.when(c("loud") <= 0, SILENT),
         F.when((c("loud") > 0) & ~full, "track too short for bass structure analysis; first beat only"),
         say(c("on_a"), "D (Drop): omitted (coincides with A)"),
         say(has("d") & lk, event_note("D", c("d_raw"), a, c("d"))),

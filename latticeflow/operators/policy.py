@@ -13,6 +13,7 @@ from .ordered import by, merge_short, nearest_join, sole_extreme
 # Label sets and limits of the policy.
 HIGH, LOW, EDGE = ("chorus", "solo"), ("break", "bridge"), ("intro", "outro")
 OUTRO_BEATS, MIN_DOWNBEATS = 8, 8
+SHORT = "track too short for structure analysis; first beat only"
 
 
 def normalised(segments: DataFrame, keys: Sequence[str], shortest: Column) -> DataFrame:
@@ -106,7 +107,7 @@ def _notes() -> Column:
     lost = lambda x: F.col(x).isNull()
     whole, drop = F.col("whole"), F.col("d").isNotNull()
     return F.array_compact(F.array(
-        F.when(~whole, "track too short for structure analysis; first beat only"),
+        F.when(~whole, SHORT),
         F.when(whole & (F.col("n_inner") < 2), "no drop detected (< 2 non-edge segments)").when(whole & ~drop & (F.col("n_ahead") >= 2), "no drop detected (ambiguous energy rank)"),
         F.when(whole & drop & lost("c"), "C (Buildup): omitted (nothing between B and D)"),
         F.when(whole & drop & lost("e"), "E (Breakdown): omitted (no candidate after D)"),

@@ -79,3 +79,42 @@ def sections(features: np.ndarray, k: int | None = None) -> np.ndarray:
 
 def boundaries(labels: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1]) if len(labels) else np.zeros(0, dtype=int)
+
+
+def beat_features(y: np.ndarray, sr: int, beats: np.ndarray, bands: int = 36) -> np.ndarray:
+    """Median log magnitudes of ``bands`` log-spaced bands between beats: one row a beat."""
+    from . import signal
+
+    hop = max(32, signal.HOP * sr // signal.SR)
+    s, f = signal.spectrogram(y, hop), np.fft.rfftfreq(signal.N_FFT, 1 / sr)
+    edges = np.geomspace(32.0, max(64.0, sr / 2), bands + 1)
+    place = np.clip(np.searchsorted(edges, f, "right") - 1, 0, bands - 1)
+    pooled = np.log1p(np.array([s[place == b].sum(axis=0) for b in range(bands)])).T
+    at = np.clip((np.append(beats, len(y) / sr) * sr / hop).astype(int), 0, len(pooled) - 1)
+    return np.array([np.median(pooled[i : max(i + 1, j)], axis=0) for i, j in zip(at, at[1:], strict=False)])
+
+
+def with_energy(y: np.ndarray, sr: int, spans: list[tuple[float, float, str]]) -> list[dict]:
+    """Segments with the mean low-band energy of their frames; one frame at least, and none past the end."""
+    from . import signal
+
+    low = signal.band_energy(y, sr)["low"]
+    sums = np.append(0.0, np.cumsum(low, dtype=np.float64))
+    frame = lambda t: int(t * sr / signal.HOP)
+    out = []
+    for a, b, label in spans:
+        i = min(max(0, frame(a)), len(low))
+        j = min(max(frame(b), i + 1), len(low))
+        out.append({"start": a, "end": b, "label": label, "energy": float((sums[j] - sums[i]) / (j - i)) if j > i else 0.0})
+    return out
+
+
+def segments_of(y: np.ndarray, sr: int, beats: np.ndarray, downs: np.ndarray, duration: float) -> list[dict]:
+    """Spectral sections of a track, their bounds on the nearest downbeats; none for fewer than four beats."""
+    if len(beats) < 4:
+        return []
+    edges = beats[boundaries(sections(beat_features(y, sr, beats)))]
+    if len(downs):
+        edges = np.unique([downs[np.argmin(np.abs(downs - t))] for t in edges])
+    edges = np.append(edges, duration)
+    return with_energy(y, sr, [(float(a), float(b), "") for a, b in zip(edges, edges[1:], strict=False) if b > a])

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import io
+import re
 import shutil
 import subprocess
+import time
 import wave
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..operators.signal import SR
 
@@ -19,17 +23,27 @@ EXTENSIONS = ("mp3", "wav", "flac", "aiff", "aif", "m4a", "aac", "ogg")
 
 
 def audio_files(spark: SparkSession, path: str, extensions=EXTENSIONS) -> DataFrame:
-    """binaryFile rows below ``path`` with an audio extension, without hidden files and folders."""
+    """binaryFile rows of a file, whatever its extension, or of a folder: all below it with an audio extension, without hidden files and folders.
+
+    Raises FileNotFoundError if there is none.
+    """
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        raise FileNotFoundError(path)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    base = path.rstrip("/").split("://")[-1].lstrip("/")
-    below = F.regexp_replace("path", rf"^.*{_quote(base)}/?", "")
-    return rows.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions) & ~F.concat(F.lit("/"), below).rlike(r"/\."))
+    if fs.getFileStatus(hpath).isDirectory():
+        base = path.rstrip("/").split("://")[-1].lstrip("/")
+        below = F.regexp_replace("path", rf"^.*{re.escape(base)}/?", "")
+        rows = rows.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions) & ~F.concat(F.lit("/"), below).rlike(r"/\."))
+    if rows.select("path").isEmpty():
+        raise FileNotFoundError(f"no audio files below {path}")
+    return rows
 
 
-def _quote(s: str) -> str:
-    import re
-
-    return re.escape(s)
+def local_path(path: Column) -> Column:
+    """The path of a file: URL as the system names it."""
+    return F.regexp_replace(path, "^file:/*", "/")
 
 
 def decode_wav(data: bytes, sr: int = SR) -> np.ndarray:
@@ -57,37 +71,59 @@ def decode_audio(data: bytes, sr: int = SR) -> np.ndarray:
     return decode_wav(data, sr)
 
 
-ANALYSED = "path string, error string, duration_s double, beats array<double>, downbeats array<double>, kick array<double>, full array<double>, fit struct<bpm:double,render_bpm:double,anchor_s:double,beat_fit:double,bar_resid_std:double,splice_jump:double,ok:boolean,reason:string>"
-
+_FIT = "struct<bpm:double,render_bpm:double,anchor_s:double,beat_fit:double,bar_resid_std:double,splice_jump:double,ok:boolean,reason:string>"
+SEGMENTS = "array<struct<start:double,end:double,label:string,energy:double>>"
+ANALYSED = (
+    "path string, error string, duration_s double, known_bpm double, tracked_bpm double, beats array<double>, downbeats array<double>, starts array<double>, kick array<double>, full array<double>, "
+    f"fit {_FIT}, sections {SEGMENTS}, given {SEGMENTS}, profile struct<bpm:double,first_beat_s:double,low:array<double>,total:array<double>>, took_s double"
+)
+
+
+def analysis_of(y: np.ndarray, sr: int, known: float | None, given: list | None, needs: frozenset, nudge_beats: float = 0.0) -> dict:
+    """What the engines take of one track's samples; a locked grid is moved by ``nudge_beats`` within its bar."""
+    from ..operators import grid, segmentation, signal
+
+    duration = len(y) / sr
+    beats, downs = signal.track_beats(y, sr)
+    kick = signal.kick_band(y, sr)
+    rms = grid.window_rms(kick, sr)
+    fit = grid.fit(beats, downs, duration, rms, known)
+    if fit["ok"] and nudge_beats:
+        fit["anchor_s"] = (fit["anchor_s"] + nudge_beats * 60.0 / fit["bpm"]) % (240.0 / fit["render_bpm"])
+    tracked = grid.rough_bpm(beats)
+    row = {"duration_s": duration, "known_bpm": known, "tracked_bpm": tracked, "beats": beats, "downbeats": downs, "fit": fit}
+    if "bass" in needs:
+        starts, ends = lattice(fit, beats, downs, duration)
+        row |= {"starts": starts, "kick": rms(starts, ends), "full": grid.window_rms(y, sr)(starts, ends)}
+    if "sections" in needs:
+        row["sections"] = segmentation.segments_of(y, sr, beats, downs, duration)
+    if "given" in needs:
+        spans = [(float(x["start"]), float(x["end"]), x["label"]) for x in given or []]
+        row["given"] = segmentation.with_energy(y, sr, spans)
+    if "profile" in needs and duration > 1:
+        g = signal.lock_grid(y, known or tracked, sr)
+        p = signal.bar_profile(y, g, sr)
+        row["profile"] = {"bpm": g["bpm"], "first_beat_s": g["first_beat_s"], "low": p["low"], "total": p["total"]}
+    return row
+
+
+def _analyse(sr: int, needs: frozenset, nudge_beats: float):
+    schema = to_arrow_schema(StructType.fromDDL(ANALYSED))
 
-def _analyse(sr: int):
     def run(batches):
-        from ..operators import grid, signal
-
         for batch in batches:
-            for path, data, known in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                row = {"path": path, "error": None, "duration_s": None, "beats": None, "downbeats": None, "kick": None, "full": None, "fit": None}
+            for path, data, known, given in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                row, began = dict.fromkeys(schema.names) | {"path": path}, time.perf_counter()
                 try:
-                    y = decode_audio(data, sr)
-                    beats, downs = signal.track_beats(y, sr)
-                    kick = signal.kick_band(y, sr)
-                    rms = grid.window_rms(kick, sr)
-                    fit = grid.fit(beats, downs, len(y) / sr, rms, known)
-                    starts, ends = lattice(fit, beats, downs, len(y) / sr)
-                    row |= {"duration_s": len(y) / sr, "beats": beats, "downbeats": downs, "kick": rms(starts, ends), "full": grid.window_rms(y, sr)(starts, ends), "fit": fit}
+                    row |= analysis_of(decode_audio(data, sr), sr, known, given, needs, nudge_beats)
                 except Exception as e:  # one bad file is a row, not a failed job
                     row["error"] = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
+                row["took_s"] = time.perf_counter() - began
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     return run
 
 
-def _arrow_schema():
-    d, s = pa.float64(), pa.string()
-    fit = pa.struct([("bpm", d), ("render_bpm", d), ("anchor_s", d), ("beat_fit", d), ("bar_resid_std", d), ("splice_jump", d), ("ok", pa.bool_()), ("reason", s)])
-    return pa.schema([("path", s), ("error", s), ("duration_s", d), ("beats", pa.list_(d)), ("downbeats", pa.list_(d)), ("kick", pa.list_(d)), ("full", pa.list_(d)), ("fit", fit)])
-
-
 def lattice(fit: dict, beats, downs, duration: float):
     """Starts and ends of bars: of the locked grid while whole bars fit, else from downbeat to downbeat."""
     if fit["ok"]:
@@ -102,9 +138,13 @@ def lattice(fit: dict, beats, downs, duration: float):
     return s, np.append(s[1:], s[-1] + period)
 
 
-def analyse_audio(files: DataFrame, sr: int = SR) -> DataFrame:
-    """One row a file: beats, grid and bar energies, or its error.  ``files``: path, content, known_bpm."""
-    return files.select("path", "content", F.col("known_bpm").cast("double")).mapInArrow(_analyse(sr), ANALYSED)
+def analyse_audio(files: DataFrame, sr: int = SR, needs=("bass",), nudge_beats: float = 0.0) -> DataFrame:
+    """One row a file: beats, grid and what is in ``needs`` (bass, sections, given, profile), or its error.
+
+    ``files``: path, content, known_bpm, and with "given" also given (array of start, end, label).
+    """
+    given = F.col("given").cast("array<struct<start:double,end:double,label:string>>") if "given" in files.columns else F.lit(None).cast("array<struct<start:double,end:double,label:string>>")
+    return files.select("path", "content", F.col("known_bpm").cast("double"), given.alias("given")).mapInArrow(_analyse(sr, frozenset(needs), nudge_beats), ANALYSED)
 
 
 TRUTH = "tracks array<struct<path:string,cues:map<string,double>>>"
@@ -119,17 +159,28 @@ def explode_truth(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("tracks").alias("x")).select("x.path", F.explode("x.cues").alias("slot", "t"))
 
 
-def svg(envelope, cues: dict[str, float], duration: float, on: list[tuple[float, float]] = (), width: int = 1200, height: int = 160) -> str:
-    """A drawing of a track: envelope, on-spans, cues."""
-    x = lambda t: t / max(duration, 1e-9) * width
-    peak = max([*envelope, 1e-9])
-    bars = "".join(f'<rect x="{i * width / max(1, len(envelope)):.2f}" y="{height / 2 * (1 - v / peak):.1f}" width="{width / max(1, len(envelope)):.2f}" height="{height * v / peak:.1f}"/>' for i, v in enumerate(envelope))
-    spans = "".join(f'<rect class="on" x="{x(a):.1f}" y="0" width="{x(b - a):.1f}" height="{height}" opacity="0.2"/>' for a, b in on)
-    marks = "".join(f'<line x1="{x(t):.1f}" x2="{x(t):.1f}" y1="0" y2="{height}" stroke="red"/><text x="{x(t) + 2:.1f}" y="12">{k}</text>' for k, t in sorted(cues.items()))
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{spans}{bars}{marks}</svg>'
-
+# Names of the cues, and what colours segments.
+CUE_NAMES = ("First Beat", "Loop In", "Vocal / Buildup", "Drop", "Breakdown", "Special", "Outro", "Loop Out")
+_SEGMENT_FILL = {"intro": "#888", "outro": "#888", "chorus": "#e44", "solo": "#e44", "break": "#48c", "bridge": "#48c"}
 
-def report_lines(cues: DataFrame) -> Column:
-    from ..functions.text import minutes_seconds
 
-    return F.concat(F.col("slot"), F.lit("  "), minutes_seconds(F.col("t")))
+def svg(envelope, cues: dict[str, float], duration: float, on=(), phrases=(), downbeats=(), segments=(), title: str = "", width: int = 1200, height: int = 160) -> str:
+    """A drawing of a track: envelope, on-spans (start, end) or segments (start, end, label), phrase ticks, downbeats, cues with their names."""
+    x = lambda t: t / max(duration, 1e-9) * width
+    peak = max([*envelope, 1e-9])
+    each = width / max(1, len(envelope))
+    escape = lambda s: s.replace("&", "&amp;").replace("<", "&lt;")
+
+    def box(kind: str, a: float, b: float, fill: str) -> str:
+        return f'<rect class="{kind}" x="{x(a):.1f}" y="0" width="{x(b - a):.1f}" height="{height}" fill="{fill}" opacity="0.2"/>'
+
+    def tick(kind: str, t: float, stroke: str) -> str:
+        return f'<line class="{kind}" x1="{x(t):.1f}" x2="{x(t):.1f}" y1="0" y2="{height}" stroke="{stroke}"/>'
+
+    parts = [box("on", a, b, "#e63946") for a, b in on]
+    parts += [box("segment", a, b, _SEGMENT_FILL.get(n, "#aaa")) + f'<text x="{x((a + b) / 2):.1f}" y="{height - 4}" font-size="8">{escape(n)}</text>' for a, b, n in segments]
+    parts += [f'<rect x="{i * each:.2f}" y="{height / 2 * (1 - v / peak):.1f}" width="{each:.2f}" height="{height * v / peak:.1f}" fill="#ccc"/>' for i, v in enumerate(envelope)]
+    parts += [tick("downbeat", t, "#0002") for t in downbeats] + [tick("phrase", t, "#0008") for t in phrases]
+    parts += [tick("cue", t, "red") + f'<text x="{x(t) + 2:.1f}" y="{12 if k in "ACEG" else 26}">{k} {escape(CUE_NAMES[ord(k) - 65])}</text>' for k, t in sorted(cues.items())]
+    head = f"<title>{escape(title)}</title>" if title else ""
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{head}{"".join(parts)}</svg>'

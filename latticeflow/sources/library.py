@@ -9,17 +9,20 @@ on DataFrames.
 from __future__ import annotations
 
 import datetime as dt
+import os
 import shutil
 import sqlite3
+import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from ..functions.text import file_url_path, nfc
-from .archive import decode, encode, node, parse_archive
+from .archive import EDITED, SINGLE, decode, edit_record, encode, node, parse_archive
 
 SCHEMA = "collection string, key string, data binary"
 TABLE = "database2"
@@ -97,19 +100,50 @@ def path_index(locations: DataFrame, scheme: str = "file") -> DataFrame:
     return parsed.select(uuid.alias("key"), F.explode(urls).alias("url")).select("key", nfc(file_url_path(F.col("url"), scheme)).alias("path")).filter("path is not null").distinct()
 
 
-def find_tracks(paths: DataFrame, index: DataFrame, titled: DataFrame) -> DataFrame:
+def path_variants(path: F.Column) -> F.Column:
+    """The comparable forms of a path: absolute and with links resolved, both in normal form C, without repeats."""
+    return F.array_distinct(F.pandas_udf(_variants, "array<string>")(path))
+
+
+def _variants(paths: pd.Series) -> pd.Series:
+    forms = lambda p: [unicodedata.normalize("NFC", f(p)) for f in (os.path.abspath, os.path.realpath)]
+    return paths.map(lambda p: None if p is None else forms(p))
+
+
+def existing(paths: F.Column) -> F.Column:
+    """Whether a path is a file on the machines that run the tasks."""
+    return F.pandas_udf(lambda s: s.map(lambda p: p is not None and os.path.isfile(p)), returnType="boolean")(paths)
+
+
+def find_tracks(paths: DataFrame, index: DataFrame, titled: DataFrame, variants: bool = False) -> DataFrame:
     """(path, key, status): ok, missing or ambiguous.
 
-    Of several records with one path, those that have a title record count, if exactly one has.
+    A path matches by any of its ``variants`` (only by itself, in normal form C, if false).  Of several records with
+    one path, those that have a title record count, if exactly one has.
     """
     w = Window.partitionBy("path")
-    hits = paths.select(nfc("path").alias("path")).distinct().join(index, "path", "left").join(titled.select(F.col("key").alias("__k")).distinct(), F.col("key") == F.col("__k"), "left")
+    wanted = paths.select(nfc("path").alias("path")).distinct()
+    forms = wanted.select("path", F.explode(path_variants(F.col("path"))).alias("form")) if variants else wanted.withColumn("form", F.col("path"))
+    keys = titled.select(F.col("key").alias("__k")).distinct()
+    hits = forms.join(index.select("key", F.col("path").alias("form")), "form", "left").select("path", "key").distinct().join(keys, F.col("key") == F.col("__k"), "left")
     hits = hits.withColumn("n", F.count("key").over(w)).withColumn("real", F.count("__k").over(w))
     picked = F.when(F.col("n") == 1, F.max("key").over(w)).when(F.col("real") == 1, F.max(F.when(F.col("__k").isNotNull(), F.col("key"))).over(w))
     status = F.when(F.col("n") == 0, "missing").when(picked.isNotNull(), "ok").otherwise("ambiguous")
     return hits.select("path", picked.alias("key"), status.alias("status")).distinct()
 
 
+def tempos(analysed: DataFrame) -> DataFrame:
+    """(key, bpm) of analysis records that hold the tempo as a 32-bit float; others have none."""
+    p = analysed.select("key", parse_archive("data").alias("p")).filter("p.error is null")
+    is_single = F.filter("p.nodes", lambda n: (n["path"] == "/bpm") & (n["tag"] == SINGLE))
+    return p.select("key", F.get(is_single, F.lit(0))["num"].alias("bpm")).filter("bpm is not null")
+
+
+def known_tempos(hits: DataFrame, analysed: DataFrame, given: float | None = None) -> DataFrame:
+    """``hits`` (path, key, ...) with known_bpm: the library's tempo, else the given one, else null."""
+    return hits.join(tempos(analysed).withColumnRenamed("bpm", "__bpm"), "key", "left").withColumn("known_bpm", F.coalesce("__bpm", F.lit(given).cast("double"))).drop("__bpm")
+
+
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """``base`` with ``delta``'s rows in place of those with equal keys, and its new ones; a key's last row (largest seq, if there) counts."""
     if "seq" in delta.columns:
@@ -122,6 +156,20 @@ def skip_reason(existing: F.Column, same: F.Column, unsafe: F.Column, has_cues:
     return F.when(existing & has_cues & F.lit(not force), "already has cues").when(existing & ~same, "record does not round-trip").when(existing & (F.size(unsafe) > 0), "record contains objects that cannot be edited safely")
 
 
+def edits_of(planned: DataFrame, collection: str = "mediaItemUserData") -> DataFrame:
+    """Rows of the library from planned edits (key, data, title, cues (array of slot, t), anchor_s, grid): what is held is edited in place, else a new record is made.
+
+    ``grid``: whether the grid's anchor is written.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = [edit_record(*r) for r in zip(*(pdf[c] for c in EDITED), strict=True)]
+            yield pd.DataFrame({"collection": collection, "key": pdf["key"], "data": rows})
+
+    return planned.select(*EDITED).mapInPandas(run, SCHEMA)
+
+
 def put(db: sqlite3.Connection, collection: str, key: str, data: bytes) -> None:
     """One verified upsert: bytes that do not survive decoding and encoding are refused."""
     if encode(decode(data)) != data:

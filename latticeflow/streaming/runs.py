@@ -45,3 +45,16 @@ def stream_files(spark: SparkSession, path: str, at_once: int = 16) -> DataFrame
     """New files below ``path`` as a stream of (path, content), at most ``at_once`` a batch: bounded intake is the back pressure."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", at_once).load(path)
+
+
+def analyse_stream(spark: SparkSession, path: str, out: str, checkpoint: str, at_once: int = 16, sr: int | None = None, needs=("bass",)):
+    """A query that analyses each new file below ``path`` once and appends its row (path, result or error) to ``out``.
+
+    At most ``at_once`` files are in work; a bad file is a row with its error; ``stop()`` ends it, and what the
+    checkpoint has not seen is taken up by the next.  Returns the running query, which ends when no file is left.
+    """
+    from ..sources import files
+
+    found = stream_files(spark, path, at_once).withColumn("known_bpm", F.lit(None).cast("double"))
+    rows = files.analyse_audio(found, sr or files.SR, needs)
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,10 +1,11 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from latticeflow.functions import file_url_path, minutes_seconds, octave_ratio, snap_nonnegative
-from latticeflow.operators import ordered, policy, scoring
+from latticeflow.operators import engines, ordered, policy, scoring
 from latticeflow.plans.registry import QUERIES
 from latticeflow.sources import files
 from latticeflow.streaming import bar_states, closed_runs, stream_files
@@ -18,7 +19,11 @@ def test_score(spark, tmp_path):
     assert got["D"]["n"] == 2 and got["D"]["omitted"] == 1 and got["D"]["beat_rate"] == 0.5 and got["D"]["mae"] == 0.5
     assert got["E"]["beat_rate"] == 0 and got["E"]["bar_rate"] == 0 and got["E"]["mae"] == 2.5
     assert scoring.format_report(scoring.score(truth, pred, tempo)).count() == 3
-    assert scoring.engine_of("ml-bass") and scoring.jobs_for("ml-allin1", 8) == 1
+    assert engines.engine_of("ml-bass").dsp and engines.engine_of("ml-allin1").serial
+    with pytest.raises(ValueError):
+        engines.engine_of("none")
+    rt = scoring.runtimes(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 4.0)], "engine string, took_s double")).collect()
+    assert sorted(map(tuple, rt)) == [("a", 2, 3.0, 1.5), ("b", 1, 4.0, 4.0)]
     (tmp_path / "t.json").write_text('{"tracks": [{"path": "x", "cues": {"A": 1, "D": 2.5}}, {"path": "y", "cues": {}}]}')
     assert sorted(map(tuple, files.ground_truth(spark, str(tmp_path / "t.json")).collect())) == [("x", "A", 1.0), ("x", "D", 2.5)]
 
