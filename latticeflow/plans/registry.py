@@ -1,8 +1,6 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the core and their SQL."""
 
-from __future__ import annotations
+from . import records, structure, tables
 
-from . import structure, tables
-
-QUERIES = {**structure.QUERIES, **tables.QUERIES}
-ORACLE_SQL = {**structure.ORACLE_SQL, **tables.ORACLE_SQL}
+QUERIES = structure.QUERIES | tables.QUERIES | records.QUERIES
+ORACLE_SQL = structure.ORACLE_SQL | tables.ORACLE_SQL | records.ORACLE_SQL

@@ -1,5 +1,5 @@
 """Structured Streaming forms of the operators."""
 
-from .runs import bar_states, closed_runs, stream_files
+from .runs import analyse_stream, bar_states, closed_runs, stream_files
 
-__all__ = ["bar_states", "closed_runs", "stream_files"]
+__all__ = ["analyse_stream", "bar_states", "closed_runs", "stream_files"]

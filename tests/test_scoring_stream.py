@@ -102,3 +102,23 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("lf_files").count() == 1
+
+
+def test_files_are_analysed_once_as_they_come(spark, tmp_path):
+    from test_cli import SR, song
+
+    from latticeflow.streaming import analyse_stream
+
+    folder, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        song(f"{folder}/{name}.wav", bars=20, on=())
+    (tmp_path / "in" / "bad.wav").write_bytes(b"RIFFnothing")
+    q = analyse_stream(spark, folder, out, mark, at_once=1, sr=SR)
+    q.awaitTermination()
+    assert max(p["numInputRows"] for p in q.recentProgress) == 1
+    song(f"{folder}/c.wav", bars=20, on=())
+    analyse_stream(spark, folder, out, mark, at_once=2, sr=SR).awaitTermination()
+    rows = {r["path"].split("/")[-1]: r for r in spark.read.parquet(out).collect()}
+    assert spark.read.parquet(out).count() == 4 and set(rows) == {"a.wav", "b.wav", "bad.wav", "c.wav"}
+    assert rows["bad.wav"]["error"] and rows["c.wav"]["error"] is None and abs(rows["a.wav"]["duration_s"] - 42) < 1
