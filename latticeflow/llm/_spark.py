@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names.  Only where that is unset (local tests) a folder of
-    this machine is taken, and the session's checkpoint directory is set to it.
+    It is what ``spark.checkpoint.dir`` names.  Only where that is unset and the session is local (tests) a
+    folder of this machine is taken, and the session's checkpoint directory is set to it.
     """
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
@@ -28,9 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
         was = sc._jsc.sc().getCheckpointDir()
         if was.isDefined():
             held = was.get()
-        else:
+        elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
             held = "file://" + tempfile.mkdtemp(prefix="latticeflow-")
             sc.setCheckpointDir(held)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return held.rstrip("/")
 
 
@@ -52,10 +55,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
         hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+#: Makes Spark remove the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut, a lost executor costs nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage is cut, a lost executor costs nothing.
+
+    The shuffle files behind it are removed at once, as nothing reads them again.
+    """
     path = f"{new_path(spark, name)}/t"
-    df.write.option("compression", codec).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._lf_path = path
     return out
@@ -66,9 +81,13 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
         remove(spark, df._lf_path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished plans (it acts on the JVM's GC)."""
-    spark.sparkContext._jvm.System.gc()
+def summed(df: DataFrame) -> np.ndarray:
+    """The sum of the arrays in the only column of ``df``, element by element: combined before the shuffle, one row an element to the driver."""
+    rows = df.select(F.posexplode(df.columns[0]).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(len(rows))
+    for i, x in rows:
+        out[i] = x
+    return out
 
 
 def maybe_broadcast(small: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import drop_table, materialize, maybe_broadcast, release_shuffles, table
+from ._spark import drop_table, materialize, maybe_broadcast, table
 
 #: Edits between near lines, and the least length of both; equal lines meet whatever their length.
 TAU, MIN_CHARS = 2, 40
@@ -86,7 +86,6 @@ def sketched(spark: SparkSession, distinct: DataFrame, tau: int = TAU) -> DataFr
     filed = d.select("id", F.explode(F.expr(f"array({_filed(tau)})")).alias("key"))
     hot = materialize(spark, filed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") >= HOT).select("key"), "hot-keys")
     n_hot = hot.count()
-    release_shuffles(spark)
     if not n_hot:
         return distinct.select("id", "line", F.lit(None).cast("long").alias("s1"), F.lit(None).cast("long").alias("s2"))
     ids = materialize(spark, filed.join(maybe_broadcast(hot, n_hot), "key", "left_semi").select("id").distinct(), "hot-ids")
@@ -177,9 +176,7 @@ def marks(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> tuple[DataFra
     grouped = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
     ids = grouped.select("h1", "h2", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", "line", F.monotonically_increasing_id().alias("id"))
     distinct = materialize(spark, ids, "lines")
-    release_shuffles(spark)
     met = materialize(spark, candidates(sketched(spark, distinct.select("id", "line").filter(F.length("line") >= MIN_CHARS), tau), tau).distinct(), "candidates")
-    release_shuffles(spark)
     n_met = met.count()
     wanted = materialize(spark, met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     n_wanted = wanted.count()
@@ -197,7 +194,6 @@ def marks(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> tuple[DataFra
     out = materialize(spark, out.select("h1", "h2", "doc", "at", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "marks")
     for x in (distinct, text, met, wanted):
         drop_table(spark, x)
-    release_shuffles(spark)
     return out, links
 
 
@@ -215,7 +211,6 @@ def dropped(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> DataFrame:
     """``docs`` with its texts' repeated lines left out, and columns __n_lines, __n_gone, __n_near, __n_links."""
     gone = materialize(spark, dropped(spark, docs, tau).filter("size(gone) > 0 or n_links > 0").select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("gone").alias("__gone"), F.col("n_near").alias("__near"), F.col("n_links").alias("__links")), "gone")
-    release_shuffles(spark)
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     n, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
     joined = keyed.join(maybe_broadcast(gone, max(n, places // 8), LOST_ROWS), (F.col("__key") == F.col("__doc")) & (F.col("__text") == F.col("__version")), "left")
