@@ -1,7 +1,7 @@
 """WARC archives: index first, then coalesced byte-range reads.
 
 Writing: each row becomes one WARC/1.1 record.  Rows are dealt to shards by a hash of their id, so a
-hot host or payload does not make a hot shard; within a shard they are ordered by id, and the running
+hot host or payload does not make a hot shard, and shards to tasks by their number; within a shard they are ordered by id, and the running
 sum of record lengths gives every record's offset.  Records are UTF-8 text whose terminator (two
 CR LF) is the text writer's line separator, so Spark's own committed writer makes the files: a lost
 executor's attempt leaves nothing behind, and any file system that Spark writes to will do.
@@ -9,7 +9,7 @@ executor's attempt leaves nothing behind, and any file system that Spark writes
 The index (shard, offset, length, url, digest, type, id) is computed from the records before they are
 written; it is the only thing that selections touch.  Reading sorts the selected ranges of a shard by
 offset, coalesces those at most ``gap`` bytes apart into one read of at most ``chunk`` bytes, and cuts
-the records out.
+the records out.  The bytes that a selection covers, not its index rows, say how many tasks read it.
 
 Defined cases: a null html is the empty payload; a null url is written as ``urn:lf:none`` and read
 back as null; of several rows with the smallest id and one payload each is a response; rows with a
@@ -37,6 +37,8 @@ MIN_REVISIT = 0
 #: Bytes of html that a shard should hold, about.
 SHARD_BYTES = 64 << 20
 GAP, CHUNK = 64 << 10, 8 << 20
+#: Tasks at most that write or read, and bytes that one reads, about.
+TASKS, READ_BYTES = 20_000, 64 << 20
 NO_URL = "urn:lf:none"
 _SEP = "\r\n\r\n"
 _DATE = "1970-01-01T00:00:00Z"
@@ -136,7 +138,8 @@ def write_archive(spark: SparkSession, pages: DataFrame, path: str, shard_bytes:
     # a revisit's payload is left behind before anything moves
     digested = rows.mapInArrow(_with_digest, "page_id long, url string, html string, digest string, n_bytes long")
     dealt = _dealt(digested, shared, shards).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "n_bytes", "refers_to", "shard")
-    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", *[F.col(c).asc_nulls_first() for c in _ORDER])
+    tasks = min(shards, TASKS)
+    ordered = dealt.repartitionById(tasks, F.floor(F.col("shard") * F.lit(tasks) / F.lit(shards)).cast("int")).sortWithinPartitions("shard", *[F.col(c).asc_nulls_first() for c in _ORDER])
     ordered.mapInArrow(_records, "record string, shard int").write.mode("overwrite").partitionBy("shard").option("lineSep", _SEP).text(f"{path}/warc")
     return spark.read.schema(index.schema).parquet(f"{path}/index")
 
@@ -246,15 +249,17 @@ def _read_selected(path: str, gap: int, chunk: int, with_body: bool):
     return run
 
 
-def read_archive(spark: SparkSession, path: str, selected: DataFrame, gap: int = GAP, chunk: int = CHUNK, with_body: bool = False, tasks: int | None = None) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, selected: DataFrame, gap: int = GAP, chunk: int = CHUNK, with_body: bool = False) -> DataFrame:
     """Read the records of ``selected`` (rows of the index) from the archive below ``path``.
 
-    Rows are dealt by (shard, chunk of the file), so a large shard is read by several tasks, each in
-    ascending order.  Every response's payload is checked against its digest (body_ok).
+    Rows are dealt by their place among all bytes, shard after shard, to as many tasks as their bytes ask for;
+    each reads in ascending order.  Every response's payload is checked against its digest (body_ok).
     """
-    spans = selected.select("shard", "offset", "length").withColumn("piece", F.floor(F.col("offset") / F.lit(chunk)))
-    dealt = spans.repartition("shard", "piece") if tasks is None else spans.repartition(tasks, "shard", "piece")
-    ordered = dealt.sortWithinPartitions("shard", "offset").select("shard", "offset", "length")
+    total, shards, size = selected.agg(F.sum("length"), F.max("shard") + 1, F.max(F.col("offset") + F.col("length"))).first()
+    tasks = max(1, min(TASKS, -(-(total or 0) // READ_BYTES)))
+    place = F.floor((F.col("shard") + F.col("offset") / F.lit(float(size or 1))) * F.lit(tasks / (shards or 1))).cast("int")
+    spans = selected.select("shard", "offset", "length")
+    ordered = spans.repartitionById(tasks, F.least(place, F.lit(tasks - 1))).sortWithinPartitions("shard", "offset").select("shard", "offset", "length")
     return ordered.mapInArrow(_read_selected(f"{path}/warc", gap, chunk, with_body), _READ)
 
 
