@@ -1,25 +1,28 @@
 """Training-order materialisation of token sequences.
 
 Documents become token ids, ids become sequences of ``LENGTH`` (a document's last one padded).  Every
-sequence has a number: a text of b bytes has at most floor((b + length) / length) sequences, which many
-numbers are set aside for it, in the order of the input.  A keyed Feistel network permutes the smallest
-even-bit power of two that holds all numbers, and cycle-walking (encrypting again while the value is
-out of range) makes it a permutation of exactly the numbers set aside.  Its values order the
-sequences: random to look at, computed from number and key alone, without a random column or a global
-sort.  A sequence's global slot is its rank in that order.
+sequence has a number made of its document's id and its place in it: (doc_id - least doc_id) * m + place,
+m being the most sequences that any text can have (a text of b bytes has at most floor((b + length) /
+length)).  A keyed Feistel network permutes the smallest even-bit power of two that holds all numbers,
+and cycle-walking (encrypting again while the value is out of range) makes it a permutation of exactly
+those.  Its values order the sequences: random to look at, computed from id, place and key alone, without
+a random column, a global sort or a look at how the input is split.  A sequence's global slot is its rank
+in that order, so slots have no gaps though numbers do.
 
 Range partitions of the permuted values are the shards.  Each is written in order with a fixed stride;
 the index (shard, first slot, count) makes slots dense, so that a reader finds any slot by one search
-and one seek, (slot - start) * stride, and resumes anywhere.  Setting numbers aside instead of counting
+and one seek, (slot - start) * stride, and resumes anywhere.  Numbering by ids instead of counting
 tokens first means that texts are tokenised once and that only final sequences are shuffled and stored.
 
-A task writes a shard to a name of its own attempt and renames it when whole, so a lost executor
-leaves no half shard; attempts of one shard are equal byte for byte.  The input's tasks must be the same
-in both passes (a file scan's are); ``docs`` from a shuffle should be written first.
+A task writes its shards, neighbours in slot order, to names of its own attempt and renames them when
+whole, so a lost executor leaves no half shard; attempts of one shard are equal byte for byte.  Shards are
+dealt to tasks by number, not by a hash, and reads by the bytes they take.
 
 Defined cases: null and empty texts have no tokens, so a document is the end mark alone: one sequence;
-repeated rows are sequences each; a null doc_id is read back as null; an empty table has no sequences
-and gives an empty result; other columns are ignored.
+repeated rows have one number each and lie side by side, in the order of their ids' bytes; a null doc_id
+counts as one more than the largest, and is read back as null; where ids are so far apart that numbers
+pass 2^62, hashes of ids stand for them; an empty table has no sequences and gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +34,16 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import materialize, new_path, table
 from .tokens import END, Vocabulary
 
 LENGTH, SHARD_SLOTS, KEY, ROUNDS = 512, 16_384, 20260101, 4
+#: Tasks at most that write, and bytes that one reads, about.
+TASKS, READ_BYTES = 20_000, 64 << 20
+_MOST = 1 << 62
 _U = np.uint64
 
 
@@ -76,38 +82,46 @@ HEADER = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n_tokens", "<i4")])
 NO_ID = -(1 << 63)
 
 
-def bound_of(n_bytes: F.Column, length: int) -> F.Column:
-    """Sequences that a text of so many bytes has at most: a token has a byte or more, and the end mark is one."""
-    return F.floor((n_bytes + F.lit(length)) / F.lit(length)).cast("long")
+class Numbers:
+    """From documents and places to the permuted values of their sequences, and from those to shards."""
 
+    def __init__(self, least: int, most: int, per_doc: int, shards: int, key: int = KEY):
+        self.least, self.most, self.per_doc, self.key = least, most, max(1, per_doc), key
+        self.hashed = (most - least + 2) * self.per_doc > _MOST
+        self.n = (_MOST // self.per_doc if self.hashed else most - least + 2) * self.per_doc
+        self.shards = min(shards, self.n)
+        self.width = -(-self.n // self.shards)
+
+    def document(self, doc_id: int | None) -> int:
+        if self.hashed:
+            raw = hashlib.blake2b(str(doc_id).encode(), digest_size=8).digest()
+            return int.from_bytes(raw, "little") % (self.n // self.per_doc)
+        return (self.most + 1 if doc_id is None else doc_id) - self.least
+
+    def values(self, documents: list[int], places: list[int]) -> np.ndarray:
+        return permuted(np.array(documents, dtype=np.uint64) * _U(self.per_doc) + np.array(places, dtype=np.uint64), self.n, self.key)
+
+    def shard(self, values: np.ndarray) -> np.ndarray:
+        return (values // _U(self.width)).astype(np.int64)
 
-def _cut(held: Vocabulary, starts, n: int, key: int, length: int, shards: int):
-    def run(batches):
-        from pyspark import TaskContext
 
+def _cut(held: Vocabulary, numbers: Numbers, length: int):
+    def run(batches):
         vocabulary = held.open()
-        part = TaskContext.get().partitionId()
-        at = int(starts.value[part])
         for batch in batches:
-            number, doc, seq, size, ids = [], [], [], [], []
-            for d, t in zip(batch.column(0), batch.column(1), strict=True):
-                text, d = t.as_py() or "", d.as_py()
-                e = np.append(vocabulary.encode(text), END).astype("<u2").tobytes()
+            number, doc, seq, ids = [], [], [], []
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                e = np.append(vocabulary.encode(t.as_py() or ""), END).astype("<u2").tobytes()
                 pieces = range(0, len(e), 2 * length)
-                number += range(at, at + len(pieces))
+                number += [numbers.document(d)] * len(pieces)
                 doc += [d] * len(pieces)
                 seq += range(len(pieces))
                 ids += [e[p : p + 2 * length] for p in pieces]
-                at += (len(text.encode("utf-8", "surrogatepass")) + length) // length
-            slots = permuted(np.array(number, dtype=np.uint64), n, key)
-            # shard = slot * shards / n without overflow: n < 2^44, shards < 2^20
-            shard = (slots // _U(max(1, -(-n // shards)))).astype(np.int64)
+            v = numbers.values(number, seq)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), pa.array(slots.astype(np.int64)), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary())],
+                [pa.array(numbers.shard(v)), pa.array(v.astype(np.int64)), pa.array(doc, pa.int64()), pa.array(seq, pa.int32()), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary())],
                 names=["shard", "v", "doc_id", "seq", "n_tokens", "ids"],
             )
-        if at != starts.value[part + 1]:
-            raise RuntimeError("a task's rows are not those that were counted")
 
     return run
 
@@ -180,28 +194,27 @@ def _write(path: str, length: int):
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, vocabulary: Vocabulary | None = None, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: int = KEY) -> DataFrame:
     """Write the sequences of ``docs`` in training order below ``path``; returns the index: shard, start (its first slot), n."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # numbers: how many sequences the rows of each input task can have, and so where each task starts
-    most = rows.select(F.spark_partition_id().alias("part"), bound_of(F.octet_length(F.coalesce("text", F.lit(""))), length).alias("n"), F.octet_length(F.coalesce("text", F.lit(""))).alias("b"))
-    parts = {r[0]: (r[1], r[2]) for r in most.groupBy("part").agg(F.sum("n"), F.sum("b")).collect()}  # one row an input task
-    width = rows.rdd.getNumPartitions()
-    starts, n = np.zeros(width + 1, dtype=np.int64), 0
-    for p in range(width):
-        starts[p] = n
-        n += parts.get(p, (0, 0))[0]
-    starts[width] = n
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    n, least, most, longest, total = rows.agg(F.count("*"), F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0)), F.max(size), F.sum(size.cast("long"))).first()
     if not n:
         return spark.createDataFrame([], "shard long, start long, n long")
-    likely = sum(b for _, b in parts.values()) // (2 * length) + len(starts)  # to size shards only: about two bytes a token
-    shards = max(1, -(-likely // shard_slots))
-    cut = rows.mapInArrow(_cut(vocabulary or Vocabulary(), spark.sparkContext.broadcast(starts), n, key, length, shards), "shard long, v long, doc_id long, seq int, n_tokens int, ids binary")
-    ordered = cut.repartition(shards, "shard").sortWithinPartitions("shard", "v")
+    likely = total // (2 * length) + n  # to size shards only: about two bytes a token
+    numbers = Numbers(least, most, (longest + length) // length, max(1, -(-likely // shard_slots)), key)
+    cut = rows.mapInArrow(_cut(vocabulary or Vocabulary(), numbers, length), "shard long, v long, doc_id long, seq int, n_tokens int, ids binary")
+    tasks = min(numbers.shards, TASKS)
+    dealt = cut.repartitionById(tasks, F.floor(F.col("shard") * tasks / numbers.shards).cast("int"))
+    ordered = dealt.sortWithinPartitions("shard", "v", F.col("doc_id").asc_nulls_last(), "seq", "ids")
     counts = materialize(spark, ordered.mapInArrow(_write(path, length), "shard long, n long"), "shards")
-    held = sorted((r[0], r[1]) for r in counts.collect())  # one row a shard
-    index, at = [], 0
-    for s, k in held:
-        index.append((s, at, k))
-        at += k
-    return spark.createDataFrame(index, "shard long, start long, n long")
+    return indexed(spark, counts)
+
+
+def indexed(spark: SparkSession, counts: DataFrame, block: int = 4096) -> DataFrame:
+    """(shard, start, n) of (shard, n): sums of blocks of shards, then within each."""
+    each = counts.withColumn("block", F.floor(F.col("shard") / block))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = each.groupBy("block").agg(F.sum("n").alias("held")).withColumn("base", F.coalesce(F.sum("held").over(before(F.lit(0)).orderBy("block")), F.lit(0)))
+    out = each.join(blocks.select("block", "base"), "block").withColumn("start", (F.col("base") + F.coalesce(F.sum("n").over(before("block").orderBy("shard")), F.lit(0))).cast("long"))
+    return materialize(spark, out.select("shard", "start", "n"), "index")
 
 
 def _read(path: str, length: int):
@@ -226,11 +239,17 @@ def _read(path: str, length: int):
 
 
 def read_shards(spark: SparkSession, path: str, index: DataFrame, from_slot: int = 0, length: int = LENGTH, step: int = 4096) -> DataFrame:
-    """The records from ``from_slot`` on: slot, shard, position, doc_id, seq, n_tokens, ids (padded to the length)."""
+    """The records from ``from_slot`` on: slot, shard, position, doc_id, seq, n_tokens, ids (padded to the length).
+
+    Tasks read neighbours, ``READ_BYTES`` of them or so.
+    """
+    slots = index.agg(F.max(F.col("start") + F.col("n"))).first()[0] or 0
+    tasks = max(1, min(TASKS, -(-(slots - from_slot) * (HEADER.itemsize + 2 * length) // READ_BYTES)))
     runs = index.withColumn("at", F.explode(F.expr(f"sequence(0L, n - 1, {step}L)"))).withColumn("k", F.least(F.lit(step), F.col("n") - F.col("at")))
     late = F.greatest(F.lit(0), F.lit(from_slot) - F.col("start") - F.col("at"))
     runs = runs.filter(late < F.col("k")).select("shard", "start", (F.col("at") + late).alias("at"), (F.col("k") - late).alias("k"))
-    return runs.repartition("shard", "at").mapInArrow(_read(path, length), RECORD)
+    place = F.floor((F.col("start") + F.col("at") - from_slot) * tasks / max(1, slots - from_slot)).cast("int")
+    return runs.repartitionById(tasks, place).sortWithinPartitions("start", "at").mapInArrow(_read(path, length), RECORD)
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

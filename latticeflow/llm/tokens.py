@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 
-#: Where the vocabulary's ranks are; a parameter of all that use it.
+import regex
+
+#: Where the vocabulary's ranks are, on every executor; a parameter of all that use it.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's published pre-tokenisation pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -12,6 +14,7 @@ END = 50256
 #: Characters encoded at once; the encoder's stack and memory grow with a single piece.
 STEP = 200_000
 
+_PIECES = regex.compile(PATTERN)
 _OPEN: dict[str, object] = {}
 
 
@@ -34,21 +37,33 @@ class _Encoder:
         self.encoding = tiktoken.Encoding("lf", pat_str=PATTERN, mergeable_ranks=held, special_tokens={})
 
     def encode(self, text: str):
-        """The ids of a text, as a numpy array of uint32."""
+        """The ids of a text, as a numpy array of uint32.
+
+        A long text goes in runs of whole pieces of the pattern that end after a character that is no space (a run's
+        own end would join white space that the text's does not), so that its ids are those of the whole; a single
+        long piece goes past the pattern.
+        """
         import numpy as np
 
         if len(text) <= STEP:
             return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
-        out, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + STEP)
-            if end < len(text):  # cut before a space that follows a word, where pieces end anyway
-                cut = end
-                while cut > at + 1 and not (text[cut] == " " and not text[cut - 1].isspace()):
-                    cut -= 1
-                end = cut if cut > at + 1 else end
-            out.append(self.encoding.encode_to_numpy(text[at:end], allowed_special=set(), disallowed_special=()))
-            at = end
+        out, at, loose = [], 0, []  # from ``at`` on nothing is encoded; ``loose``: the last pieces of white space
+
+        def run(end: int) -> None:
+            if end > at:
+                out.append(self.encoding.encode_to_numpy(text[at:end], allowed_special=set(), disallowed_special=()))
+
+        for m in _PIECES.finditer(text):
+            if m.end() - m.start() > STEP:
+                run(loose[0].start() if loose else m.start())
+                out += [np.array(self.encoding._encode_single_piece(x[0]), dtype=np.uint32) for x in (*loose, m)]
+                at, loose = m.end(), []
+                continue
+            if not loose and m.end() - at > STEP:
+                run(m.start())
+                at = m.start()
+            loose = [*loose, m] if text[m.end() - 1].isspace() else []
+        run(len(text))
         return np.concatenate(out)
 
     def lengths(self, texts: list[str]) -> list[int]:
