@@ -7,16 +7,16 @@ two bitmaps, of its sources and of its clusters.  The search starts at the succe
 length among the residuals and goes on until the tightest bin whose bitmaps have none of the item's
 bits is found; without one, a bin is opened.
 
-Best fit is sequential, so items are dealt to independent groups by a hash of doc_id: about
-``GROUP_ITEMS`` rows each, whatever their source, so a hot source is spread evenly, and a group's state
-is bounded.  Bitmaps are over the group's own sources and clusters.
+Best fit is sequential, so items are dealt to independent groups by a hash of doc_id and, where rows
+repeat, the copy's number: about ``GROUP_ITEMS`` rows each, whatever their source or id, so a hot source or
+row is spread evenly, and a group's state is bounded.  Bitmaps are over the group's own sources and clusters.
 
 Lengths are tokens of a public vocabulary (byte-level BPE) where its files are, given by a parameter;
 plus one for the separator.
 
-Defined cases: null and empty texts are items of the separator alone; a null source or cluster
-conflicts with nothing; repeated rows are packed each (they are duplicates, so in different bins); rows
-with a null doc_id are dealt by their text; an empty table gives an empty result; other columns are
+Defined cases: null and wordless texts are items of the separator and their white space alone, of no
+cluster; a null source or cluster conflicts with nothing; repeated rows are packed each (they are
+duplicates, so in different bins); rows with a null doc_id are dealt by their text; an empty table gives an empty result; other columns are
 ignored; names of bins are (group, number), equal for equal input.
 """
 
@@ -109,14 +109,15 @@ def _measure(held):
         for batch in batches:
             texts = [x.as_py() or "" for x in batch.column(1)]
             n = [k + 1 for k in vocabulary.lengths(texts)]
-            key = [int.from_bytes(hashlib.blake2b(b" ".join(t.lower().encode("utf-8", "surrogatepass").split()), digest_size=8).digest(), "big", signed=True) for t in texts]
+            words = [b" ".join(t.lower().encode("utf-8", "surrogatepass").split()) for t in texts]
+            key = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big", signed=True) if w else None for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "source", "cluster", "n_tokens"])
 
     return run
 
 
 def measured(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """(doc_id, source, cluster, n_tokens): cluster is a hash of the lower-cased words, so that exact copies up to case and spacing share it."""
+    """(doc_id, source, cluster, n_tokens): cluster is a hash of the lower-cased words, so that exact copies up to case and spacing share it; null without words."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source")).mapInArrow(_measure(vocabulary or Vocabulary()), "doc_id long, source string, cluster long, n_tokens long")
 
@@ -126,9 +127,13 @@ def pack(spark: SparkSession, items: DataFrame, capacity: int = CAPACITY, group_
 
     ``items``: doc_id, source, cluster, n_tokens >= 1.
     """
-    items = materialize(spark, items, "items")
-    groups = max(1, -(-items.count() // group_items))
-    dealt = items.withColumn("group", F.pmod(F.xxhash64(F.lit(11), F.coalesce("doc_id", "cluster"), "cluster"), F.lit(groups)).cast("long"))
+    # equal rows are one with their count, made rows again with a number each: copies are dealt like any others
+    equal = items.groupBy("doc_id", "source", "cluster", "n_tokens").agg(F.count("*").alias("copies"))
+    held = materialize(spark, equal, "items")
+    total = held.agg(F.sum("copies")).first()[0] or 0
+    groups = max(1, -(-total // group_items))
+    each = held.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    dealt = each.withColumn("group", F.pmod(F.xxhash64(F.lit(11), F.coalesce("doc_id", "cluster"), "cluster", "copy"), F.lit(groups)).cast("long")).drop("copy")
     return dealt.groupBy("group").applyInArrow(_pack(capacity), PACKED)
 
 
