@@ -6,8 +6,8 @@ at least ``SHRINK``, so that a class with few rows is near the diagonal.  The Ch
 computed once and shipped; a score is the logistic of the difference of the log densities (half the
 difference of squared Mahalanobis distances, by triangular solves, plus log determinants and priors).
 
-Moments are sums over all labelled training rows, made per partition and added up; only the sums (one
-row a partition and class) reach the driver.
+Moments are sums over all labelled training rows, made per partition and added up in Spark; only their
+2 (1 + d + d^2) elements reach the driver.
 
 Defined cases: null and empty texts have the statistics of no words and get a score like any other;
 without training rows of both classes every score is the share of class 1 (0.5 without any);
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fold_of, materialize, table
+from ._spark import fold_of, materialize, summed, table
 
 SHRINK, RIDGE = 0.02, 1e-3
 SYMBOLS = "#*$%&|<>"
@@ -96,18 +96,16 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _moments(d: int):
+    """Per partition one array: of each class the rows, the sum of x and the sum of its outer product."""
+
     def run(batches):
-        sums = {}
+        total = np.zeros((2, 1 + d + d * d))
         for batch in batches:
             x, y = matrix(batch.column(0), d), batch.column(1).to_numpy(zero_copy_only=False)
             for k in (0, 1):
                 part = x[y == k]
-                n, s, q = sums.get(k, (0, np.zeros(d), np.zeros((d, d))))
-                sums[k] = (n + len(part), s + part.sum(axis=0), q + part.T @ part)
-        rows = [(k, n, s.tolist(), q.reshape(-1).tolist()) for k, (n, s, q) in sums.items()]
-        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["k", "n", "s", "q"])
+                total[k] += np.concatenate([[len(part)], part.sum(axis=0), (part.T @ part).reshape(-1)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1).tolist()], pa.list_(pa.float64()))], names=["s"])
 
     return run
 
@@ -154,11 +152,9 @@ class Discriminant:
 
 def fit(training: DataFrame, d: int = len(FEATURES)) -> Discriminant:
     """``training``: x array<float>, y int."""
-    rows = training.select("x", "y").mapInArrow(_moments(d), "k int, n long, s array<double>, q array<double>")
-    n, s, q = [0, 0], [np.zeros(d), np.zeros(d)], [np.zeros((d, d)), np.zeros((d, d))]
-    for k, nk, sk, qk in sorted(rows.toLocalIterator(), key=lambda r: (r[0], r[1], r[2])):
-        n[k], s[k], q[k] = n[k] + nk, s[k] + np.array(sk), q[k] + np.array(qk).reshape(d, d)
-    return Discriminant(n, s, q)
+    total = summed(training.select("x", "y").mapInArrow(_moments(d), "s array<double>"))
+    total = total.reshape(2, -1) if len(total) else np.zeros((2, 1 + d + d * d))
+    return Discriminant([int(k[0]) for k in total], [k[1 : d + 1] for k in total], [k[d + 1 :].reshape(d, d) for k in total])
 
 
 def labels_of(labels: DataFrame, name: str) -> DataFrame:
