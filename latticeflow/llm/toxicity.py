@@ -2,15 +2,16 @@
 
 Many voters (lexicons of insults, lexicons and word-beginning patterns mined from the training fold,
 writing patterns) each say toxic, clean or nothing about a text.  A generative label model estimates
-from all documents, by expectation maximisation, how often each voter says what about toxic and clean
-texts (its accuracy), and how voters go together within a class (their correlations); a voter's log
-likelihood ratio is divided by the sum of its squared correlations, so that voters which repeat each
-other count once.  Its posterior labels train the linear classifier (ridge logistic regression by
-Newton's method over counts and densities of the voters' hits), which scores every text.
+from all documents, by expectation maximisation without any label, how often each voter says what about
+toxic and clean texts (its accuracy), and how voters go together within a class (their correlations); a
+voter's log likelihood ratio is divided by the sum of its squared correlations, so that voters which
+repeat each other count once.  Its posterior labels, and nothing else, train the linear classifier (ridge
+logistic regression by Newton's method over counts and densities of the voters' hits), which scores
+every text.
 
-What is gathered: votes are summed per vote pattern (at most 3^voters of them), the linear classifier
-is fitted on ``TRAIN_ROWS`` rows at most and terms are mined from ``MINE_ROWS`` labelled rows at most,
-both the least by a hash of doc_id; everything else covers all rows.
+What is gathered: terms are mined from ``MINE_ROWS`` labelled rows at most, the least by a hash of doc_id;
+everything else covers all rows.  Each round of the label model and each Newton step is one pass over
+vote patterns, or features, that sums fixed-size arrays in Spark.
 
 Defined cases: null and empty texts get no votes and the score of no hits; without labelled training
 rows of both classes the mined lexicons are empty and the fixed lexicons alone vote; a document with
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fold_of, materialize, table
+from ._spark import fold_of, materialize, maybe_broadcast, summed, table
 from .quality import labels_of, matrix
 
-#: Bounds of the samples: labelled rows that terms are mined from, rows that the linear classifier is fitted on.
-MINE_ROWS, TRAIN_ROWS = 16_000, 20_000
+#: Labelled rows at most that terms are mined from; rounds at most of the label model and of Newton's method.
+MINE_ROWS, ROUNDS, STEPS = 16_000, 30, 12
 #: A mined term is in this many toxic rows at least, has this log ratio of rates and this log likelihood gain.
 MIN_ROWS, MIN_RATIO, MIN_GAIN, MAX_TERMS = 4, 1.5, 18.0, 600
 #: Occurrences of a term that count in a row.
@@ -71,34 +72,56 @@ def term_set(words) -> set[str]:
     return out
 
 
-def _mine(batches):
-    """Per term: toxic rows that have it, and its occurrences (at most ``BURST`` a row) in toxic and clean rows."""
+def _own(text) -> Counter:
+    own: Counter = Counter()
+    for w, n in Counter(tokens(text)).items():
+        for t in term_set([w]):
+            own[t] += n
+    return own
+
+
+def _terms(batches):
+    """Per term: the rows that have it."""
     rows: Counter = Counter()
-    seen: Counter = Counter()
-    total = [0, 0]
     for batch in batches:
-        for text, y in zip(batch.column(0), batch.column(1), strict=True):
-            k = y.as_py()
-            own: Counter = Counter()
-            for w, n in Counter(tokens(text.as_py())).items():
-                total[k] += min(n, BURST)
-                for t in term_set([w]):
-                    own[t] += n
-            for t, n in own.items():
-                seen[t, k] += min(n, BURST)
-                rows[t] += k
-    out = [("", 0, total[1], total[0])] + [(t, rows[t], seen[t, 1], seen[t, 0]) for t in rows]
-    for at in range(0, len(out), 50_000):
-        cols = zip(*out[at : at + 50_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["term", "docs", "pos", "neg"])
+        for text in batch.column(0):
+            rows.update(_own(text.as_py()).keys())
+    yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], names=["term", "docs"])
+
+
+def _occurrences(held):
+    """Per wanted term, and for '' of all words: occurrences (at most ``BURST`` a row) in toxic and in clean rows."""
+
+    def run(batches):
+        wanted = held.value
+        seen = {"": [0, 0]}
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1), strict=True):
+                k, words = y.as_py(), Counter(tokens(text.as_py()))
+                own: Counter = Counter()
+                for w, n in words.items():
+                    seen[""][k] += min(n, BURST)
+                    for t in term_set([w]) & wanted:
+                        own[t] += n
+                for t, n in own.items():
+                    seen.setdefault(t, [0, 0])[k] += min(n, BURST)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *[pa.array([v[k] for v in seen.values()], pa.int64()) for k in (1, 0)]], names=["term", "pos", "neg"])
+
+    return run
 
 
 def mine(spark: SparkSession, docs: DataFrame, train: DataFrame) -> list[tuple[str, float]]:
-    """(term, log ratio of its rates) of terms that mark toxic rows of ``train`` (__id, y), the strongest first."""
+    """(term, log ratio of its rates) of terms that mark toxic rows of ``train`` (__id, y), the strongest first.
+
+    Terms of ``MIN_ROWS`` toxic rows are found among the toxic rows, and only those are counted in all.
+    """
     chosen = train.orderBy(F.xxhash64("__id"), "__id").limit(MINE_ROWS)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "y")
-    counts = rows.mapInArrow(_mine, "term string, docs long, pos long, neg long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "pos", "neg")])
-    seen = materialize(spark, counts.filter(f"docs >= {MIN_ROWS} or term = ''"), "terms")
+    # rows that repeat a doc_id are one text each; the sample is bounded by its ids
+    rows = materialize(spark, docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "y"), "mined")
+    often = rows.filter("y = 1").select("text").mapInArrow(_terms, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= MIN_ROWS)
+    wanted = spark.sparkContext.broadcast(frozenset(r[0] for r in often.select("term").collect()))
+    counts = rows.mapInArrow(_occurrences(wanted), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    seen = materialize(spark, counts, "terms")
     total = seen.filter("term = ''").first()
     if total is None or not total["pos"] or not total["neg"]:
         return []
@@ -146,9 +169,10 @@ class Voters:
         per = lambda k: math.log((k + 0.05) / (n + 20))
         insult = len(_INSULT.findall(text)) if lexicon else 0
         censored, shout = len(_CENSORED.findall(text)) if any(m in text for m in "*@#$%") else 0, len(_SHOUT.findall(text))
-        say = lambda x, most=1: 1 if x >= most else -1
         only = lambda x: 1 if x else 0
-        votes = [only(lexicon), only(insult), only(censored), only(shout), 1 if lexicon >= 3 else 0, *[say(g) if self.words else 0 for g in groups], *[0 if not self.begins[k] else 1 if begins[k] * 80 >= n and begins[k] else -1 if not begins[k] else 0 for k in PREFIXES], 1 if n and hits * 40 >= n and hits else -1 if hits * 400 < n else 0]
+        # mined terms may meet a clean text once by chance: a hit in 80 words is a vote, none is one against
+        often = lambda x: -1 if not x else 1 if 80 * x >= n else 0
+        votes = [only(lexicon), only(insult), only(censored), only(shout), only(lexicon >= 3), *[often(g) if self.words else 0 for g in groups], *[often(begins[k]) if self.begins[k] else 0 for k in PREFIXES], 1 if n and hits * 40 >= n and hits else -1 if hits * 400 < n else 0]
         lg = lambda x: math.log1p(x)
         x = [lg(lexicon), lg(sum(groups)), *[per(begins[k]) for k in PREFIXES], float(hits > 0), per(hits), per(weighed), lg(weighed), lg(insult), lg(censored), lg(shout), lg(n)]
         return votes, x
@@ -170,88 +194,147 @@ def _see(held):
     return run
 
 
+def codes(patterns) -> np.ndarray:
+    """Vote patterns as a matrix: 0 clean, 1 nothing, 2 toxic."""
+    flat = np.frombuffer("".join(patterns).encode(), dtype=np.uint8).reshape(-1, len(VOTERS))
+    return np.where(flat == ord("+"), 2, np.where(flat == ord("-"), 0, 1))
+
+
 class LabelModel:
-    """A class prior and, per class and voter, how often it votes what; correlations discount voters that repeat each other."""
+    """A class prior and, per class and voter, how often it votes what; correlations discount voters that repeat each other.
+
+    ``sums`` of vote patterns are what a round needs of them; ``update`` takes their total.
+    """
 
-    def __init__(self, patterns: list[tuple[str, int | None, int]], rounds: int = 40, prior: float = 0.1):
-        self.prior = prior
-        v = np.array([["-0+".index(c) for c in p] for p, _, _ in patterns], dtype=np.int64).reshape(len(patterns), len(VOTERS))
-        n = np.array([c for _, _, c in patterns], dtype=np.float64)
-        fixed = np.array([-1 if y is None else y for _, y, _ in patterns])
+    def __init__(self):
         m = len(VOTERS)
-        one = np.eye(3)[v]  # pattern, voter, vote
-        positive = (v == 2).sum(axis=1)
-        # to begin: what more voters call toxic than is usual
-        q = np.where(fixed >= 0, fixed, np.clip(0.02 + 0.3 * positive, 0, 0.95)).astype(float)
-        self.table = np.full((2, m, 3), 1 / 3)
-        self.weight = np.ones(m)
-        for _ in range(rounds):
-            for k, share in ((0, 1 - q), (1, q)):
-                w = n * share
-                t = np.tensordot(w, one, axes=1) + np.array([0.5, 0.5, 0.5])
-                self.table[k] = t / t.sum(axis=1, keepdims=True)
-            self.prior = float(np.clip((n * q).sum() / max(n.sum(), 1), 1e-4, 0.5))
-            self.weight = self._discount(v, n, q)
-            q = np.where(fixed >= 0, fixed, self._posterior(v))
-        self.accuracy = {name: float(self.table[1, j, 2] * self.prior / max(1e-12, self.table[1, j, 2] * self.prior + self.table[0, j, 2] * (1 - self.prior))) for j, name in enumerate(VOTERS)}
-
-    def _discount(self, v, n, q):
-        """1 / sum of a voter's squared correlations with all voters, within the classes."""
-        total = np.zeros((v.shape[1], v.shape[1]))
-        x = v - 1.0
+        self.prior, self.table, self.weight, self.begun = 0.1, np.full((2, m, 3), 1 / 3), np.ones(m), False
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        if not self.begun:  # what more voters call toxic than is usual
+            return np.clip(0.02 + 0.3 * (v == 2).sum(axis=1), 0, 0.95)
+        j = np.arange(v.shape[1])
+        # who says nothing is no evidence
+        ratio = np.where(v == 1, 0.0, np.log(self.table[1, j, v]) - np.log(self.table[0, j, v]))
+        z = (ratio * self.weight).sum(axis=1) + np.log(self.prior / (1 - self.prior))
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+    def sums(self, v: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Per class: weight, votes (voter, vote), sums of votes as -1, 0, 1 and of their products."""
+        q, one, x = self.posterior(v), np.eye(3)[v], v - 1.0
+        out = []
         for share in (1 - q, q):
             w = n * share
-            s = w.sum()
-            if s <= 0:
+            out += [[w.sum()], np.tensordot(w, one, axes=1).reshape(-1), w @ x, ((x * w[:, None]).T @ x).reshape(-1)]
+        return np.concatenate(out)
+
+    def update(self, total: np.ndarray) -> float:
+        """One round; returns the largest change of a vote's rate."""
+        m, was = len(VOTERS), self.table
+        each = total.reshape(2, -1)
+        n = each[:, 0]
+        t = each[:, 1 : 1 + 3 * m].reshape(2, m, 3) + 0.5
+        self.table = t / t.sum(axis=2, keepdims=True)
+        self.prior = float(np.clip(n[1] / max(n.sum(), 1), 1e-4, 0.5))
+        squared = np.zeros((m, m))
+        for k in (0, 1):
+            if n[k] <= 0:
                 continue
-            z = x - (w @ x) / s
-            c = (z * w[:, None]).T @ z / s
+            mean = each[k, 1 + 3 * m : 1 + 4 * m] / n[k]
+            c = each[k, 1 + 4 * m :].reshape(m, m) / n[k] - np.outer(mean, mean)
             d = np.sqrt(np.maximum(np.diag(c), 1e-12))
             r = c / np.outer(d, d)
             r[d < 1e-5] = 0
-            total += r**2 * s
-        total /= max(n.sum(), 1)
-        np.fill_diagonal(total, 1)
-        self.correlations = total
-        return 1 / total.sum(axis=1)
+            r[:, d < 1e-5] = 0
+            squared += r**2 * n[k]
+        squared /= max(n.sum(), 1)
+        np.fill_diagonal(squared, 1)
+        self.correlations, self.weight, self.begun = squared, 1 / squared.sum(axis=1), True
+        return float(np.abs(self.table - was).max())
+
+    def fit(self, total_of, rounds: int = ROUNDS) -> LabelModel:
+        """``total_of``: from this model to the total of its ``sums`` over all patterns."""
+        for _ in range(rounds):
+            if self.update(total_of(self)) < 1e-4:
+                break
+        said, p = self.table[:, :, 2], self.prior
+        self.accuracy = dict(zip(VOTERS, (said[1] * p / np.maximum(1e-12, said[1] * p + said[0] * (1 - p))).tolist(), strict=True))
+        return self
 
-    def _posterior(self, v: np.ndarray) -> np.ndarray:
-        j = np.arange(v.shape[1])
-        ratio = np.log(self.table[1, j, v]) - np.log(self.table[0, j, v])
-        z = (ratio * self.weight).sum(axis=1) + np.log(self.prior / (1 - self.prior))
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
-    def posterior(self, patterns: list[str]) -> np.ndarray:
-        return self._posterior(np.array([["-0+".index(c) for c in p] for p in patterns], dtype=np.int64).reshape(len(patterns), len(VOTERS)))
+class Linear:
+    """Ridge logistic regression on soft labels, by Newton's method over sums of all rows."""
 
+    def __init__(self, n: float, centre: np.ndarray, scale: np.ndarray, ridge: float = 1e-2):
+        self.n, self.centre, self.scale = n, centre, np.where(scale > 1e-9, scale, 1.0)
+        self.w = np.zeros(len(centre) + 1)
+        self.penalty = np.full(len(self.w), ridge * max(1.0, n) / 100)
+        self.penalty[-1] = 1e-6
 
-class Linear:
-    """Ridge logistic regression on soft labels."""
+    def _z(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([(x - self.centre) / self.scale, np.ones(len(x))])
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60):
-        self.centre = x.mean(axis=0) if len(x) else np.zeros(len(FEATURES))
-        self.scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0) if len(x) else np.ones(len(FEATURES))
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The gradient and the Hessian of these rows."""
         z = self._z(x)
-        self.w = np.zeros(z.shape[1])
-        penalty = np.full(z.shape[1], ridge * max(1, len(x)) / 100)
-        penalty[-1] = 1e-6
-        for _ in range(rounds if len(x) else 0):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            g = z.T @ (p - y) + penalty * self.w
-            h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty + 1e-9)
-            step = np.linalg.solve(h, g)
-            norm = np.abs(step).max()
-            self.w -= step * min(1, 2 / max(norm, 1e-12))
-            if norm < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+        return np.concatenate([z.T @ (p - y), ((z * (p * (1 - p) + 1e-6)[:, None]).T @ z).reshape(-1)])
+
+    def update(self, total: np.ndarray) -> float:
+        """One step; returns its length."""
+        k = len(self.w)
+        step = np.linalg.solve(total[k:].reshape(k, k) + np.diag(self.penalty + 1e-9), total[:k] + self.penalty * self.w)
+        norm = np.abs(step).max()
+        self.w -= step * min(1, 2 / max(norm, 1e-12))
+        return float(norm)
+
+    def fit(self, total_of, steps: int = STEPS) -> Linear:
+        """``total_of``: from this model to the total of its ``sums`` over all rows."""
+        for _ in range(steps if self.n else 0):
+            if self.update(total_of(self)) < 1e-6:
                 break
-
-    def _z(self, x):
-        return np.column_stack([(x - self.centre) / self.scale, np.ones(len(x))])
+        return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._z(x) @ self.w, -700, 700)))
 
 
+def _array(x) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.asarray(x).tolist()], pa.list_(pa.float64()))], names=["s"])
+
+
+def _pattern_sums(model: LabelModel):
+    def run(batches):
+        parts = [model.sums(codes(b.column(0).to_pylist()), b.column(1).to_numpy(zero_copy_only=False).astype(float)) for b in batches if b.num_rows]
+        if parts:
+            yield _array(sum(parts))
+
+    return run
+
+
+def _posteriors(model: LabelModel, votes: pa.Array) -> np.ndarray:
+    """By pattern: few patterns are many rows."""
+    coded = votes.dictionary_encode()
+    return model.posterior(codes(coded.dictionary.to_pylist()))[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _feature_moments(batches):
+    total = np.zeros(1 + 2 * len(FEATURES))
+    for b in batches:
+        x = matrix(b.column(0), len(FEATURES))
+        total += np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)])
+    yield _array(total)
+
+
+def _newton_sums(linear: Linear, model: LabelModel):
+    def run(batches):
+        parts = [linear.sums(matrix(b.column(1), len(FEATURES)), _posteriors(model, b.column(0))) for b in batches if b.num_rows]
+        if parts:
+            yield _array(sum(parts))
+
+    return run
+
+
 def _score(model: Linear):
     def run(batches):
         for batch in batches:
@@ -261,30 +344,32 @@ def _score(model: Linear):
     return run
 
 
+def learn(spark: SparkSession, seen: DataFrame) -> tuple[LabelModel, Linear]:
+    """The label model of all vote patterns, and the classifier of its posterior labels.  ``seen``: votes, x."""
+    patterns = materialize(spark, seen.groupBy("votes").count(), "patterns")
+    one = "s array<double>"
+    empty = patterns.isEmpty()
+    model = LabelModel() if empty else LabelModel().fit(lambda m: summed(patterns.select("votes", "count").mapInArrow(_pattern_sums(m), one)))
+    k = len(FEATURES)
+    total = np.zeros(1 + 2 * k) if empty else summed(seen.select("x").mapInArrow(_feature_moments, one))
+    n = max(total[0], 1.0)
+    centre = total[1 : 1 + k] / n
+    linear = Linear(total[0], centre, np.sqrt(np.maximum(total[1 + k :] / n - centre**2, 0)))
+    return model, linear.fit(lambda m: summed(seen.select("votes", "x").mapInArrow(_newton_sums(m, model), one)))
+
+
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, score) per row; learns from labels of documents outside the held-out fold only."""
+    """(doc_id, held_out, score) per row; terms are mined from labels of documents outside the held-out fold only."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = materialize(spark, labels_of(labels, "toxic").filter(fold_of("__id", parts) != held), "toxic-labels")
     mined = mine(spark, rows, train)
     seen = materialize(spark, rows.mapInArrow(_see(spark.sparkContext.broadcast(mined)), "doc_id long, votes string, x array<double>"), "votes")
-    known = seen.join(train, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "votes", "y")
-    patterns = [(r[0], r[1], r[2]) for r in known.groupBy("votes", "y").count().orderBy("votes", "y").collect()]
-    model = LabelModel(patterns)
-    sample = seen.withColumn("__h", F.xxhash64(F.lit(5), "doc_id")).orderBy("__h", "doc_id").limit(TRAIN_ROWS).join(F.broadcast(train.orderBy(F.xxhash64(F.lit(5), "__id"), "__id").limit(TRAIN_ROWS)), F.col("doc_id") == F.col("__id"), "left").select("votes", "x", "y").collect()
-    x = np.array([r[1] for r in sample], dtype=np.float64).reshape(len(sample), len(FEATURES))
-    y = model.posterior([r[0] for r in sample]) if sample else np.zeros(0)
-    linear = Linear(x, np.array([p if r[2] is None else r[2] for p, r in zip(y, sample, strict=True)], dtype=np.float64))
-    return seen.select("doc_id", "x").mapInArrow(_score_with_id(linear), "doc_id long, score double").select("doc_id", (fold_of("doc_id", parts) == held).alias("held_out"), "score")
-
-
-def _score_with_id(model: Linear):
-    return _score(model)
+    _, linear = learn(spark, seen)
+    return seen.select("doc_id", "x").mapInArrow(_score(linear), "doc_id long, score double").select("doc_id", (fold_of("doc_id", parts) == held).alias("held_out"), "score")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those scored toxic.  Rows with a null doc_id stay."""
-    from ._spark import maybe_broadcast
-
     gone = materialize(spark, score(spark, docs, labels).filter((F.col("score") >= threshold) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__lf_gone")).distinct(), "toxic")
     return docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"] == F.col("__lf_gone"), "left_anti")
 
