@@ -16,7 +16,7 @@ The exact binomial tail is summed downward from k, where terms fall; terms more
 Defined cases: a null or wordless text has no words, all figures zero, and fails the base rule; a null
 language is the stratum ''; three-word windows are compared by 64-bit hashes within a text; a
 document with several labels takes the largest; repeated rows give equal rows (and their label counts
-once); an empty table gives an empty result; other columns are ignored.
+once; of rows of one doc_id with different texts, for the one that is least by its figures); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +95,9 @@ def certified(spark: SparkSession, figures: DataFrame, labels: DataFrame, risk:
     from .quality import labels_of
 
     good = labels_of(labels, "quality").filter("y = 1")
-    held = figures.filter(~F.col("base_failed") & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(good, F.col("doc_id") == F.col("__id"))
+    used = [c for c in figures.columns if c not in ("doc_id", "base_failed")]
+    one = figures.filter(~F.col("base_failed") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*used)).alias("x")).select("doc_id", "x.*")
+    held = one.join(good, F.col("doc_id") == F.col("__id"))
     rules = rule_columns()
     # the place of the most lenient cutoff that a row exceeds; the grid's length if none
     def place(name: str) -> F.Column:
@@ -151,7 +153,7 @@ g as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 s as (select *, case when n_words > 0 then n_symbols / n_words else 0 end as symbols, case when n_lines > 0 then n_dup_lines / n_lines else 0 end as dup_lines,
   case when n_words > 0 then n_repeat_words / n_words else 0 end as repeats, case when n_words > 0 then word_chars / n_words else 0 end as long_words, case when n_words > 0 then -word_chars / n_words else 0 end as short_words from g),
 good as (select doc_id from labels where doc_id is not null and quality is not null group by doc_id having max(quality) > 0),
-held as (select distinct on (doc_id) * from s where not base_failed and doc_id in (select doc_id from good)),
+held as (select * exclude (z) from (select *, row_number() over (partition by doc_id order by lang, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) as z from s where not base_failed and doc_id in (select doc_id from good)) where z = 1),
 long as (unpivot held on symbols, dup_lines, repeats, long_words, short_words into name rule value v),
 grid as ({grid}),
 t as (select lang, rule, pos, cutoff, count(*) as n, count(*) filter (where v > cutoff) as k from long join grid using (rule) group by all),
