@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -141,36 +142,62 @@ def test_feistel_is_a_permutation():
 
 
 def test_token_shards(spark, tmp_path):
-    docs = table(spark, odd_rows()).repartition(3).cache()
-    docs.count()
-    path = f"file://{tmp_path}/shards"
-    index = token_output.write_shards(spark, docs, path, length=64, shard_slots=100)
-    rows = token_output.read_shards(spark, path, index, length=64, step=7).collect()
+    docs = table(spark, odd_rows())
     enc = token_output.Vocabulary().open()
+    tokens = [(i, np.append(enc.encode(t or ""), token_output.END).astype("<u2")) for i, t, _ in odd_rows()]
     want = Counter()
-    for i, t, _ in odd_rows():
-        e = np.append(enc.encode(t or ""), token_output.END).astype("<u2")
+    for i, e in tokens:
         for s in range(-(-len(e) // 64)):
             piece = e[64 * s : 64 * s + 64]
             want[i, s, len(piece), np.pad(piece, (0, 64 - len(piece)), constant_values=token_output.END).tobytes()] += 1
-    assert Counter((r["doc_id"], r["seq"], r["n_tokens"], bytes(r["ids"])) for r in rows) == want
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
-    assert index.count() > 1
+    held = []
+    for parts in (1, 32):
+        path = f"file://{tmp_path}/shards{parts}"
+        index = token_output.write_shards(spark, docs.repartition(parts), path, length=64, shard_slots=100)
+        rows = token_output.read_shards(spark, path, index, length=64, step=7).collect()
+        assert Counter((r["doc_id"], r["seq"], r["n_tokens"], bytes(r["ids"])) for r in rows) == want
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and index.count() > 1
+        held.append([(r["doc_id"], r["seq"], bytes(r["ids"])) for r in sorted(rows, key=lambda r: r["slot"])])
+    # the slots are those of the permutation, however the input is split
+    assert held[0] == held[1]
+    ids = [i for i, _ in tokens if i is not None]
+    per_doc = (max(len((t or "").encode()) for _, t, _ in odd_rows()) + 64) // 64
+    n = (max(ids) - min(ids) + 2) * per_doc
+    value = lambda i, s: int(token_output.permuted(np.array([((max(ids) + 1 if i is None else i) - min(ids)) * per_doc + s]), n)[0])
+    assert [x[:2] for x in held[0]] == sorted((x[:2] for x in held[0]), key=lambda x: value(*x))
     late = token_output.read_shards(spark, path, index, from_slot=len(rows) - 9, length=64, step=7)
     assert sorted(r["slot"] for r in late.collect()) == list(range(len(rows) - 9, len(rows)))
-    in_order = [(r["doc_id"] or 0) for r in sorted(rows, key=lambda r: r["slot"])]
-    assert in_order != sorted(in_order)
+    assert [x[0] or 0 for x in held[0]] != sorted(x[0] or 0 for x in held[0])
     assert token_output.write_shards(spark, docs.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_token_numbers_of_far_ids(spark, tmp_path):
+    rows = [(-(1 << 63), "a b", "s"), ((1 << 63) - 1, "c d", "s"), (0, "e", "s"), (None, "f", "s")]
+    path = f"file://{tmp_path}/far"
+    index = token_output.write_shards(spark, table(spark, rows[1:]), path)
+    assert sorted(r["slot"] for r in token_output.read_shards(spark, path, index).collect()) == [0, 1, 2]
+    numbers = token_output.Numbers(-(1 << 62), 1 << 62, 5, 7)
+    v = numbers.values([numbers.document(i) for i in range(100)], [i % 5 for i in range(100)])
+    assert numbers.hashed and len(set(v.tolist())) == 100 and v.max() < numbers.n and numbers.shard(v).max() < 7
+
+
+def test_index_of_many_shards(spark):
+    counts = [(s, s % 7 + 1) for s in range(0, 900, 2)]
+    got = token_output.indexed(spark, spark.createDataFrame(counts, "shard long, n long"), block=16).orderBy("shard").collect()
+    assert [r["start"] for r in got] == [sum(n for s, n in counts if s < r["shard"]) for r in got]
+
+
 def test_long_text_tokens(monkeypatch):
     from latticeflow.llm import tokens
 
-    t = prose(random.Random(1), 4000)
+    rng = random.Random(1)
     enc = tokens.Vocabulary().open()
-    whole = enc.encode(t).tolist()
-    monkeypatch.setattr(tokens, "STEP", 1000)
-    assert enc.encode(t).tolist() == whole
+    odd = "".join(rng.choice(["word ", "\n", "  ", "\t", "x", "don't ", "123", " 45", "!!", "é", "\u3000", "\u00a0", "中文", "."]) for _ in range(6000))
+    cases = [prose(rng, 4000), "y" * 9000, odd, "a" * 2500 + " " + "b" * 2500, " " * 5000 + "x" + "\n" * 3000, "no" * 400 + odd]
+    whole = [enc.encode(t).tolist() for t in cases]
+    for step in (1000, 37):
+        monkeypatch.setattr(tokens, "STEP", step)
+        assert [enc.encode(t).tolist() for t in cases] == whole
 
 
 # ---------------------------------------------------------------- 4
@@ -222,10 +249,22 @@ def test_packing(spark):
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
         for a, b in combinations(held, 2):
             assert key[a["doc_id"]][1] is None or key[a["doc_id"]][1] != key[b["doc_id"]][1]
-            assert key[a["doc_id"]][0] != key[b["doc_id"]][0]
+            assert not key[a["doc_id"]][0] or key[a["doc_id"]][0] != key[b["doc_id"]][0]
     assert packing.pack_documents(spark, table(spark, [])).count() == 0
 
 
+def test_packing_of_repeats_and_empties(spark):
+    """Copies of one row are spread over groups; texts without words share bins."""
+    rows = [(1, "one row many times", None)] * 9000 + [(10 + k, None if k % 2 else " ", None) for k in range(6000)]
+    out = packing.pack_documents(spark, table(spark, rows), capacity=256).cache()
+    assert out.count() == 15_000 and out.select("group").distinct().count() == 4
+    sizes = [r[0] for r in out.groupBy("group").count().select("count").collect()]
+    assert max(sizes) < 4600
+    of_one = out.filter("doc_id = 1").groupBy("group", "bin").count().filter("count > 1")
+    assert of_one.isEmpty()
+    assert out.filter("doc_id >= 10").groupBy("group", "bin").count().agg(F.max("count")).first()[0] > 50
+
+
 # ---------------------------------------------------------------- 5 and 7
 
 
@@ -283,13 +322,92 @@ def test_label_model_finds_accurate_voters():
     right = np.linspace(0.95, 0.55, m)
     votes = np.where(rng.random((4000, m)) < right, y[:, None], ~y[:, None])
     count = Counter("".join("+" if v else "-" for v in row) for row in votes)
-    model = toxicity.LabelModel([(p, None, n) for p, n in count.items()])
-    got = model.posterior(["".join("+" if v else "-" for v in row) for row in votes]) > 0.5
+    v, n = toxicity.codes(list(count)), np.array(list(count.values()), dtype=float)
+    model = toxicity.LabelModel().fit(lambda m: m.sums(v, n))
+    got = model.posterior(toxicity.codes(["".join("+" if x else "-" for x in row) for row in votes])) > 0.5
     assert (got == y).mean() > 0.97
     assert model.accuracy[toxicity.VOTERS[0]] > model.accuracy[toxicity.VOTERS[-1]]
     assert (model.weight <= 1).all() and (model.weight > 0).all()
 
 
+def brute_label_model(patterns, rounds):
+    """The label model by loops over patterns (votes -1, 0, 1 with their counts)."""
+    m = len(toxicity.VOTERS)
+    q = [min(0.95, max(0, 0.02 + 0.3 * sum(x == 1 for x in p))) for p, _ in patterns]
+    for _ in range(rounds):
+        table, total, share = [], sum(n for _, n in patterns), []
+        squared = [[0.0] * m for _ in range(m)]
+        for k in (0, 1):
+            w = [n * (z if k else 1 - z) for (_, n), z in zip(patterns, q, strict=True)]
+            share.append(sum(w))
+            rates = [[0.5 + sum(a for a, (p, _) in zip(w, patterns, strict=True) if p[j] == x) for x in (-1, 0, 1)] for j in range(m)]
+            table.append([[r / sum(x) for r in x] for x in rates])
+            mean = [sum(a * p[j] for a, (p, _) in zip(w, patterns, strict=True)) / share[k] for j in range(m)]
+            cov = [[sum(a * (p[i] - mean[i]) * (p[j] - mean[j]) for a, (p, _) in zip(w, patterns, strict=True)) / share[k] for j in range(m)] for i in range(m)]
+            for i in range(m):
+                for j in range(m):
+                    if cov[i][i] > 1e-10 and cov[j][j] > 1e-10:
+                        squared[i][j] += cov[i][j] ** 2 / cov[i][i] / cov[j][j] * share[k]
+        weight = [1 / (1 + sum(squared[i][j] / total for j in range(m) if j != i)) for i in range(m)]
+        prior = min(0.5, max(1e-4, share[1] / total))
+        z = [math.log(prior / (1 - prior)) + sum(weight[j] * math.log(table[1][j][p[j] + 1] / table[0][j][p[j] + 1]) for j in range(m) if p[j]) for p, _ in patterns]
+        q = [1 / (1 + math.exp(-max(-50, min(50, x)))) for x in z]
+    return q
+
+
+def test_label_model_is_that_of_loops():
+    rng = random.Random(3)
+    patterns = list({tuple(rng.choice([-1, -1, 0, 1]) for _ in toxicity.VOTERS): rng.randint(1, 50) for _ in range(60)}.items())
+    v, n = np.array([p for p, _ in patterns]) + 1, np.array([c for _, c in patterns], dtype=float)
+    model = toxicity.LabelModel()
+    for rounds in (1, 2, 3):
+        model.update(model.sums(v, n))
+        assert np.allclose(model.posterior(v), brute_label_model(patterns, rounds), atol=1e-9)
+
+
+def test_toxicity_learns_as_a_plain_fit_would(spark):
+    """Posterior labels of all rows, and ridge logistic regression on them, against the same in one array; no label is used after the mining."""
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    voters = toxicity.Voters([("=trash", 6.0), ("4idio", 5.0)])
+    seen = [voters.see(t) for t in docs["text"]]
+    df = spark.createDataFrame([("".join("-0+"[a + 1] for a in v), x) for v, x in seen], "votes string, x array<double>").repartition(5)
+    model, linear = toxicity.learn(spark, df)
+    v, x = np.array([v for v, _ in seen]) + 1, np.array([x for _, x in seen])
+    alone = toxicity.LabelModel().fit(lambda m: m.sums(v, np.ones(len(v))))
+    y = alone.posterior(v)
+    assert np.allclose(model.posterior(v), y, atol=1e-6)
+    z = np.column_stack([(x - x.mean(axis=0)) / np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), np.ones(len(x))])
+    p = linear.score(x)
+    gradient = z.T @ (p - y) + linear.penalty * linear.w
+    assert np.abs(gradient).max() < 1e-2 * len(x)
+
+
+def test_quality_scores_are_those_of_a_plain_fit(spark):
+    """Every document's score against the discriminant written with covariances and determinants."""
+    import zlib
+
+    docs, labels = pd.read_parquet(f"{SF}/documents.parquet"), pd.read_parquet(f"{SF}/labels.parquet")
+    x = {i: np.array(quality.statistics(t), dtype=np.float32).astype(float) for i, t in zip(docs["doc_id"], docs["text"], strict=True)}
+    y = labels.groupby("doc_id")["quality"].max()
+    train = [i for i in y.index if i in x and zlib.crc32(str(i).encode()) % 3 != 1]
+    xs = [np.array([x[i] for i in train if y[i] == k]) for k in (0, 1)]
+    both = np.concatenate(xs)
+    centre, scale = both.mean(axis=0), both.std(axis=0)
+    d = both.shape[1]
+    zs = [(a - centre) / scale for a in xs]
+    covs = [np.cov(z.T, bias=True) for z in zs]
+    pooled = np.diag(sum(len(z) * np.diag(c) for z, c in zip(zs, covs, strict=True)) / len(both))
+    log = []
+    for z, c in zip(zs, covs, strict=True):
+        a = max(quality.SHRINK, d / (d + len(z)))
+        s = (1 - a) * c + a * pooled + quality.RIDGE * np.eye(d)
+        off = (np.array([x[i] for i in docs["doc_id"]]) - centre) / scale - z.mean(axis=0)
+        log.append(-0.5 * np.einsum("ij,ij->i", off @ np.linalg.inv(s), off) - 0.5 * np.linalg.slogdet(s)[1] + np.log(len(z)))
+    want = 1 / (1 + np.exp(-np.clip(log[1] - log[0], -700, 700)))
+    got = QUERIES["op5_quality_classifier"](spark, SF).toPandas().set_index("doc_id")["score"]
+    assert np.allclose(got.loc[docs["doc_id"]].to_numpy(), want, atol=1e-6)
+
+
 # ---------------------------------------------------------------- 6
 
 
