@@ -76,7 +76,7 @@ def _names(line: str) -> list[F.Column]:
 
 
 def sketched(spark: SparkSession, distinct: DataFrame, tau: int = TAU) -> DataFrame:
-    """``distinct`` (id, line) with s1 and s2 for lines of which ``HOT`` or more file one segment, else null.
+    """``distinct`` (id, line, filed: hashes of its segments) with s1 and s2 for lines of which ``HOT`` or more file one segment, else null.
 
     Copies of a text with a few words changed file the same segments, and all their pairs would meet though
     few are near.  s1 has a bit for each character (by its code modulo 64) that occurs an odd number of
@@ -84,12 +84,11 @@ def sketched(spark: SparkSession, distinct: DataFrame, tau: int = TAU) -> DataFr
     lines ``tau`` edits apart, s1 differ in 2 ``tau`` bits at most and s2 in 4 ``tau``: pairs beyond are
     left out where they meet, and no near pair is.
     """
-    d = distinct.select("id", "line", F.length("line").alias("n"))
-    filed = d.select("id", F.explode(F.expr(f"array({_filed(tau)})")).alias("key"))
+    filed = distinct.select("id", F.explode("filed").alias("key"))
     hot = materialize(spark, filed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") >= HOT).select("key"), "hot-keys")
     n_hot = hot.count()
     if not n_hot:
-        return distinct.select("id", "line", F.lit(None).cast("long").alias("s1"), F.lit(None).cast("long").alias("s2"))
+        return distinct.withColumns({"s1": F.lit(None).cast("long"), "s2": F.lit(None).cast("long")})
     ids = materialize(spark, filed.join(maybe_broadcast(hot, n_hot), "key", "left_semi").select("id").distinct(), "hot-ids")
     n_ids = ids.count()
     odd = "aggregate(z.c, 0L, (a, c) -> a ^ shiftleft(1L, ascii(c) & 63))"
@@ -97,7 +96,7 @@ def sketched(spark: SparkSession, distinct: DataFrame, tau: int = TAU) -> DataFr
     both = F.expr(f"transform(array(named_struct('c', split(line, ''))), z -> named_struct('s1', {odd}, 's2', {pairs}))[0]")
     held = distinct.join(maybe_broadcast(ids, n_ids), "id", "left_semi").select("id", both.alias("s"))
     held = materialize(spark, held.select("id", "s.s1", "s.s2"), "sketches")
-    return distinct.select("id", "line").join(maybe_broadcast(held, n_ids), "id", "left")
+    return distinct.join(maybe_broadcast(held, n_ids), "id", "left")
 
 
 def _filed(tau: int) -> str:
@@ -105,21 +104,21 @@ def _filed(tau: int) -> str:
 
 
 def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """Pairs (a, b) of ids of ``lines`` (id, line, s1, s2) that share a segment and whose sketches, if any, are near; each pair once or twice."""
-    d = lines.select("id", "line", F.length("line").alias("n"), "s1", "s2")
+    """Pairs (a, b) of ids of ``lines`` (id, line, filed, s1, s2) that share a segment and whose sketches, if any, are near; each pair once or twice."""
+    d = lines.withColumn("n", F.length("line"))
     looked = []
     for diff, i, o in probes(tau):
         start, size = segment_sql(f"(n - {diff})", i, tau)
         looked.append(f"xxhash64(n - {diff}, {i}, substring(line, {start} + {o}, {size}))")
 
-    def keyed(keys: str, x: str) -> DataFrame:
-        return d.select(F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.explode(F.expr(f"array({keys})")).alias(f"k{x}"))
+    def keyed(keys: F.Column, x: str) -> DataFrame:
+        return d.select(F.col("id").alias(x), F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.explode(keys).alias(f"k{x}"))
 
     near = F.expr(f"a1 is null or b1 is null or (bit_count(a1 ^ b1) <= {2 * tau} and bit_count(a2 ^ b2) <= {4 * tau})")
-    left = keyed(_filed(tau), "a")
+    left = keyed(F.col("filed"), "a")
     # lines of one length with a segment at one place: what is filed meets itself, by the same exchange
-    same = left.join(keyed(_filed(tau), "b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & near)
-    moved = left.join(keyed(", ".join(looked), "b"), (F.col("ka") == F.col("kb")) & (F.col("a") != F.col("b")) & near)
+    same = left.join(keyed(F.col("filed"), "b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & near)
+    moved = left.join(keyed(F.expr(f"array({', '.join(looked)})"), "b"), (F.col("ka") == F.col("kb")) & (F.col("a") != F.col("b")) & near)
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     return same.select(*pair).unionByName(moved.select(*pair))
 
@@ -176,9 +175,11 @@ def marks(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> tuple[DataFra
     """
     lines = lines_of(docs).select("doc", "at", "line", *_names("line"))
     grouped = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    ids = grouped.select("h1", "h2", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), "n", "line", F.monotonically_increasing_id().alias("id"))
-    distinct = materialize(spark, ids, "lines")
-    met = materialize(spark, candidates(sketched(spark, distinct.select("id", "line").filter(F.length("line") >= MIN_CHARS), tau), tau).distinct(), "candidates")
+    ids = grouped.select("h1", "h2", F.col("first.doc").alias("doc"), F.col("first.at").alias("at"), F.col("n").alias("times"), "line", F.monotonically_increasing_id().alias("id"), F.length("line").alias("n"))
+    # segments are cut and hashed once, while the line is at hand; null for lines that are too short to be near others
+    filed = F.when(F.col("n") >= MIN_CHARS, F.expr(f"array({_filed(tau)})")).alias("filed")
+    distinct = materialize(spark, ids.select("h1", "h2", "doc", "at", "times", "line", "id", filed), "lines")
+    met = materialize(spark, candidates(sketched(spark, distinct.select("id", "line", "filed").filter("filed is not null"), tau), tau).distinct(), "candidates")
     n_met = met.count()
     wanted = materialize(spark, met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     n_wanted = wanted.count()
@@ -192,7 +193,7 @@ def marks(spark: SparkSession, docs: DataFrame, tau: int = TAU) -> tuple[DataFra
     near = placed.select(F.explode(F.array(F.struct(F.col("a").alias("id"), (F.col("wb") < F.col("wa")).alias("e")), F.struct(F.col("b").alias("id"), (F.col("wa") < F.col("wb")).alias("e")))).alias("x"))
     near = near.groupBy(F.col("x.id").alias("id")).agg(F.max("x.e").alias("near"), F.count("*").alias("links"))
     near = materialize(spark, near, "near")
-    out = distinct.select("h1", "h2", "doc", "at", "n", "id").join(maybe_broadcast(near, near.count()), "id", "left").filter("n > 1 or near is not null")
+    out = distinct.select("h1", "h2", "doc", "at", "times", "id").join(maybe_broadcast(near, near.count()), "id", "left").filter("times > 1 or near is not null")
     out = materialize(spark, out.select("h1", "h2", "doc", "at", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "marks")
     for x in (distinct, text, met, wanted):
         drop_table(spark, x)
