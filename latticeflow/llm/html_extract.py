@@ -6,21 +6,25 @@ slots (#), optional groups (...)? and repeated groups (...)+.  A page's token st
 skeletons; per host these are aligned one after the other, mismatches becoming optional groups, and
 differing texts becoming slots.  The result is the host's wrapper.
 
-The wrapper tells text slots from the template's own words (equal on ``SHARE`` % of the pages that hold text).  Text is taken from the
-article's region: what a page marks as article or main, else the wrapper's container that holds three
-quarters of the text of the host's pages that is not template, always without the regions that are no
-article (menus, headers, footers, sidebars, notices, adverts, forms, comments).  A fixed text is template
-and goes, in a marked article too, unless nothing else is in it.
+The wrapper decides every page of its host.  Texts that ``SHARE`` % of the pages with text have in one
+place are the template's own words.  The article's region is one or more of the wrapper's containers:
+those that are marked as an article (or, at a lower rank, as main, or by their names) if at least half of
+the pages with text hold text in such; else the innermost container with three quarters of the text of
+all pages that is not template.  A page's article is what stands in the wrapper's slots within the region,
+but for the template's words (unless nothing else is there) and for parts that are no article wherever
+they are: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments.
+Only a page without text in these slots is looked at by itself, in the same order of evidence.
 
 All pages take part in the inference: a page contributes a skeleton and hashed fixed texts, combined
 before the shuffle.  Of skeletons a host may have without end: ``GROUP`` or so are aligned into a partial
-wrapper, and these again, until the host has one.  What is nested ``DEEP`` levels or more is held flat, by
-its paths; streams too long for a table are aligned at their ends, and between by keys.
+wrapper, and these again, until the host has one.  What is nested ``DEEP`` blocks or more is one container;
+streams too long for a table are aligned at their ends, and between by keys.  What the wrappers say of
+hosts goes to the pages by broadcast within ``HOST_BYTES``, beyond that by a join with salted hosts.
 
 Defined cases: null or empty html gives the empty text; a null or odd url is host ''; unclosed and
 stray tags are repaired (p and li close themselves, an end tag closes what is open inside it, ends
-without a start are ignored); repeated rows give equal rows; an empty table gives an empty result;
-other columns are ignored.
+without a start are ignored); pages may be nested to any depth; repeated rows give equal rows; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +41,10 @@ from pyspark.sql import functions as F
 
 from ._spark import materialize, table
 
-#: Skeletons that are aligned into one partial wrapper; levels of nesting from which a skeleton is flat.
+#: Skeletons that are aligned into one partial wrapper; blocks in blocks from which all is one container.
 GROUP, DEEP = 64, 200
+#: Bytes that are broadcast of what is known of hosts; salts of a host beyond that.
+HOST_BYTES, SALTS = 32 << 20, 64
 #: Pages of a host from which equal texts count as its template, and the hundredths of its pages with text that have one.
 MIN_PAGES, SHARE = 4, 90
 
@@ -50,12 +56,14 @@ BLOCK = frozenset(
 )
 OUTSIDE = frozenset("nav header footer aside form head button menu dialog fieldset search label option".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
-#: Words of class and id names of regions that are no article.
+#: Last words of class and id names of regions that are no article.
 OUTSIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner nav navbar navigation navi menu menubar breadcrumb breadcrumbs crumbs "
-    "sidebar aside rail footer foot header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social "
-    "comment comments commentlist disqus respond replies reply related recommended recommendations widget widgets pagination pager toolbar skip hidden legal copyright disclaimer paywall alert tags taglist byline meta toc".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner nav navbar navigation navi menu menubar breadcrumb breadcrumbs crumbs pagination pager toolbar "
+    "sidebar aside rail related recommended recommendations widget widgets footer foot header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay alert paywall "
+    "newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond replies reply".split()
 )
+#: Words that say nothing after another.
+NEUTRAL_WORDS = frozenset("area bar block box container form group holder inner items label links list outer panel row section slot unit wrap wrapper".split())
 INSIDE_WORDS = frozenset("article post entry content main story body text maincontent articlebody postbody postcontent entrycontent".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -64,10 +72,13 @@ _WORDS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children", "parent")
+    __slots__ = ("name", "attrs", "children", "parent", "holds")
 
     def __init__(self, name: str, attrs: str, parent: Node | None):
-        self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
+        self.name, self.attrs, self.parent, self.children, self.holds = name, attrs, parent, [], False
+        if name in ("article", "main"):  # what is around an article knows
+            while parent is not None and not parent.holds:
+                parent.holds, parent = True, parent.parent
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -132,8 +143,8 @@ def parse(page: str) -> Node:
 def outside(node: Node) -> bool:
     """Whether the element is a region that is no article."""
     if node.name in OUTSIDE:
-        # an article's own header holds its title
-        return not (node.name == "header" and _within_article(node))
+        # an article's own header holds its title, and some pages are one form
+        return not ((node.name == "header" and _within_article(node)) or (node.name == "form" and node.holds))
     if node.name in RAW:
         return True
     if not node.attrs:
@@ -144,14 +155,25 @@ def outside(node: Node) -> bool:
     if a.get("role", "").lower() in OUTSIDE_ROLES:
         return True
     if node.name in ("article", "main", "body", "html"):
-        return bool(node.name == "article" and {"comment", "comments", "reply"} & _names(a))
-    return bool(_names(a) & OUTSIDE_WORDS) and not _marked_body(a)
+        return bool(node.name == "article" and {"comment", "comments", "reply"} & _heads(a))
+    return bool(_heads(a) & OUTSIDE_WORDS) and not _marked_body(a)
 
 
 def _names(a: dict[str, str]) -> set[str]:
     return {w.lower() for k in ("class", "id") for w in _WORDS.findall(a.get(k, ""))}
 
 
+def _heads(a: dict[str, str]) -> set[str]:
+    """The word that each class and id is about: its last, but for those that say nothing."""
+    out = set()
+    for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        while len(words) > 1 and words[-1] in NEUTRAL_WORDS:
+            words.pop()
+        out.update(words[-1:])
+    return out
+
+
 def _marked_body(a: dict[str, str]) -> bool:
     return a.get("itemprop", "").lower() == "articlebody"
 
@@ -166,7 +188,9 @@ def _within_article(node: Node) -> bool:
 
 
 def marked(node: Node) -> int:
-    """How strongly an element is marked as the article: 3 article, 2 main, 1 by its names."""
+    """How strongly a block is marked as the article: 3 article, 2 main, 1 by its names."""
+    if node.name not in BLOCK:
+        return 0
     if node.name == "article":
         return 3
     a = attributes(node.attrs) if node.attrs else {}
@@ -179,64 +203,14 @@ def marked(node: Node) -> int:
     return 0
 
 
-def regions(root: Node) -> list[Node]:
-    """The elements marked most strongly as article that hold text, outermost, in page order."""
-    best: dict[int, list[Node]] = {3: [], 2: [], 1: []}
-
-    def walk(node: Node, above: frozenset) -> None:
-        for c in node.children:
-            if isinstance(c, str) or outside(c):
-                continue
-            k = marked(c)
-            if k and k not in above:
-                best[k].append(c)
-            walk(c, above | {k} if k else above)
-
-    _deep(walk, root)
-    for k in (3, 2, 1):
-        held = [x for x in best[k] if any(t.strip() for t in texts(x))]
-        if held:
-            return held
-    return []
-
-
-def _deep(walk, root) -> None:
-    import sys
-
-    was = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(was, 20_000))
-    try:
-        walk(root, frozenset())
-    finally:
-        sys.setrecursionlimit(was)
-
-
-def texts(node: Node):
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            yield x
-        elif x is node or not outside(x):
-            stack.extend(reversed(x.children))
-
-
-def article(root: Node) -> list[tuple[str, str]]:
-    """(path, text) of each block of the page's marked regions; paths are the page's, as of ``blocks(root)``."""
-    out: list[tuple[str, str]] = []
-    for r in regions(root):
-        around, up = [], r.parent
-        while up is not None and up.parent is not None:
-            if up.name in BLOCK:
-                around.append(f"/{signature(up)}")
-            up = up.parent
-        out += blocks(r, "".join(reversed(around)))
-    return out
-
+def blocks(root: Node) -> tuple[list[tuple[str, str]], dict[int, set[str]]]:
+    """(path, text) of each block, in page order, white space folded; and by rank the paths of the outermost marked blocks.
 
-def blocks(node: Node, at: str = "") -> list[tuple[str, str]]:
-    """(path, text) of each block below ``node``, whose own place is ``at``, in page order, white space folded."""
+    Regions that are no article are passed over.  An explicit stack: pages may be nested deeply; ``DEEP`` blocks
+    down, paths go no further.
+    """
     out: list[tuple[str, str]] = []
+    marks: dict[int, set[str]] = {3: set(), 2: set(), 1: set()}
     held: list[str] = []
     where = ""
 
@@ -247,31 +221,52 @@ def blocks(node: Node, at: str = "") -> list[tuple[str, str]]:
             if text:
                 out.append((path, text))
 
-    # an explicit stack: pages may be nested deeply
-    stack: list[tuple[object, str, bool]] = [(node, at, False)]
+    # (element or text, path, depth in blocks, ranks around; at an element's end: the path to go back to)
+    stack: list[tuple] = [(root, "", 0, 0, None)]
     while stack:
-        x, path, end = stack.pop()
-        if end:
+        x, path, depth, ranks, back = stack.pop()
+        if back is not None:
             flush(path)
-            where = path.rpartition("/")[0]
+            where = back
         elif isinstance(x, str):
             held.append(x)
-        elif x is not node and outside(x):
+        elif x is not root and outside(x):
             if x.name in BLOCK or x.name in OUTSIDE:
                 flush(where)
-        elif x.name in ("br", "hr") or x.name in VOID:
+        elif x.name in VOID:
             held.append(" ")
             if x.name == "hr":
                 flush(where)
         else:
-            block = x.name in BLOCK or x is node
-            here = f"{path}/{signature(x)}" if block and x.name != "#root" else path
-            if block:
+            if x.name in BLOCK:
                 flush(where)
-                where = here
-                stack.append((x, here, True))
-            stack.extend((c, here, False) for c in reversed(x.children))
+                before, path, depth = where, _below(path, depth, x), depth + 1
+                where = path
+                rank = marked(x)
+                if rank and not ranks >> rank & 1:
+                    marks[rank].add(path)
+                    ranks |= 1 << rank
+                stack.append((x, path, depth, ranks, before))
+            stack.extend((c, path, depth, ranks, None) for c in reversed(x.children))
     flush(where)
+    return out, marks
+
+
+def _below(path: str, depth: int, node: Node) -> str:
+    """The path of a block in a block that is ``depth`` blocks down."""
+    return f"{path}/{signature(node)}" if depth < DEEP else path if depth > DEEP else f"{path}/~"
+
+
+def within(path: str, region: str) -> bool:
+    return path == region or path.startswith(f"{region}/")
+
+
+def outermost(paths_: set[str]) -> list[str]:
+    """Paths that are in no other of them, in order."""
+    out: list[str] = []
+    for p in sorted(paths_, key=lambda p: (p.count("/"), p)):
+        if not any(within(p, r) for r in out):
+            out.append(p)
     return out
 
 
@@ -284,39 +279,26 @@ def signature(node: Node) -> str:
 
 
 def skeleton(root: Node) -> list:
-    """The folded token stream: strings (tags and '#'), or tuples ('+', items...) for repeated groups."""
-
-    def build(node: Node, depth: int) -> list:
-        items: list = []
-        for c in node.children:
-            if isinstance(c, str):
-                if c.strip() and (not items or items[-1] != "#"):
-                    items.append("#")
-            elif c.name in BLOCK:
-                items.append(("e", signature(c), *(build(c, depth + 1) if depth < DEEP else flat(c))))
-            elif c.name not in VOID and c.name not in RAW:
-                for i in build(c, depth + 1) if depth < DEEP else flat(c):
-                    if i != "#" or not items or items[-1] != "#":
-                        items.append(i)
-        return fold(items)
-
-    return build(root, 0)
-
-
-def flat(node: Node) -> list:
-    """The slots below ``node``, each under one item that has its path for a name: no nesting."""
-    out: list = []
-    stack: list[tuple[object, str]] = [(c, "") for c in reversed(node.children)]
+    """The folded token stream: strings ('#': a text), elements ('e', signature, items...) and ('+', item) for repeated groups."""
+    opened: list[tuple[str, list]] = [("", [])]  # blocks that are open: signature, items
+    stack: list[tuple[object, int, bool]] = [(root, 0, False)]
     while stack:
-        x, path = stack.pop()
-        if isinstance(x, str):
-            item = ("e", path[1:], "#") if path else "#"
-            if x.strip() and (not out or out[-1] != item):
-                out.append(item)
+        x, depth, end = stack.pop()
+        items = opened[-1][1]
+        if end:
+            name, items = opened.pop()
+            opened[-1][1].append(("e", name, *fold(items)))
+        elif isinstance(x, str):
+            if x.strip() and (not items or items[-1] != "#"):
+                items.append("#")
         elif x.name not in VOID and x.name not in RAW:
-            here = f"{path}/{signature(x)}" if x.name in BLOCK else path
-            stack.extend((c, here) for c in reversed(x.children))
-    return fold(out)
+            if x.name in BLOCK:
+                if depth <= DEEP:
+                    opened.append((signature(x) if depth < DEEP else "~", []))
+                    stack.append((x, depth, True))
+                depth += 1
+            stack.extend((c, depth, False) for c in reversed(x.children))
+    return fold(opened[0][1])
 
 
 def fold(items: list) -> list:
@@ -406,16 +388,18 @@ def _optional(x):
     return x if isinstance(x, tuple) and x[0] == "?" else ("?", x)
 
 
-def paths(wrapper: list, at: str = "") -> set[str]:
+def paths(wrapper: list) -> set[str]:
     """The paths of the wrapper's text slots."""
     out: set[str] = set()
-    for x in wrapper:
+    stack = [(x, "") for x in wrapper]
+    while stack:
+        x, at = stack.pop()
         while isinstance(x, tuple) and x[0] in ("+", "?"):
             x = x[1]
         if x == "#":
             out.add(at)
         elif isinstance(x, tuple):
-            out |= paths(list(x[2:]), f"{at}/{x[1]}")
+            stack += [(y, f"{at}/{x[1]}") for y in x[2:]]
     return out
 
 
@@ -456,11 +440,19 @@ def containers(path: str) -> list[str]:
     return ["/".join(parts[:i]) for i in range(1, len(parts) + 1)]
 
 
+def _containers_sql(path: str) -> str:
+    """The same as SQL."""
+    leaf = ", ".join(f"'{x}'" for x in sorted(_LEAF))
+    parts = f"transform(array(split({path}, '/')), p -> if(split(p[size(p) - 1], '[.]')[0] in ({leaf}), slice(p, 1, size(p) - 1), p))[0]"
+    return f"transform(array({parts}), p -> transform(sequence(1, size(p)), i -> array_join(slice(p, 1, i), '/')))[0]"
+
+
 def _evidence(batches):
     """(host, kind, value, n), summed per batch.
 
-    s: pages of a skeleton; n: pages with text; and of those, t: pages that have a text, as
-    digest, length and path; w: characters of text in a container.
+    s: pages of a skeleton; n: pages with text; and of those, t: pages that have a text, as digest, length
+    and path; w: characters of text in a container; k: pages with text in blocks marked at a rank; m: pages
+    with text in an outermost such block, as rank and path.
     """
     import json
 
@@ -470,15 +462,23 @@ def _evidence(batches):
             host = host_of(url.as_py())
             root = parse(page.as_py() or "")
             count[host, "s", json.dumps(to_json(skeleton(root)), ensure_ascii=False, separators=(",", ":"))] += 1
-            held = blocks(root)
+            held, marks = blocks(root)
             if held:
                 count[host, "n", ""] += 1
+                where: Counter = Counter()
                 for p, t in held:
+                    where[p] += len(t)
+                for p, n in where.items():
                     for c in containers(p):
-                        count[host, "w", c] += len(t)
-                for p, t in {*held, *article(root)}:
+                        count[host, "w", c] += n
+                for p, t in set(held):
                     count[host, "t", f"{_digest(p, t)} {len(t)} {p}"] += 1
-        keys = list(count)
+                for rank, of in marks.items():
+                    with_text = [r for r in outermost(of) if any(within(p, r) for p in where)]
+                    count[host, "k", str(rank)] += bool(with_text)
+                    for r in with_text:
+                        count[host, "m", f"{rank} {r}"] += 1
+        keys = [k for k in count if count[k]]
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([count[k] for k in keys], pa.int64())], names=["host", "kind", "value", "n"])
 
 
@@ -492,11 +492,25 @@ def _infer_group(key, pdf):
     return pd.DataFrame({"host": [key[0]], "n": [int(pdf["n"].sum())], "value": [json.dumps(to_json(wrapper), ensure_ascii=False, separators=(",", ":"))]})
 
 
-def wrappers(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(host, wrapper): the inferred wrappers; (host, value): digests of fixed texts; (host, path): the containers
-    that hold the most text that is not fixed, deepest last."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    seen = rows.mapInArrow(_evidence, "host string, kind string, value string, n long").groupBy("host", "kind", "value").agg(F.sum("n").alias("n"))
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+
+
+def _slots(batches):
+    """From wrappers and regions to the slots within: (host, keep, fixed)."""
+    import json
+
+    for batch in batches:
+        keep = []
+        for wrapper, region in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            outer = outermost(set(region or []))
+            keep.append(sorted(p for p in paths(from_json(json.loads(wrapper))) if any(within(p, r) for r in outer)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keep, pa.list_(pa.string())), batch.column(3)], names=["host", "keep", "fixed"])
+
+
+def wrappers(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, wrapper): the inferred wrappers; (host, keep, fixed): paths of its slots in the article's region, and digests of the template's texts."""
+    seen = _pages(pages).mapInArrow(_evidence, "host string, kind string, value string, n long").groupBy("host", "kind", "value").agg(F.sum("n").alias("n"))
     seen = materialize(spark, seen, "evidence")
     made = seen.filter("kind = 's'").select("host", "value", "n")
     while True:
@@ -504,117 +518,113 @@ def wrappers(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFram
         size = made.groupBy("host").agg(F.count("*").alias("of"))
         most = size.agg(F.max("of")).first()[0] or 0
         groups = made.join(size, "host").withColumn("part", F.pmod(F.xxhash64("value"), F.ceil(F.col("of") / GROUP)))
-        made = groups.groupBy("host", "part").applyInPandas(_infer_group, "host string, n long, value string")
+        made = materialize(spark, groups.groupBy("host", "part").applyInPandas(_infer_group, "host string, n long, value string"), "partial")
         if most <= GROUP:
             break
-        made = materialize(spark, made, "partial").groupBy("host", "value").agg(F.sum("n").alias("n"))
+        made = made.groupBy("host", "value").agg(F.sum("n").alias("n"))
     made = made.select("host", F.col("value").alias("wrapper"))
     size = seen.filter("kind = 'n'").select("host", F.col("n").alias("pages"))
     fixed = seen.filter("kind = 't'").join(size, "host").filter((F.col("pages") >= MIN_PAGES) & (100 * F.col("n") >= SHARE * F.col("pages")))
     fixed = fixed.select("host", "n", *[F.split("value", " ", 3)[i].alias(c) for i, c in enumerate(("digest", "length", "path"))])
-    around = F.udf(containers, "array<string>")
-    less = fixed.select("host", F.explode(around("path")).alias("path"), (-F.col("n") * F.col("length").cast("long")).alias("w"))
+    # marks: the highest rank that half of the pages hold text in
+    rank = seen.filter("kind = 'k'").join(size, "host").filter(2 * F.col("n") >= F.col("pages")).groupBy("host").agg(F.max(F.col("value").cast("int")).alias("rank"))
+    at_rank = seen.filter("kind = 'm'").select("host", F.split("value", " ", 2)[0].cast("int").alias("rank"), F.split("value", " ", 2)[1].alias("path"))
+    by_mark = at_rank.join(rank, ["host", "rank"]).groupBy("host").agg(F.collect_set("path").alias("marked"))
+    # weight: the innermost container of three quarters of what is not template
+    less = fixed.select("host", F.explode(F.expr(_containers_sql("path"))).alias("path"), (-F.col("n") * F.col("length").cast("long")).alias("w"))
     weight = seen.filter("kind = 'w'").select("host", F.col("value").alias("path"), F.col("n").alias("w")).unionByName(less).groupBy("host", "path").agg(F.sum("w").alias("w"))
     total = weight.filter("path = ''").select("host", F.col("w").alias("total"))
     held = weight.join(total, "host").filter((F.col("total") > 0) & (4 * F.col("w") >= 3 * F.col("total")))
-    region = held.groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), "path")).alias("path"))
-    return made, fixed.select("host", F.col("digest").alias("value")), region
+    by_weight = held.groupBy("host").agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), "path")).alias("heavy"))
+    known = made.join(by_mark, "host", "left").join(by_weight, "host", "left").join(fixed.groupBy("host").agg(F.collect_list(F.col("digest").cast("long")).alias("fixed")), "host", "left")
+    region = F.coalesce("marked", F.when(F.col("heavy").isNotNull(), F.array("heavy")))
+    known = known.select("host", "wrapper", region.alias("region"), F.coalesce("fixed", F.array().cast("array<long>")).alias("fixed"))
+    return made, materialize(spark, known.mapInArrow(_slots, "host string, keep array<string>, fixed array<long>"), "hosts")
 
 
-def main_text(page: str | None, fixed: frozenset = frozenset(), slots: frozenset | None = None, region: str = "") -> str:
-    """The page's main text.
+def main_text(page: str | None, keep: frozenset = frozenset(), fixed: frozenset = frozenset()) -> tuple[str, bool]:
+    """The page's main text, and whether it is what the host's wrapper holds in its region.
 
-    ``fixed``: digests of the host's template texts; ``slots``: paths of its wrapper's text slots; ``region``:
-    the path of the container that holds the text of the host's pages.
+    ``keep``: paths of the slots of the wrapper's region; ``fixed``: digests of the host's template texts.
     """
-    root = parse(page or "")
-    held = article(root)
-    if held:
-        own = [t for p, t in held if str(_digest(p, t)) not in fixed] if fixed else []
-        return "\n\n".join(own or [t for _, t in held])
-    found = [(p, t) for p, t in blocks(root) if str(_digest(p, t)) not in fixed]
-    conforms = region and slots and all(p in slots for p, _ in found)
-    inside = [(p, t) for p, t in found if p == region or p.startswith(region + "/")] if conforms else []
-    if not inside:  # a page that the wrapper does not hold is taken by itself
-        start = densest(root, fixed)
-        inside = found if start is root else blocks(start)
-    return "\n\n".join(t for _, t in inside)
+    held, marks = blocks(parse(page or ""))
+    inside = [(p, t) for p, t in held if p in keep]
+    by_wrapper = bool(inside)
+    if not inside:
+        inside = alone(held, marks, fixed)
+    own = [t for p, t in inside if _digest(p, t) not in fixed] if fixed else []
+    return "\n\n".join(own or [t for _, t in inside] * by_wrapper or [t for _, t in inside if not fixed]), by_wrapper
+
+
+def alone(held: list[tuple[str, str]], marks: dict[int, set[str]], fixed: frozenset) -> list[tuple[str, str]]:
+    """The blocks of a page's own region: what it marks most strongly, else the innermost container of three quarters of its text that is not template."""
+    for rank in (3, 2, 1):
+        inside = [(p, t) for p, t in held if any(within(p, r) for r in outermost(marks[rank]))] if marks[rank] else []
+        if inside:
+            return inside
+    weight: Counter = Counter()
+    for p, t in held:
+        if _digest(p, t) not in fixed:
+            weight.update(dict.fromkeys(containers(p), len(t)))
+    heavy = [c for c, n in weight.items() if 4 * n >= 3 * weight[""]]
+    region = max(heavy, key=lambda c: (c.count("/"), c), default="")
+    return [(p, t) for p, t in held if within(p, region)]
 
 
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre td th tr caption figcaption summary".split())
 
 
-def densest(root: Node, fixed: frozenset) -> Node:
-    """The deepest container that holds three quarters of the page's text that is not template."""
-    weight: dict[int, int] = {}
+_TEXTS = "page_id long, url string, text string, by_wrapper boolean"
+_NONE = (frozenset(), frozenset())
 
-    def weigh(node: Node) -> int:
-        n = 0
-        for c in node.children:
-            n += len(c.strip()) if isinstance(c, str) else 0 if outside(c) else weigh(c)
-        weight[id(node)] = n
-        return n
 
-    import sys
-
-    was = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(was, 20_000))
-    try:
-        total = weigh(root)
-    finally:
-        sys.setrecursionlimit(was)
-    total -= sum(len(t) for p, t in blocks(root) if str(_digest(p, t)) in fixed) if fixed else 0
-    at = root
-    while True:
-        inner = [c for c in at.children if isinstance(c, Node) and c.name in BLOCK and c.name not in _LEAF and 4 * weight.get(id(c), 0) >= 3 * max(1, total) and not outside(c)]
-        if not inner:
-            return at
-        at = inner[0]
+def _texts(ids, urls, pages, known) -> pa.RecordBatch:
+    out = [main_text(page.as_py(), *known(i, url)) for i, (url, page) in enumerate(zip(urls, pages, strict=True))]
+    return pa.RecordBatch.from_arrays([ids, urls, pa.array([t for t, _ in out], pa.string()), pa.array([b for _, b in out], pa.bool_())], names=["page_id", "url", "text", "by_wrapper"])
 
 
-def _extract(fixed, slots, regions_of):
+def _extract(held):
     def run(batches):
-        for batch in batches:
-            out = []
-            for url, page in zip(batch.column(1), batch.column(2), strict=True):
-                host = host_of(url.as_py())
-                out.append(main_text(page.as_py(), fixed.value.get(host, frozenset()), slots.value.get(host), regions_of.value.get(host, "")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+        for b in batches:
+            yield _texts(b.column(0), b.column(1), b.column(2), lambda _, url: held.value.get(host_of(url.as_py()), _NONE))
 
     return run
 
 
-#: Hosts whose wrappers are broadcast at once; beyond it, pages are extracted in blocks of hosts.
-HOSTS_AT_ONCE = 20_000
+def _extract_joined(batches):
+    last: tuple = (None, _NONE)
+    for b in batches:
 
+        def known(i, _, hosts=b.column(3), keep=b.column(4), fixed=b.column(5)):
+            nonlocal last
+            if hosts[i].as_py() != last[0]:
+                last = (hosts[i].as_py(), (frozenset(keep[i].as_py() or []), frozenset(fixed[i].as_py() or [])))
+            return last[1]
 
-def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) per row of ``pages``."""
-    import json
+        yield _texts(b.column(0), b.column(1), b.column(2), known)
 
-    made, fixed, region = wrappers(spark, pages)
-    made, fixed, region = materialize(spark, made, "wrappers"), materialize(spark, fixed, "fixed"), materialize(spark, region, "regions")
-    n = made.count()
-    parts = max(1, -(-n // HOSTS_AT_ONCE))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    out = None
-    for i in range(parts):
-        mine = lambda df: df if parts == 1 else df.filter(F.pmod(F.crc32(F.col("host").cast("binary")), F.lit(parts)) == i)  # noqa: B023, E731
-        slots = {r[0]: frozenset(paths(from_json(json.loads(r[1])))) for r in mine(made).toLocalIterator()}
-        texts_of: dict[str, set] = {}
-        for r in mine(fixed).toLocalIterator():
-            texts_of.setdefault(r[0], set()).add(r[1])
-        sc = spark.sparkContext
-        where = {r[0]: r[1] for r in mine(region).toLocalIterator()}
-        held = (sc.broadcast({k: frozenset(v) for k, v in texts_of.items()}), sc.broadcast(slots), sc.broadcast(where))
-        block = rows
-        if parts > 1:
-            host = F.udf(host_of, "string")
-            block = rows.filter(F.pmod(F.crc32(host("url").cast("binary")), F.lit(parts)) == i)
-        part = block.mapInArrow(_extract(*held), "page_id long, url string, text string")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+def _with_host(batches):
+    for b in batches:
+        hosts = pa.array([host_of(u.as_py()) for u in b.column(1)], pa.string())
+        yield pa.RecordBatch.from_arrays([*b.columns, hosts], names=["page_id", "url", "html", "host"])
+
+
+def extract(spark: SparkSession, pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
+    """(page_id, url, text, by_wrapper) per row of ``pages``."""
+    _, hosts = wrappers(spark, pages)
+    rows = _pages(pages)
+    size = F.length("host") + F.aggregate("keep", F.lit(0), lambda n, x: n + F.length(x) + 60) + 40 * F.size("fixed") + 200
+    total = hosts.agg(F.sum(size.cast("long"))).first()[0] or 0
+    if total <= host_bytes:
+        known = {r[0]: (frozenset(r[1]), frozenset(r[2])) for r in hosts.toLocalIterator()}
+        return rows.mapInArrow(_extract(spark.sparkContext.broadcast(known)), _TEXTS)
+    # a host may have a third of all pages: its pages are dealt over salts, what is known of it goes to each
+    salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "__host")
+    dealt = rows.mapInArrow(_with_host, "page_id long, url string, html string, host string").withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(salted.hint("merge"), (F.col("host") == F.col("__host")) & (F.col("__salt") == F.col("salt")), "left")
+    return joined.select("page_id", "url", "html", "host", "keep", "fixed").mapInArrow(_extract_joined, _TEXTS)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(spark, table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return extract(spark, table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_wrapper")

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables, with nulls, empties, ties, repeats and odd columns."""
 
 import hashlib
+import html.parser
 import json
 import math
 import random
@@ -502,24 +503,104 @@ PAGE = """<html><head><title>T</title><style>x</style></head><body><header><a hr
 TEXT = "{h}\n\nFirst & bold text next\n\nSecond para\n\nitem a\n\nitem b"
 
 
-@pytest.mark.parametrize(("start", "end"), [("<article>", "</article>"), ("<main>", "</main>"), ('<div id="content">', "</div>"), ('<div class="x">', "</div>"), ('<div class="post-body entry">', "</div>")])
+@pytest.mark.parametrize(("start", "end"), [("<article>", "</article>"), ("<main>", "</main>"), ('<div id="content">', "</div>"), ('<div class="x">', "</div>"), ('<div class="post-body entry">', "</div>"), ("<form><article>", "</article></form>")])
 def test_html_regions(start, end):
-    assert html_extract.main_text(PAGE.format(open=start, close=end, h="Head")) == TEXT.format(h="Head")
+    assert html_extract.main_text(PAGE.format(open=start, close=end, h="Head")) == (TEXT.format(h="Head"), False)
 
 
 def test_html_wrapper_and_odd_pages(spark):
     rows = [(k, "http://h.example/a", PAGE.format(open="<div>", close="</div><p>Follow us on things</p>", h=f"Head {k} {'word ' * k}".strip()).replace("Second", f"Para {k}").replace("First", f"Page {k}").replace(">item", f">{k} item")) for k in range(1, 8)]
     rows += [(20, None, None), (21, "bad url", ""), (22, "http://o.example/", "just text"), (23, "http://o.example/", "<p>a<p>b</div></p><b>c"), (24, "http://o.example", "<" * 50), (25, "http://o.example", "<div>" * 3000 + "deep"), (7, "http://h.example/a", rows[6][2])]
     d = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark, d).collect()}
-    for k in range(1, 8):
-        assert got[k] == TEXT.format(h=f"Head {k} {'word ' * k}".strip()).replace("Second", f"Para {k}").replace("First", f"Page {k}").replace("\nitem", f"\n{k} item")
-    assert got[20] == got[21] == "" and got[22] == "just text" and got[23] == "a\n\nb\n\nc" and got[25] == "deep"
+    for most in (html_extract.HOST_BYTES, 0):  # by broadcast, and by the salted join
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(spark, d, most).collect()}
+        for k in range(1, 8):
+            assert got[k] == TEXT.format(h=f"Head {k} {'word ' * k}".strip()).replace("Second", f"Para {k}").replace("First", f"Page {k}").replace("\nitem", f"\n{k} item")
+        assert got[20] == got[21] == "" and got[22] == "just text" and got[23] == "a\n\nb\n\nc" and got[25] == "deep"
+        assert html_extract.extract(spark, d, most).count() == len(rows)
     assert html_extract.extract(spark, d.limit(0)).count() == 0
     q = QUERIES["op8_html_extraction"](spark, SF)
     assert q.filter("n_chars <> length(text)").count() == 0
 
 
+def test_html_pages_of_any_depth(spark):
+    deep = 100_000
+    rows = [(1, "http://d.example/", "<div>" * deep + "x"), (2, "http://d.example/", "<article>" + "<b><div>" * deep + "y<p>z</p>" + "</div>" * deep + "<p>after"), (3, "http://d.example/", "<ul><li>" * 30_000 + "q")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "x", 2: "y\n\nz\n\nafter", 3: "q"}
+
+
+def test_html_names_inside_an_article():
+    page = '<article><h1>T</h1><div class="tags-story">kept 1</div><section class="widget-story">kept 2</section><div id="toc">kept 3</div><p class="byline">kept 4</p><div class="post-comments"><p>out</p></div><div class="ad-slot">out</div><div class="cookie-notice">out</div><div class="comment_list">out</div></article>'
+    assert html_extract.main_text(page)[0] == "T\n\nkept 1\n\nkept 2\n\nkept 3\n\nkept 4"
+
+
+def test_html_region_is_the_wrapper_s(spark):
+    """A host's pages have their article in one div; two mark a teaser as article, which the wrapper does not take for it; another host marks articles, and one page there does not."""
+    page = "<body><div class='wrap'>{0}<div class='t'><h1>Head {k}</h1><p>A long text of page {k} and its own words {k}{k}</p></div></div></body>"
+    rows = [(k, "http://h.example/", page.format("<article>New</article>" if k < 2 else "", k=k)) for k in range(10)]
+    rows += [(20 + k, "http://m.example/", f"<body><div><article><p>Text {k}</p></article></div><p>{'other words ' * 9}{k}</p></body>") for k in range(6)] + [(30, "http://m.example/", "<body><p>No article here</p></body>")]
+    got = {r["page_id"]: (r["text"], r["by_wrapper"]) for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == (f"Head {k}\n\nA long text of page {k} and its own words {k}{k}", True) for k in range(10))
+    assert all(got[20 + k] == (f"Text {k}", True) for k in range(6)) and got[30] == ("No article here", False)
+
+
+class Plain(html.parser.HTMLParser):
+    """An extractor of its own: the standard library's parser, and the text of article elements by blocks."""
+
+    SKIP = {"nav", "footer", "aside", "form", "script", "style", "button", "template", "noscript", "title"}
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.held, self.out = [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.held).split())
+        self.held = []
+        if text:
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.BLOCK:
+            self.flush()
+        if tag == "br":
+            self.held.append(" ")
+        if tag not in html_extract.VOID:
+            classes = (dict(attrs).get("class") or "").split()
+            self.stack.append((tag, tag in self.SKIP or bool({"ad", "comments", "cookie-notice", "sidebar"} & set(classes))))
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK:
+            self.flush()
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k][0] == tag:
+                # an inline element that was left open ends no block around it
+                if tag in html_extract.BLOCK or not any(t in html_extract.BLOCK for t, _ in self.stack[k + 1 :]):
+                    del self.stack[k:]
+                break
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(skip for _, skip in self.stack):
+            self.held.append(data)
+
+
+def plain_text(page):
+    x = Plain()
+    x.feed(page or "")
+    x.close()
+    x.flush()
+    return "\n\n".join(x.out)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_html_against_an_independent_extractor(spark, sf):
+    """All pages of the test tables, and all of them decided by their host's wrapper."""
+    pages = pd.read_parquet(DATA / sf / "pages.parquet").set_index("page_id")["html"]
+    rows = QUERIES["op8_html_extraction"](spark, str(DATA / sf)).collect()
+    assert len(rows) == len(pages) and all(r["by_wrapper"] for r in rows)
+    assert {r["page_id"]: r["text"] for r in rows} == {i: plain_text(t) for i, t in pages.items()}
+
+
 def test_html_template_despite_pages_without_it(spark):
     page = "<div><h1>Head {k}</h1><p>Text of page {k} alone</p></div><p>Follow us on things</p>"
     rows = [(k, "http://h.example/a", page.format(k=k)) for k in range(10)]
@@ -539,14 +620,21 @@ def test_html_template_in_marked_articles(spark):
 
 def test_wrapper_holds_all_skeletons(spark):
     tree = html_extract.parse
+    where = lambda page: {p for p, _ in html_extract.blocks(tree(page))[0]}
     rows = [(k, "http://h.example/", f"<section class='x{chr(97 + k % 26)}{chr(97 + k // 26)}'><p>x</p></section>") for k in range(150)]
-    made, _, _ = html_extract.wrappers(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    made, _ = html_extract.wrappers(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
     (host,) = made.collect()
     slots = html_extract.paths(html_extract.from_json(json.loads(host["wrapper"])))
-    assert slots == {p for r in rows for p, _ in html_extract.blocks(tree(r[2]))} and len(slots) == 150
+    assert slots == {p for r in rows for p in where(r[2])} and len(slots) == 150
     for pages in (["<div>" * 300 + "deep<p>in <b>bold</b></p>" + "</div>" * 300 + "<p>x</p>"], ["".join(f"<h2>a</h2><p>{k}</p>" for k in range(300)), "<h2>a</h2><ul><li>b</ul><p>x<div><p>y</p></div>" + "<h2>a</h2><p>b<ol><li>c</ol>" * 300 + "<p>z</p>"]):
         wrapper = html_extract.infer([(html_extract.skeleton(tree(p)), 1) for p in pages])
-        assert {p for x in pages for p, _ in html_extract.blocks(tree(x))} <= html_extract.paths(wrapper)
+        assert {p for x in pages for p in where(x)} <= html_extract.paths(wrapper)
+
+
+def test_containers_as_sql(spark):
+    cases = ["", "/html/body/p", "/html/body/div.a/ul/li.b.c", "/p", "/div", "/div/~"]
+    got = spark.createDataFrame([(c,) for c in cases], "path string").select("path", F.expr(html_extract._containers_sql("path"))).collect()
+    assert all(list(r[1]) == html_extract.containers(r[0]) for r in got)
 
 
 def test_wrapper_inference():
