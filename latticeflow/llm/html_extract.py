@@ -524,7 +524,9 @@ def wrappers(spark: SparkSession, pages: DataFrame) -> tuple[DataFrame, DataFram
         made = made.groupBy("host", "value").agg(F.sum("n").alias("n"))
     made = made.select("host", F.col("value").alias("wrapper"))
     size = seen.filter("kind = 'n'").select("host", F.col("n").alias("pages"))
-    fixed = seen.filter("kind = 't'").join(size, "host").filter((F.col("pages") >= MIN_PAGES) & (100 * F.col("n") >= SHARE * F.col("pages")))
+    # what too few pages have can be on SHARE % of none that counts: it goes before its host's rows meet
+    often = seen.filter((F.col("kind") == "t") & (100 * F.col("n") >= SHARE * MIN_PAGES))
+    fixed = often.join(size, "host").filter((F.col("pages") >= MIN_PAGES) & (100 * F.col("n") >= SHARE * F.col("pages")))
     fixed = fixed.select("host", "n", *[F.split("value", " ", 3)[i].alias(c) for i, c in enumerate(("digest", "length", "path"))])
     # marks: the highest rank that half of the pages hold text in
     rank = seen.filter("kind = 'k'").join(size, "host").filter(2 * F.col("n") >= F.col("pages")).groupBy("host").agg(F.max(F.col("value").cast("int")).alias("rank"))
