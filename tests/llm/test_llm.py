@@ -73,15 +73,31 @@ def test_decontamination(spark):
     d, b = table(spark, docs), spark.createDataFrame(items, "item_id long, text string")
     want = brute_contained(docs, items)
     assert len(want) > 20
-    for block in (20_000, 7):
-        got = [tuple(r)[:4] for r in decontam.contained_items(spark, d, b, block).collect()]
-        assert set(got) == want
+    rows = Counter(i for i, _, _ in docs)
+    for block in (decontam.BLOCK_BYTES, 0):  # broadcast, and joined as a table
+        got = Counter(tuple(r)[:4] for r in decontam.contained_items(spark, d, b, block).collect())
+        assert set(got) == want and all(n == rows[x[0]] or x[0] in (None, 2) for x, n in got.items())
     kept = decontam.decontaminate(spark, d, b)
     gone = {x[0] for x in want} - {None}
     assert kept.columns == d.columns and Counter(r[0] for r in kept.collect()) == Counter(i for i, _, _ in docs if i not in gone)
     assert decontam.contained_items(spark, d.limit(0), b).count() == decontam.contained_items(spark, d, b.limit(0)).count() == 0
 
 
+def test_partitions_lose_nothing():
+    """Whatever shingles a document has of an item: if they are enough, the sketch's threshold of its partition is met."""
+    rng = random.Random(5)
+    hasher = decontam.Hasher()
+    for n in (1, 4, 5, 6, 9, 20, 47, 130, 700):
+        words = [f"w{rng.random()}" for _ in range(n)]
+        item = decontam.Item(" ".join(words), hasher.item_shingles)
+        own = np.unique(hasher.item_shingles(b" ".join(decontam.words_of(" ".join(words))), item.k))
+        assert len(own) == len(item.shingles) and item.least == decontam.hits_of(item.partition) <= len(item.sketch)
+        for _ in range(20):
+            kept = set(rng.sample(own.tolist(), item.need))
+            assert len(kept & set(item.sketch.tolist())) >= item.least
+    assert len({decontam.hits_of(p) for p in range(10)}) > 3
+
+
 def test_long_text_pieces(monkeypatch):
     rng = random.Random(3)
     item = prose(rng, 40)
