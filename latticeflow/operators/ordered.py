@@ -84,11 +84,12 @@ def percentile_rank(keys: Keys, x: str) -> Column:
     return (F.rank().over(by(keys, x)) - 1 + (ties - 1) / 2) / F.greatest(F.lit(1), F.count("*").over(Window.partitionBy(*keys)) - 1)
 
 
-def sole_extreme(df: DataFrame, keys: Keys, item: str, x: str, highest: bool = True) -> DataFrame:
-    """(keys, item) of the only row at the extreme; keys whose extreme is tied are left out."""
-    order = F.desc(x) if highest else F.asc(x)
-    top = df.withColumn("__r", F.rank().over(by(keys, order))).filter("__r = 1")
-    return top.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(item).alias(item)).filter("__n = 1").drop("__n")
+def sole_extremes(df: DataFrame, keys: Keys, item: str, x: str, names: tuple[str, str] = ("top", "low")) -> DataFrame:
+    """(keys, the items of the only rows at the highest and at the lowest value; null where that is tied), in one pass."""
+    w = Window.partitionBy(*keys)
+    d = df.withColumns({"__high": F.col(x) == F.max(x).over(w), "__least": F.col(x) == F.min(x).over(w)})
+    one = lambda at: F.when(F.count_if(at) == 1, F.min(F.when(F.col(at), F.col(item))))
+    return d.groupBy(*keys).agg(one("__high").alias(names[0]), one("__least").alias(names[1]))
 
 
 def kept(df: DataFrame, keys: Keys, w: str, floor: float = 0.25) -> DataFrame:

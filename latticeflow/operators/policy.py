@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .layout import monotonic, settle
-from .ordered import by, merge_short, nearest_join, sole_extreme
+from .ordered import by, merge_short
 
 # Label sets and limits of the policy.
 HIGH, LOW, EDGE = ("chorus", "solo"), ("break", "bridge"), ("intro", "outro")
@@ -46,13 +46,15 @@ def map_labels(segments: DataFrame, names: dict[str, str], duration: Column, dro
 def high_low(seg: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Segments (keys, idx, start, end, label, rank) with high and low flags: by label, else the only extreme of those that are no edge."""
     w = Window.partitionBy(*keys)
-    inner = seg.filter(~F.col("label").isin(*EDGE))
-    top = sole_extreme(inner, keys, "idx", "rank").withColumnRenamed("idx", "__top")
-    low = sole_extreme(inner, keys, "idx", "rank", highest=False).withColumnRenamed("idx", "__low")
-    d = seg.join(top, list(keys), "left").join(low, list(keys), "left")
-    is_high, is_low = F.col("label").isin(*HIGH), F.col("label").isin(*LOW)
-    d = d.withColumn("high", is_high | (~F.max(is_high).over(w) & F.coalesce(F.col("idx") == F.col("__top"), F.lit(False))))
-    return d.withColumn("low", is_low | (~F.max(is_low).over(w) & F.coalesce(F.col("idx") == F.col("__low"), F.lit(False)))).drop("__top", "__low")
+    inner = ~F.col("label").isin(*EDGE)
+    # extremes in two steps: the value, then how many rows have it
+    best = {f"__{name}": f(F.when(inner, F.col("rank"))).over(w) for name, f in (("top", F.max), ("low", F.min))}
+    d = seg.withColumns(best)
+    for name, labels in (("high", HIGH), ("low", LOW)):
+        at = inner & (F.col("rank") == F.col("__top" if name == "high" else "__low"))
+        known = F.col("label").isin(*labels)
+        d = d.withColumn(name, known | (~F.max(known).over(w) & F.coalesce(at & (F.count_if(at).over(w) == 1), F.lit(False))))
+    return d.drop("__top", "__low")
 
 
 def _sole_start(d: DataFrame, name: str, cond: Column, w, highest: bool) -> DataFrame:
@@ -67,11 +69,10 @@ def cues(segments: DataFrame, beats: DataFrame, keys: Sequence[str]) -> DataFram
     """One row a track: a .. h in seconds, and notes.  ``segments``: normalised, with idx; ``beats``: keys, t, is_downbeat."""
     keys = list(keys)
     w = Window.partitionBy(*keys)
-    down = beats.filter("is_downbeat").select(*keys, "t")
     per = beats.groupBy(*keys).agg(F.min(F.when(F.col("is_downbeat"), F.col("t"))).alias("__d0"), F.min("t").alias("__b0"), F.count_if("is_downbeat").alias("n_down"), F.sort_array(F.collect_list("t")).alias("__beats"), F.sort_array(F.collect_list(F.when(F.col("is_downbeat"), F.col("t")))).alias("__downs"))
-    d = high_low(segments, keys).join(per, keys)
-    snapped = nearest_join(d.select(*keys, "idx", F.col("start").cast("double").alias("t")), down, keys, "t", "snap").select(*keys, "idx", "snap")
-    d = d.join(snapped, [*keys, "idx"]).withColumn("snap", F.coalesce("snap", "start"))
+    # a track's downbeats are at hand as an array: the nearest to a segment's start, the earlier of two
+    near = F.array_min(F.transform("__downs", lambda t: F.struct(F.abs(t - F.col("start")).alias("off"), t.alias("t"))))["t"]
+    d = high_low(segments, keys).join(per, keys).withColumn("snap", F.coalesce(near, "start"))
     inner = ~F.col("label").isin(*EDGE)
     d = d.withColumn("a", F.coalesce("__d0", "__b0", F.lit(0.0))).withColumn("n_inner", F.count_if(inner).over(w)).withColumn("n_seg", F.count("*").over(w))
     first = lambda cond, what="start": F.min(F.when(cond, F.col(what))).over(w)

@@ -32,9 +32,7 @@ h as (select o_custkey, min(o_orderkey) as top from r where hi = 1 group by 1 ha
 select o_custkey, top, low from h join l using (o_custkey)""")
 def sole_extreme(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    top = ordered.sole_extreme(o, ["o_custkey"], "o_orderkey", "o_totalprice").withColumnRenamed("o_orderkey", "top")
-    low = ordered.sole_extreme(o, ["o_custkey"], "o_orderkey", "o_totalprice", highest=False).withColumnRenamed("o_orderkey", "low")
-    return top.join(low, "o_custkey")
+    return ordered.sole_extremes(o, ["o_custkey"], "o_orderkey", "o_totalprice").filter("top is not null and low is not null")
 
 
 def _segments(spark, sf):
