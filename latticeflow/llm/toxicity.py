@@ -2,8 +2,8 @@
 
 Many voters (lexicons of insults, lexicons and word-beginning patterns mined from the training fold,
 writing patterns) each say toxic, clean or nothing about a text.  A generative label model estimates
-from all documents, by expectation maximisation without any label, how often each voter says what about
-toxic and clean texts (its accuracy), and how voters go together within a class (their correlations); a
+from all documents, by expectation maximisation without labels of documents (only the share of toxic ones in
+the training fold is given to it), how often each voter says what about toxic and clean texts (its accuracy), and how voters go together within a class (their correlations); a
 voter's log likelihood ratio is divided by the sum of its squared correlations, so that voters which
 repeat each other count once.  Its posterior labels, and nothing else, train the linear classifier (ridge
 logistic regression by Newton's method over counts and densities of the voters' hits), which scores
@@ -36,6 +36,8 @@ from .quality import labels_of, matrix
 
 #: Labelled rows at most that terms are mined from; rounds at most of the label model and of Newton's method.
 MINE_ROWS, ROUNDS, STEPS = 16_000, 30, 12
+#: Rounds before correlations count: within classes that are not yet told apart, all voters go together.
+APART = 6
 #: A mined term is in this many toxic rows at least, has this log ratio of rates and this log likelihood gain.
 MIN_ROWS, MIN_RATIO, MIN_GAIN, MAX_TERMS = 4, 1.5, 18.0, 600
 #: Occurrences of a term that count in a row.
@@ -200,23 +202,30 @@ def codes(patterns) -> np.ndarray:
     return np.where(flat == ord("+"), 2, np.where(flat == ord("-"), 0, 1))
 
 
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
+
+
 class LabelModel:
-    """A class prior and, per class and voter, how often it votes what; correlations discount voters that repeat each other.
+    """Per class and voter, how often it votes what; correlations discount voters that repeat each other.
 
-    ``sums`` of vote patterns are what a round needs of them; ``update`` takes their total.
+    The balance of the classes is given: left to itself, the smaller class would shrink round by round to what
+    all voters agree on.  So an offset is moved each round until the posteriors' mean is the balance.  ``sums``
+    of vote patterns are what a round needs of them; ``update`` takes their total.
     """
 
-    def __init__(self):
+    def __init__(self, balance: float = 0.1):
         m = len(VOTERS)
-        self.prior, self.table, self.weight, self.begun = 0.1, np.full((2, m, 3), 1 / 3), np.ones(m), False
+        self.balance = float(np.clip(balance, 1e-3, 0.5))
+        self.offset, self.table, self.weight, self.round = _logit(self.balance), np.full((2, m, 3), 1 / 3), np.ones(m), 0
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        if not self.begun:  # what more voters call toxic than is usual
+        if not self.round:  # what more voters call toxic than is usual
             return np.clip(0.02 + 0.3 * (v == 2).sum(axis=1), 0, 0.95)
         j = np.arange(v.shape[1])
         # who says nothing is no evidence
         ratio = np.where(v == 1, 0.0, np.log(self.table[1, j, v]) - np.log(self.table[0, j, v]))
-        z = (ratio * self.weight).sum(axis=1) + np.log(self.prior / (1 - self.prior))
+        z = (ratio * self.weight).sum(axis=1) + self.offset
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def sums(self, v: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -235,8 +244,10 @@ class LabelModel:
         n = each[:, 0]
         t = each[:, 1 : 1 + 3 * m].reshape(2, m, 3) + 0.5
         self.table = t / t.sum(axis=2, keepdims=True)
-        self.prior = float(np.clip(n[1] / max(n.sum(), 1), 1e-4, 0.5))
-        squared = np.zeros((m, m))
+        if self.round:
+            self.offset += _logit(self.balance) - _logit(float(np.clip(n[1] / max(n.sum(), 1), 1e-4, 0.9)))
+        # voters that repeat each other do so in both classes; texts on the wrong side make all go together in one
+        squared = np.ones((m, m))
         for k in (0, 1):
             if n[k] <= 0:
                 continue
@@ -246,18 +257,20 @@ class LabelModel:
             r = c / np.outer(d, d)
             r[d < 1e-5] = 0
             r[:, d < 1e-5] = 0
-            squared += r**2 * n[k]
-        squared /= max(n.sum(), 1)
+            squared = np.minimum(squared, r**2)
         np.fill_diagonal(squared, 1)
-        self.correlations, self.weight, self.begun = squared, 1 / squared.sum(axis=1), True
+        self.round += 1
+        self.correlations = squared
+        if self.round >= APART:
+            self.weight = 1 / squared.sum(axis=1)
         return float(np.abs(self.table - was).max())
 
     def fit(self, total_of, rounds: int = ROUNDS) -> LabelModel:
         """``total_of``: from this model to the total of its ``sums`` over all patterns."""
         for _ in range(rounds):
-            if self.update(total_of(self)) < 1e-4:
+            if self.update(total_of(self)) < 1e-4 and self.round > APART:
                 break
-        said, p = self.table[:, :, 2], self.prior
+        said, p = self.table[:, :, 2], self.balance
         self.accuracy = dict(zip(VOTERS, (said[1] * p / np.maximum(1e-12, said[1] * p + said[0] * (1 - p))).tolist(), strict=True))
         return self
 
@@ -344,12 +357,12 @@ def _score(model: Linear):
     return run
 
 
-def learn(spark: SparkSession, seen: DataFrame) -> tuple[LabelModel, Linear]:
-    """The label model of all vote patterns, and the classifier of its posterior labels.  ``seen``: votes, x."""
+def learn(spark: SparkSession, seen: DataFrame, balance: float = 0.1) -> tuple[LabelModel, Linear]:
+    """The label model of all vote patterns, and the classifier of its posterior labels.  ``seen``: votes, x; ``balance``: the share of toxic texts."""
     patterns = materialize(spark, seen.groupBy("votes").count(), "patterns")
     one = "s array<double>"
     empty = patterns.isEmpty()
-    model = LabelModel() if empty else LabelModel().fit(lambda m: summed(patterns.select("votes", "count").mapInArrow(_pattern_sums(m), one)))
+    model = LabelModel(balance) if empty else LabelModel(balance).fit(lambda m: summed(patterns.select("votes", "count").mapInArrow(_pattern_sums(m), one)))
     k = len(FEATURES)
     total = np.zeros(1 + 2 * k) if empty else summed(seen.select("x").mapInArrow(_feature_moments, one))
     n = max(total[0], 1.0)
@@ -364,7 +377,8 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, parts: int =
     train = materialize(spark, labels_of(labels, "toxic").filter(fold_of("__id", parts) != held), "toxic-labels")
     mined = mine(spark, rows, train)
     seen = materialize(spark, rows.mapInArrow(_see(spark.sparkContext.broadcast(mined)), "doc_id long, votes string, x array<double>"), "votes")
-    _, linear = learn(spark, seen)
+    n, toxic = train.agg(F.count("*"), F.sum("y")).first()
+    _, linear = learn(spark, seen, toxic / n if toxic and toxic < n else 0.1)
     return seen.select("doc_id", "x").mapInArrow(_score(linear), "doc_id long, score double").select("doc_id", (fold_of("doc_id", parts) == held).alias("held_out"), "score")
 
 

@@ -340,7 +340,8 @@ def test_label_model_finds_accurate_voters():
     votes = np.where(rng.random((4000, m)) < right, y[:, None], ~y[:, None])
     count = Counter("".join("+" if v else "-" for v in row) for row in votes)
     v, n = toxicity.codes(list(count)), np.array(list(count.values()), dtype=float)
-    model = toxicity.LabelModel().fit(lambda m: m.sums(v, n))
+    model = toxicity.LabelModel(0.15).fit(lambda m: m.sums(v, n))
+    assert abs((model.posterior(v) * n).sum() / n.sum() - 0.15) < 0.02
     got = model.posterior(toxicity.codes(["".join("+" if x else "-" for x in row) for row in votes])) > 0.5
     assert (got == y).mean() > 0.97
     assert model.accuracy[toxicity.VOTERS[0]] > model.accuracy[toxicity.VOTERS[-1]]
@@ -351,9 +352,14 @@ def brute_label_model(patterns, rounds):
     """The label model by loops over patterns (votes -1, 0, 1 with their counts)."""
     m = len(toxicity.VOTERS)
     q = [min(0.95, max(0, 0.02 + 0.3 * sum(x == 1 for x in p))) for p, _ in patterns]
-    for _ in range(rounds):
-        table, total, share = [], sum(n for _, n in patterns), []
-        squared = [[0.0] * m for _ in range(m)]
+    logit = lambda p: math.log(p / (1 - p))
+    offset = logit(0.1)
+    for r in range(rounds):
+        if r:  # towards the balance that is given
+            mean = sum(n * z for (_, n), z in zip(patterns, q, strict=True)) / sum(n for _, n in patterns)
+            offset += logit(0.1) - logit(min(0.9, max(1e-4, mean)))
+        table, share = [], []
+        squared = [[1.0] * m for _ in range(m)]
         for k in (0, 1):
             w = [n * (z if k else 1 - z) for (_, n), z in zip(patterns, q, strict=True)]
             share.append(sum(w))
@@ -363,11 +369,9 @@ def brute_label_model(patterns, rounds):
             cov = [[sum(a * (p[i] - mean[i]) * (p[j] - mean[j]) for a, (p, _) in zip(w, patterns, strict=True)) / share[k] for j in range(m)] for i in range(m)]
             for i in range(m):
                 for j in range(m):
-                    if cov[i][i] > 1e-10 and cov[j][j] > 1e-10:
-                        squared[i][j] += cov[i][j] ** 2 / cov[i][i] / cov[j][j] * share[k]
-        weight = [1 / (1 + sum(squared[i][j] / total for j in range(m) if j != i)) for i in range(m)]
-        prior = min(0.5, max(1e-4, share[1] / total))
-        z = [math.log(prior / (1 - prior)) + sum(weight[j] * math.log(table[1][j][p[j] + 1] / table[0][j][p[j] + 1]) for j in range(m) if p[j]) for p, _ in patterns]
+                    squared[i][j] = min(squared[i][j], cov[i][j] ** 2 / cov[i][i] / cov[j][j] if cov[i][i] > 1e-10 and cov[j][j] > 1e-10 else 0.0)
+        weight = [1 / (1 + sum(squared[i][j] for j in range(m) if j != i)) if r + 1 >= toxicity.APART else 1 for i in range(m)]
+        z = [offset + sum(weight[j] * math.log(table[1][j][p[j] + 1] / table[0][j][p[j] + 1]) for j in range(m) if p[j]) for p, _ in patterns]
         q = [1 / (1 + math.exp(-max(-50, min(50, x)))) for x in z]
     return q
 
@@ -377,11 +381,31 @@ def test_label_model_is_that_of_loops():
     patterns = list({tuple(rng.choice([-1, -1, 0, 1]) for _ in toxicity.VOTERS): rng.randint(1, 50) for _ in range(60)}.items())
     v, n = np.array([p for p, _ in patterns]) + 1, np.array([c for _, c in patterns], dtype=float)
     model = toxicity.LabelModel()
-    for rounds in (1, 2, 3):
+    for rounds in range(1, toxicity.APART + 3):
         model.update(model.sums(v, n))
         assert np.allclose(model.posterior(v), brute_label_model(patterns, rounds), atol=1e-9)
 
 
+def test_toxic_texts_are_found_in_a_larger_table(spark):
+    """The smaller class does not shrink away: of all labelled rows, held-out ones too, nearly all are told apart."""
+    rng = random.Random(17)
+    clean, bad = [f"{a}{b}" for a in WORDS for b in WORDS], [f"vil{a}" for a in WORDS]
+    rows, labels = [], []
+    for k in range(6000):
+        toxic = rng.random() < 0.1
+        words = [rng.choice(clean) for _ in range(rng.randint(20, 200))]
+        if toxic:
+            for _ in range(max(2, len(words) // rng.randint(10, 60))):
+                words[rng.randrange(len(words))] = rng.choice(bad)
+        rows.append((k, " ".join(words), "s"))
+        labels.append((k, 1, int(toxic)))
+    docs = table(spark, rows)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark, docs, spark.createDataFrame([x for x in labels if x[0] % 3 == 0], "doc_id long, quality int, toxic int")).collect()}
+    hit = sum(got[k] >= toxicity.THRESHOLD for k, _, t in labels if t)
+    wrong = sum(got[k] >= toxicity.THRESHOLD for k, _, t in labels if not t)
+    assert hit >= 0.95 * sum(t for _, _, t in labels) and wrong <= 0.02 * len(labels)
+
+
 def test_toxicity_learns_as_a_plain_fit_would(spark):
     """Posterior labels of all rows, and ridge logistic regression on them, against the same in one array; no label is used after the mining."""
     docs = pd.read_parquet(f"{SF}/documents.parquet")
