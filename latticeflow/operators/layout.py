@@ -7,7 +7,7 @@ partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -238,10 +238,4 @@ def monotonic(slots: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(8)), begun, once)
 
 
-def snap_all(df: DataFrame, anchor: Column, period: Column) -> DataFrame:
-    from ..functions.lattice import snap_nonnegative
-
-    return df.select(*[snap_nonnegative(F.col(c), anchor, period).alias(c) if c in SLOTS else F.col(c) for c in df.columns])
-
-
-__all__ = ["RELAXED", "RULES", "Rules", "layout", "loop_starts", "monotonic", "raw_events", "snap_all", "states"]
+__all__ = ["RELAXED", "RULES", "Rules", "layout", "loop_starts", "monotonic", "raw_events", "states"]

@@ -34,11 +34,6 @@ def bar_rms(rows: DataFrame, keys: Keys, t: str, width: float, values: dict[str,
     return filled.filter("__at >= 0").select(*keys, F.col("__at").alias("bar"), *[F.when(F.col("__at") == F.col("bar"), F.col(k)).otherwise(0.0).alias(k) for k in values])
 
 
-def with_percentile(df: DataFrame, keys: Keys, value: str, q: float, name: str) -> DataFrame:
-    """Each row with the exact percentile (linear interpolation) of its key's values."""
-    return df.withColumn(name, F.percentile(F.col(value), F.lit(q)).over(Window.partitionBy(*keys)))
-
-
 def hysteresis(keys: Keys, order: str, x: Column, on: Column, off: Column) -> Column:
     """A state that begins off, goes on at x >= on, off at x < off, and holds between (off < on)."""
     mark = F.when(x >= on, F.lit(True)).when(x < off, F.lit(False))
