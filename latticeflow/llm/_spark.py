@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -59,18 +60,25 @@ def remove(spark: SparkSession, *paths: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Executions within leave no shuffle files behind."""
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was)
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage is cut, a lost executor costs nothing.
 
     The shuffle files behind it are removed at once, as nothing reads them again.
     """
     path = f"{new_path(spark, name)}/t"
-    was = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with cleaned(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out._lf_path = path
     return out

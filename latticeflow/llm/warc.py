@@ -4,7 +4,9 @@ Writing: each row becomes one WARC/1.1 record.  Rows are dealt to shards by a ha
 hot host or payload does not make a hot shard, and shards to tasks by their number; within a shard they are ordered by id, and the running
 sum of record lengths gives every record's offset.  Records are UTF-8 text whose terminator (two
 CR LF) is the text writer's line separator, so Spark's own committed writer makes the files: a lost
-executor's attempt leaves nothing behind, and any file system that Spark writes to will do.
+executor's attempt leaves nothing behind, and any file system that Spark writes to will do.  Payloads
+move in rounds, each to shards of its own, and a round's shuffle files go before the next begins: beside
+the archive only a round's part of the payloads is on disk (rows of one id and url share a round).
 
 The index (shard, offset, length, url, digest, type, id) is computed from the records before they are
 written; it is the only thing that selections touch.  Reading sorts the selected ranges of a shard by
@@ -30,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import BROADCAST_ROWS, materialize, maybe_broadcast, new_path, table
+from ._spark import BROADCAST_ROWS, cleaned, drop_table, materialize, maybe_broadcast, new_path, table
 
 #: Payload bytes from which equal payloads are written once.
 MIN_REVISIT = 0
 #: Bytes of html that a shard should hold, about.
 SHARD_BYTES = 64 << 20
+#: Rounds in which payloads move to their shards; each reads the pages again, and digests its own.
+ROUNDS = 4
 GAP, CHUNK = 64 << 10, 8 << 20
 #: Tasks at most that write or read, and bytes that one reads, about.
 TASKS, READ_BYTES = 20_000, 64 << 20
@@ -105,11 +109,16 @@ def _records(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(6)], names=["record", "shard"])
 
 
-def _dealt(rows: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
-    """``rows`` (page_id, url, digest, ...) with refers_to and shard."""
+def _round(rounds: int):
+    """The round that moves a row: known before its payload is digested."""
+    return F.pmod(F.xxhash64("page_id", "url"), F.lit(rounds)).cast("int")
+
+
+def _dealt(rows: DataFrame, shared: DataFrame, each: int, rounds: int) -> DataFrame:
+    """``rows`` (page_id, url, digest, ...) with refers_to and shard: one of the ``each`` shards of the row's round."""
     first = F.when(F.col("__first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("__first"))), F.col("__first"))
     # equal payloads may be a third of all rows: a plain join, which adaptive execution splits
-    return rows.join(shared, F.col("digest") == F.col("__digest"), "left").withColumn("refers_to", first).withColumn("shard", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(shards)).cast("int")).drop("__digest", "__first")
+    return rows.join(shared, F.col("digest") == F.col("__digest"), "left").withColumn("refers_to", first).withColumn("shard", (_round(rounds) * each + F.pmod(F.xxhash64("page_id", "url", "digest", F.lit(each)), F.lit(each))).cast("int")).drop("__digest", "__first")
 
 
 _ORDER = ("page_id", "url", "digest")
@@ -118,29 +127,35 @@ _ORDER = ("page_id", "url", "digest")
 def write_archive(spark: SparkSession, pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write ``pages`` (page_id, url, html) below ``path``; returns the index (also at ``path``/index).
 
-    The index is made first, from sizes and digests alone; then payloads move once, to their shards.
+    The index is made first, from sizes and digests alone; then payloads move once, to their shards, in rounds.
     Records are at ``path``/warc/shard=N/*.  Index: shard, offset, length, page_id, url, digest, record_type, refers_to.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     sizes = materialize(spark, rows.mapInArrow(_measures, "page_id long, url string, digest string, n_bytes long"), "sizes")
     total = sizes.agg(F.sum("n_bytes")).first()[0]
     shards = max(1, -(-int(total or 0) // shard_bytes))
+    rounds = min(ROUNDS, shards)
+    each = -(-shards // rounds)
     groups = sizes.groupBy("digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("n"), F.min("n_bytes").alias("each"))
     shared = materialize(spark, groups.filter((F.col("n") > 1) & (F.col("each") >= min_revisit) & F.col("__first").isNotNull()).select(F.col("digest").alias("__digest"), "__first"), "payloads")
     shared = maybe_broadcast(shared, shared.count(), BROADCAST_ROWS // 4)
 
-    small = _dealt(sizes, shared, shards).select("page_id", "url", "digest", "n_bytes", "refers_to", "shard").mapInArrow(_lengths, "page_id long, url string, digest string, n_bytes long, refers_to long, shard int, length long")
+    small = _dealt(sizes, shared, each, rounds).select("page_id", "url", "digest", "n_bytes", "refers_to", "shard").mapInArrow(_lengths, "page_id long, url string, digest string, n_bytes long, refers_to long, shard int, length long")
     before = Window.partitionBy("shard").orderBy(*[F.col(c).asc_nulls_first() for c in _ORDER]).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.col("length") + len(_SEP)).over(before), F.lit(0).cast("long"))
     index = small.select("shard", offset.alias("offset"), "length", "page_id", "url", "digest", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
-    index.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/index")
-
-    # a revisit's payload is left behind before anything moves
-    digested = rows.mapInArrow(_with_digest, "page_id long, url string, html string, digest string, n_bytes long")
-    dealt = _dealt(digested, shared, shards).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "n_bytes", "refers_to", "shard")
-    tasks = min(shards, TASKS)
-    ordered = dealt.repartitionById(tasks, F.floor(F.col("shard") * F.lit(tasks) / F.lit(shards)).cast("int")).sortWithinPartitions("shard", *[F.col(c).asc_nulls_first() for c in _ORDER])
-    ordered.mapInArrow(_records, "record string, shard int").write.mode("overwrite").partitionBy("shard").option("lineSep", _SEP).text(f"{path}/warc")
+    with cleaned(spark):
+        index.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/index")
+    drop_table(spark, sizes)
+
+    tasks = min(each, TASKS)
+    for k in range(rounds):
+        digested = rows.filter(_round(rounds) == k).mapInArrow(_with_digest, "page_id long, url string, html string, digest string, n_bytes long")
+        # a revisit's payload is left behind before anything moves
+        dealt = _dealt(digested, shared, each, rounds).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "n_bytes", "refers_to", "shard")
+        ordered = dealt.repartitionById(tasks, F.floor((F.col("shard") - k * each) * F.lit(tasks) / F.lit(each)).cast("int")).sortWithinPartitions("shard", *[F.col(c).asc_nulls_first() for c in _ORDER])
+        with cleaned(spark):
+            ordered.mapInArrow(_records, "record string, shard int").write.mode("append" if k else "overwrite").partitionBy("shard").option("lineSep", _SEP).text(f"{path}/warc")
     return spark.read.schema(index.schema).parquet(f"{path}/index")
 
 

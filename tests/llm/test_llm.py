@@ -821,6 +821,23 @@ def test_warc(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_warc_rounds(spark, tmp_path):
+    """Payloads move in rounds, each to its own shards of one file each; no round leaves shuffle files."""
+    d = spark.range(400).selectExpr("id as page_id", "concat('u', id % 7) as url", "array_join(transform(sequence(1, 40), i -> sha2(concat(id % 390, '-', i), 256)), '') as html").repartition(3)
+    kept = lambda: sum(f.length() for f in _java_list(spark, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith(".data"))
+    before = kept()
+    index = warc.write_archive(spark, d, f"file://{tmp_path}/w", shard_bytes=100_000)
+    assert kept() - before < 100_000 < 390 * 40 * 64 // 4
+    folders = {int(p.name.split("=")[1]): len(list(p.glob("part-*"))) for p in (tmp_path / "w/warc").glob("shard=*")}
+    assert set(folders.values()) == {1} and set(folders) == {r[0] for r in index.select("shard").distinct().collect()}
+    back = warc.read_archive(spark, f"file://{tmp_path}/w", index).collect()
+    assert sorted((r["page_id"], r["refers_to"]) for r in back) == [(i, i - 390 if i >= 390 else None) for i in range(400)] and all(r["body_ok"] for r in back)
+
+
+def _java_list(spark, seq):
+    return list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(seq))
+
+
 def test_ranges_coalesce():
     assert warc.ranges([(0, 10), (12, 5), (100, 5)], gap=4, chunk=1000) == [(0, 17, [0, 1]), (100, 5, [2])]
     assert warc.ranges([(0, 10), (10, 10)], gap=4, chunk=15) == [(0, 10, [0]), (10, 10, [1])]
