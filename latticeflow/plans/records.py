@@ -210,7 +210,7 @@ def bar_lattice(spark, sf):
 
     p = pulses(spark, sf)
     held = p.groupBy("user_id").agg(F.sort_array(F.collect_list("t")).alias("beats"), F.sort_array(F.collect_list(F.when(F.col("is_downbeat"), F.col("t")))).alias("downs")).filter("size(downs) > 1")
-    rows = grid.fit_events(p, ["user_id"]).select("user_id", "ok", F.round("anchor_s", 5).alias("anchor_s"), F.round("render_bpm", 6).alias("render_bpm"), "bpm").join(held, "user_id")
+    rows = grid.fit_events(p, ["user_id"]).select("user_id", "ok", base.digits("anchor_s", 5).alias("anchor_s"), base.digits("render_bpm", 6).alias("render_bpm"), "bpm").join(held, "user_id")
     out = rows.mapInPandas(bars, "user_id long, k long, start double, stop double")
     return out.withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("start", "stop")})  # away from ties
 

@@ -404,8 +404,8 @@ def pulses(spark, sf):
 def fit_grid_udf(spark, sf):
     """The whole grid fit per user."""
     out = grid.fit_events(pulses(spark, sf), ["user_id"])
-    six = {c: F.round(c, 6) for c in ("bpm", "render_bpm", "beat_fit", "bar_resid_std", "splice_jump")}
-    return out.withColumns(six | {"anchor_s": F.round("anchor_s", 5)})
+    six = {c: base.digits(c, 6) for c in ("bpm", "render_bpm", "beat_fit", "bar_resid_std", "splice_jump")}
+    return out.withColumns(six | {"anchor_s": base.digits("anchor_s", 5)})
 
 
 @query("select p_partkey, round(case when p_retailprice <= 0 or p_size <= 0 then 'inf'::double else list_min(list_transform(range(-12, 13), lambda k: abs(p_retailprice - p_size * pow(2.0, k)))) / p_retailprice end, 6) as ratio from part")

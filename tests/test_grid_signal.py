@@ -117,3 +117,13 @@ def test_tempo_digits():
         b = 0.3 + 0.96 * np.arange(60) + np.random.default_rng(seed).uniform(0, 0.02, 60)
         bpm, _ = grid.search(None, grid.Pulses(b, np.ones(60)), b)
         assert bpm == round(bpm, 8)
+
+
+def test_digits_of_ties(spark):
+    import duckdb
+
+    from latticeflow.plans import base
+
+    x = [64.0403255, 62.4999995, 65.2160915, 120.0000005, 0.2424255, 0.0, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(base.digits("x", 6)).collect()]
+    assert got == [duckdb.execute("select round(cast(? as double), 6)", [v]).fetchone()[0] for v in x]
